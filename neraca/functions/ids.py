@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Printed shapes of ids, and legal-form words dropped from names.
-NPWP_PATTERNS = [r"\d{2}\.\d{3}\.\d{3}\.\d-\d{3}\.\d{3}", r"\d{15}"]
+NPWP_IN_TEXT = r"\d{2}\.?\d{3}\.?\d{3}\.?\d-?\d{3}\.?\d{3}"
 INVOICE_SERIAL = r"\d{3}\.\d{3}-\d{2}\.\d{8}"
 LEGAL_FORMS = ["PT", "CV", "UD", "TBK", "LTD", "INC", "CORP", "LLC", "PERSERO"]
 
@@ -25,20 +25,21 @@ def format_npwp(c: Column) -> Column:
     return F.when(F.length(digits) == 15, shaped).otherwise(F.trim(c))
 
 
-def first_match(c: Column, patterns: list[str]) -> Column:
-    """First hit of the first pattern that hits; null when none does."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(c, p, 0), F.lit("")) for p in patterns])
-
-
 def extract_npwp(value: Column, text: Column) -> Column:
-    """Formatted id of ``value`` when it is filled, else the first one in ``text``."""
-    filled = F.nullif(F.trim(F.coalesce(value, F.lit(""))), F.lit(""))
-    return F.coalesce(format_npwp(filled), format_npwp(first_match(text, NPWP_PATTERNS)), F.lit("N/A"))
+    """First of ``value`` and the ids found in ``text`` that has 15 digits, formatted;
+    empty when there is none."""
+    found = F.coalesce(F.regexp_extract_all(text, F.lit(f"({NPWP_IN_TEXT})"), F.lit(1)), F.array().cast("array<string>"))
+    candidates = F.concat(F.array(F.coalesce(value, F.lit(""))), found)
+    full = F.filter(candidates, lambda c: F.length(F.regexp_replace(c, r"[^0-9]", "")) == 15)
+    return F.coalesce(format_npwp(F.get(full, 0)), F.lit(""))
 
 
 def extract_invoice_serial(value: Column, text: Column) -> Column:
-    filled = F.nullif(F.trim(F.coalesce(value, F.lit(""))), F.lit(""))
-    return F.coalesce(filled, first_match(text, [INVOICE_SERIAL]), F.lit("N/A"))
+    """``value`` without spaces when it is a serial, else the first serial in ``text``."""
+    bare = F.replace(F.trim(F.coalesce(value, F.lit(""))), F.lit(" "), F.lit(""))
+    return F.when(bare.rlike(f"^{INVOICE_SERIAL}$"), bare).otherwise(
+        F.regexp_extract(F.coalesce(text, F.lit("")), INVOICE_SERIAL, 0)
+    )
 
 
 def normalize_vendor(c: Column) -> Column:
