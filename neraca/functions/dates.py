@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 from pyspark.sql import Column
@@ -45,16 +46,29 @@ def month_name(number: Column) -> Column:
     return F.get(F.array(*[F.lit(n) for n in MONTH_NAMES]), number - 1)
 
 
+_SHAPES = {"d": r"\d{1,2}", "M": r"\d{1,2}", "yyyy": r"\d{4}", "yy": r"\d{2}", "MMM": "[A-Za-z]{3}", "MMMM": "[A-Za-z]{3,}"}
+
+
+def _shape(fmt: str) -> str:
+    """Regular expression of the texts a format can read."""
+    parts = re.findall(r"[a-zA-Z]+|[^a-zA-Z]", fmt)
+    return "^" + "".join(_SHAPES.get(p, re.escape(p)) for p in parts) + "$"
+
+
 def parse_date(c: Column, formats: list[str]) -> Column:
-    """First format that fits; two-digit years 69-99 belong to the 1900s."""
+    """First format that fits; two-digit years 69-99 belong to the 1900s.
+
+    Texts are matched by shape before they are parsed, so unreadable ones cost no
+    parser exception.
+    """
     text = F.trim(c)
 
     def attempt(fmt: str) -> Column:
         value = F.initcap(text) if "MMM" in fmt else text
         day = F.try_to_date(value, fmt)
-        if fmt.endswith("yyyy") or fmt.startswith("yyyy"):
-            return day
-        return F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
+        if "yyyy" not in fmt:
+            day = F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
+        return F.when(text.rlike(_shape(fmt)), day)
 
     return F.coalesce(*[attempt(f) for f in formats])
 

@@ -19,3 +19,37 @@ def statement_year(docs: DataFrame, keys: Sequence[str], fallback: str, period:
     return docs.select(*keys).distinct().join(found, list(keys), "left").withColumn(
         "tahun", F.coalesce("tahun", F.lit(fallback))
     )
+
+
+# --- pages and tables -------------------------------------------------------------------------------
+
+
+def explode_tables(docs: DataFrame, keys: Sequence[str], pages: str = "pages") -> DataFrame:
+    """Rows of all tables of nested OCR results: ``page`` from 1, ``table_idx`` and
+    ``row_idx`` from 0, and the cell texts."""
+    by_page = docs.select(*keys, F.posexplode(pages).alias("_p", "_page"))
+    by_table = by_page.select(*keys, (F.col("_p") + 1).alias("page"), F.posexplode("_page.tables").alias("table_idx", "_table"))
+    by_row = by_table.select(*keys, "page", "table_idx", F.posexplode("_table.rows").alias("row_idx", "_row"))
+    return by_row.select(*keys, "page", "table_idx", "row_idx", F.col("_row.cells.text").alias("cells"))
+
+
+def absolute_pages(rows: DataFrame, sizes: DataFrame, keys: Sequence[str], chunk: str = "chunk") -> DataFrame:
+    """``page_number`` in the whole document: pages of the chunks before are added.
+
+    ``sizes`` has one row per chunk with its number of ``pages``."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, chunk, F.coalesce(F.sum("pages").over(w), F.lit(0)).alias("_before"))
+    return rows.join(offsets, [*keys, chunk]).withColumn("page_number", F.col("page") + F.col("_before")).drop("_before")
+
+
+def page_counts(pages: DataFrame, rows: DataFrame, keys: Sequence[str] = ("doc_id", "page")) -> DataFrame:
+    """Every page with its number of transactions, 0 included."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return (
+        pages.join(counts, list(keys), "left")
+        .withColumn("transaction_count", F.coalesce("_n", F.lit(0)))
+        .withColumn("has_data", F.col("transaction_count") > 0)
+        .drop("_n")
+    )

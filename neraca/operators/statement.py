@@ -132,8 +132,13 @@ def cimb_formats(cells: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _cell(field: str) -> Column:
+    """Text picked for ``field``, see ``_picked``."""
+    return F.col(f"t_{field}")
+
+
+def _picked(field: str) -> Column:
     """Trimmed text of the layout's cell for ``field``; empty when it has none."""
-    return F.coalesce(F.trim(F.get("cells", F.col(f"p_{field}"))), F.lit(""))
+    return F.coalesce(F.trim(F.get("cells", F.col(f"p_{field}"))), F.lit("")).alias(f"t_{field}")
 
 
 def _statement_date(c: Column, year: Column) -> Column:
@@ -192,12 +197,9 @@ def normalize_statements(
         & width.between(F.col("low"), F.col("high"))
     )
     year = F.lit(None).cast("string") if year is None else year
-    first, second = _statement_date(_cell("date"), year), _statement_date(_cell("date2"), year)
-    amount = money.clean_amount(_cell("amount"))
+    amount = F.col("_amount")
     words = F.concat_ws(" ", _cell("type"), _cell("type2"))
-    in_columns = F.struct(
-        money.clean_amount(_cell("debit")).alias("debit"), money.clean_amount(_cell("credit")).alias("credit")
-    )
+    in_columns = F.struct(F.col("_debit").alias("debit"), F.col("_credit").alias("credit"))
     sides = (
         F.when(F.col("sign") == "mark", money.sides_by_mark(_cell("amount")))
         .when(F.col("sign") == "flag", money.sides_by_flag(_cell("flag"), amount))
@@ -218,14 +220,36 @@ def normalize_statements(
         _labelled("Customer No: ", _cell("customer_no")),
     )
     kind = F.regexp_replace(F.concat_ws(" - ", _cell("type"), F.when(F.col("l_bank") == "MANDIRI_V2", _cell("type2"))), r"^[ -]+|[ -]+$", "")
-    out = rows.join(layouts, fits).select(
+    carried = ["doc_id", "page", "table_idx", "row_idx", "l_bank", "bank_name", "sign", "strict", "style", "account_number", "account_holder"]
+    first_is_posting = F.col("p_posting") == F.col("p_date")
+    first_is_effective = F.col("p_effective") == F.col("p_date")
+    # Pick texts, then parse each once, then put the fields together.
+    texts = rows.join(layouts, fits).select(
+        *carried,
+        *[_picked(p) for p in POSITIONS if p not in ("posting", "effective")],
+        F.when(F.col("p_posting").isNotNull(), F.when(first_is_posting, 1).otherwise(2)).alias("_posting"),
+        F.when(F.col("p_effective").isNotNull(), F.when(first_is_effective, 1).otherwise(2)).alias("_effective"),
+    )
+    parsed = texts.select(
+        "*",
+        _statement_date(_cell("date"), year).alias("_first"),
+        _statement_date(_cell("date2"), year).alias("_second"),
+        money.clean_amount(_cell("amount")).alias("_amount"),
+        money.clean_amount(_cell("debit")).alias("_debit"),
+        money.clean_amount(_cell("credit")).alias("_credit"),
+    )
+
+    def which(column: str) -> Column:
+        return F.when(F.col(column) == 1, F.col("_first")).when(F.col(column) == 2, F.col("_second"))
+
+    out = parsed.select(
         "doc_id",
         "page",
         "table_idx",
         "row_idx",
-        F.coalesce(first, second).alias("transaction_date"),
-        F.when(F.col("p_posting").isNotNull(), _statement_date(_cell("posting"), year)).alias("posting_date"),
-        F.when(F.col("p_effective").isNotNull(), _statement_date(_cell("effective"), year)).alias("effective_date"),
+        F.coalesce("_first", "_second").alias("transaction_date"),
+        which("_posting").alias("posting_date"),
+        which("_effective").alias("effective_date"),
         F.trim(F.concat_ws(" ", _cell("description"), _cell("description2"))).alias("description"),
         kind.alias("transaction_type"),
         either(_cell("reference"), _cell("reference2")).alias("reference_number"),
@@ -261,42 +285,62 @@ def parse_rows(cells: DataFrame, formats: DataFrame | None = None, year: Column
     n, layout = F.size("cells"), F.col("format")
     one, two = layout == "format_1", layout == "format_2"
     cimb = layout.isNotNull()
+    # Cell of each field: CIMB layout 1, CIMB layout 2, other tables by width.
+    cells_of = {
+        "date": (1, 0, {3: 0, 4: 0, 5: 0, 6: 0}),
+        "words": (4, 2, {3: 1, 4: 1, 5: 1, 6: 1}),
+        "debit": (5, 4, {4: 2, 5: 2, 6: 2}),
+        "credit": (6, 5, {5: 3, 6: 3}),
+        "balance": (7, 6, {4: 3, 5: 4, 6: 4}),
+        "reference": (8, 3, {6: 5}),
+    }
+
+    def picked(field: str) -> Column:
+        first, second, by_width = cells_of[field]
+        out = F.when(one, F.get("cells", F.lit(first))).when(two, F.get("cells", F.lit(second)))
+        if field in ("date", "words"):
+            return out.when(n >= 3, F.get("cells", F.lit(by_width[3])))
+        for width, position in by_width.items():
+            out = out.when(~cimb & (n == width), F.get("cells", F.lit(position)))
+        return out
 
-    def cell(i: int) -> Column:
-        return F.get("cells", F.lit(i))
-
-    def amount(i: int) -> Column:
-        return money.extract_amount(cell(i))
-
-    broken = F.when(one, n < 7).when(two, n < 5).otherwise(n < 3)
-    plain = ~cimb & n.isin(5, 6)
-    inferred = ~cimb & (n == 4)
     zero = F.lit(0).cast(money.MONEY)
-    negative = F.coalesce(amount(2) < 0, F.lit(False))
-    date = F.when(one, dates.cimb_date(cell(1), layout, year)).when(two, dates.cimb_date(cell(0), layout, year)).otherwise(dates.row_date(cell(0)))
-    words = text.clean_cell(F.when(one, cell(4)).when(two, cell(2)).otherwise(cell(1)))
-    debit = (
-        F.when(one, amount(5)).when(two, amount(4)).when(plain, amount(2))
-        .when(inferred, F.when(negative, F.abs(amount(2)).cast(money.MONEY)).otherwise(zero))
+    texts = rows.select(
+        "doc_id",
+        "page",
+        "table_idx",
+        "row_idx",
+        layout,
+        F.when(one, n < 7).when(two, n < 5).otherwise(n < 3).alias("_broken"),
+        (~cimb & (n == 4)).alias("_inferred"),
+        F.array_join("cells", " ").alias("_all"),
+        *[picked(f).alias(f"t_{f}") for f in cells_of],
     )
-    credit = (
-        F.when(one, amount(6)).when(two, amount(5)).when(plain, amount(3))
-        .when(inferred, F.when(negative, zero).otherwise(amount(2)))
+    parsed = texts.select(
+        "*",
+        dates.cimb_date(F.col("t_date"), F.col("format"), year).alias("_date"),
+        text.clean_cell(F.col("t_words")).alias("_words"),
+        *[money.extract_amount(F.col(f"t_{f}")).alias(f"_{f}") for f in ("debit", "credit", "balance")],
+        text.clean_cell(F.col("t_reference")).alias("_reference"),
     )
-    balance = F.when(one, amount(7)).when(two, amount(6)).when(plain, amount(4)).when(inferred, amount(3))
-    reference = F.when(one, text.clean_cell(cell(8))).when(two, text.clean_cell(cell(3))).when(~cimb & (n == 6), text.clean_cell(cell(5)))
-    score = text.row_completeness(date, words, debit, credit, balance)
-    return rows.select(
+    # A single signed amount column: negative is money out.
+    out_of = F.coalesce(F.col("_debit") < 0, F.lit(False))
+    debit = F.when(F.col("_inferred"), F.when(out_of, F.abs("_debit").cast(money.MONEY)).otherwise(zero)).otherwise(F.col("_debit"))
+    credit = F.when(F.col("_inferred"), F.when(out_of, zero).otherwise(F.col("_debit"))).otherwise(F.col("_credit"))
+    signed = parsed.withColumns({"_d": debit, "_c": credit})
+    broken = F.col("_broken")
+    score = text.row_completeness(F.col("_date"), F.col("_words"), F.col("_d"), F.col("_c"), F.col("_balance"))
+    return signed.select(
         "doc_id",
         "page",
         "table_idx",
         "row_idx",
-        F.when(~broken, date).alias("tanggal"),
-        F.when(broken, F.array_join("cells", " ")).otherwise(words).alias("keterangan"),
-        F.when(broken, zero).otherwise(F.coalesce(debit, zero)).alias("debet"),
-        F.when(broken, zero).otherwise(F.coalesce(credit, zero)).alias("kredit"),
-        F.when(~broken, balance).alias("saldo"),
-        F.when(broken, F.lit("")).otherwise(F.coalesce(reference, F.lit(""))).alias("referensi"),
+        F.when(~broken, F.col("_date")).alias("tanggal"),
+        F.when(broken, F.col("_all")).otherwise(F.col("_words")).alias("keterangan"),
+        F.when(broken, zero).otherwise(F.coalesce("_d", zero)).alias("debet"),
+        F.when(broken, zero).otherwise(F.coalesce("_c", zero)).alias("kredit"),
+        F.when(~broken, F.col("_balance")).alias("saldo"),
+        F.when(broken, F.lit("")).otherwise(F.col("_reference")).alias("referensi"),
         F.when(broken, 0.0).otherwise(score).alias("confidence"),
     )
 

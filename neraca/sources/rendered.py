@@ -148,3 +148,164 @@ def papers(v: Views) -> DataFrame:
         F.concat(F.lit("Periode: "), name, F.date_format(d, " yyyy")),
     ]
     return v.invoice.select("row_idx", F.concat_ws("\n", *lines).alias("txt"))
+
+
+# --- statement tables ---------------------------------------------------------------------------
+
+STATEMENT_ROWS = 40
+PAGE_ROWS = 10
+
+
+def statement_source(v: Views) -> DataFrame:
+    """Bank rows dealt out to statements of 40 rows, each in one of 21 layouts."""
+    row = F.col("row_idx")
+    balance = (F.col("debet") + F.col("kredit") + 1000000).cast(MONEY)
+    return v.bank.select(
+        "row_idx",
+        F.floor(row / STATEMENT_ROWS).alias("doc_id"),
+        (F.floor(row / STATEMENT_ROWS) % 21).alias("layout"),
+        (F.floor((row % STATEMENT_ROWS) / PAGE_ROWS) + 1).alias("page"),
+        (row % PAGE_ROWS + 1).alias("row_no"),
+        F.col("tanggal").alias("day"),
+        F.date_add("tanggal", 1).alias("next_day"),
+        "keterangan",
+        "debet",
+        "kredit",
+        balance.alias("saldo"),
+        "account_number",
+    )
+
+
+_BANKS = [
+    "BCA", "BCA_SYARIAH", "BCA_SYARIAH", "BCA_SYARIAH", "BNI_V1", "BNI_V2", "BNI_V2", "BRI", "BSI_SYARIAH",
+    "BSI_SYARIAH", "CIMB_NIAGA", "CIMB_NIAGA", "MANDIRI_V1", "MANDIRI_V2", "MANDIRI_V2", "MUFG", "MUFG", "MUFG",
+    "OCBC", "PERMATA", "PERMATA",
+]
+_HEADERS = {10: ["No", "Post Date", "Eff Date", "Cheque No", "Description", "Debit", "Credit", "Balance", "Transaction Ref No"],
+            11: ["Tgl. Txn", "Tgl. Valuta", "Uraian", "Cheque", "Debit", "Kredit", "Saldo"]}
+
+
+def statement_cells(v: Views) -> DataFrame:
+    """``doc_id, bank_code, page, table_idx, row_idx, cells`` with header rows, a blank
+    row, a short row and an over-wide row among them."""
+    s = statement_source(v)
+    debit, credit, row = F.col("debet"), F.col("kredit"), F.col("row_idx")
+    is_debit = debit > 0
+    amount = F.when(is_debit, debit).otherwise(credit)
+
+    def us(c: Column) -> Column:
+        return F.when(c == 0, F.lit("-")).otherwise(us_amount(c))
+
+    def local(c: Column) -> Column:
+        return F.when(c == 0, F.lit("")).otherwise(F.concat(F.lit("Rp "), id_amount(c)))
+
+    # Every written form once; the layouts below only put them in order.
+    s = s.withColumns(
+        {
+            "slash": F.date_format("day", "dd/MM/yyyy"),
+            "next_slash": F.date_format("next_day", "dd/MM/yyyy"),
+            "dash": F.date_format("day", "dd-MM-yyyy"),
+            "iso": F.date_format("day", "yyyy-MM-dd"),
+            "dots": F.date_format("day", "dd.MM.yyyy"),
+            "named": F.date_format("day", "dd MMM yyyy"),
+            "stamp": F.concat(F.date_format("day", "MM/dd/yy"), F.lit(" 09:30")),
+            "next_stamp": F.concat(F.date_format("next_day", "MM/dd/yy"), F.lit(" 09:30")),
+            "short": F.when(row % 2 == 0, F.date_format("day", "dd/MM/yyyy")).otherwise(F.date_format("day", "dd/MM")),
+            "us_debit": us(debit),
+            "us_credit": us(credit),
+            "us_amount": us_amount(amount),
+            "us_balance": us_amount(F.col("saldo")),
+            "id_debit": local(debit),
+            "id_credit": local(credit),
+            "id_amount": local(amount),
+            "id_balance": local(F.col("saldo")),
+            "mark": F.when(is_debit, F.concat(F.lit("("), us_amount(amount), F.lit(")"))).otherwise(F.concat(us_amount(amount), F.lit(" CR"))),
+            "dk": F.when(is_debit, F.lit("D")).otherwise(F.lit("K")),
+            "dbcr": F.when(is_debit, F.lit("DB")).otherwise(F.lit("CR")),
+            "word": F.when(is_debit, F.lit("BIAYA TRX")).otherwise(F.lit("SETOR TUNAI")),
+            "key": row.cast("string"),
+            "ref_or_blank": F.when(row % 3 == 0, F.lit("")).otherwise(row.cast("string")),
+            "cheque": F.when(row % 3 == 0, F.lit("CHQ7")).otherwise(F.lit("")),
+        }
+    )
+    written = [
+        "slash keterangan =001 mark us_balance",
+        "next_slash slash =10:15 =T01 keterangan =ekstra dk id_amount id_balance key =OK =u7 =u8 =K01",
+        "next_slash dash =10:15 =T01 keterangan = dk id_amount id_balance key =K01",
+        "iso =T01 keterangan dk id_amount id_balance key =K01 =10:15",
+        "dash keterangan us_debit us_credit us_balance",
+        "slash next_slash =B1 key keterangan us_amount dbcr us_balance",
+        "next_slash keterangan us_amount dbcr us_balance key",
+        "dots keterangan =TL9 id_debit id_credit id_balance",
+        "key slash =11:00 dk us_amount us_balance keterangan",
+        "slash =11:00 dk us_amount us_balance keterangan",
+        "key stamp next_stamp =CHQ keterangan us_debit us_credit us_balance ref_or_blank",
+        "short next_slash keterangan key us_debit us_credit us_balance",
+        "named keterangan key us_debit us_credit us_balance",
+        "=PT_MAJU account_number slash word =CAB keterangan us_amount us_balance",
+        "slash word keterangan us_amount us_balance",
+        "slash next_slash us_debit us_credit us_balance =TRX key =BR5 keterangan",
+        "slash next_slash us_debit us_credit us_balance =TRX key keterangan",
+        "slash us_debit us_credit us_balance keterangan",
+        "slash next_slash keterangan id_debit id_credit id_balance",
+        "slash next_slash =TC cheque key =C55 keterangan us_debit us_credit us_balance",
+        "next_slash =TC keterangan us_debit us_credit us_balance key",
+    ]
+
+    def one(word: str) -> Column:
+        return F.lit(word[1:].replace("_", " ")) if word.startswith("=") else F.col(word)
+
+    cells = [[one(w) for w in line.split(" ")] for line in written]
+    layout = F.col("layout")
+    bank = F.get(F.array(*[F.lit(b) for b in _BANKS]), layout.cast("int"))
+    base = s.withColumn("bank_code", bank).withColumn("table_idx", F.lit(0))
+    shown = base.withColumn("cells", pick([F.array(*c) for c in cells], layout)).select(
+        "doc_id", "bank_code", "page", "table_idx", F.col("row_no").alias("row_idx"), "cells"
+    )
+    header = F.array(*[F.lit(x) for x in ("Tanggal", "Keterangan", "Debet", "Kredit", "Saldo")])
+    header = F.when(layout == 10, F.array(*[F.lit(x) for x in _HEADERS[10]])).when(
+        layout == 11, F.array(*[F.lit(x) for x in _HEADERS[11]])
+    ).otherwise(header)
+    heads = base.filter("row_no = 1").select("doc_id", "bank_code", "page", "table_idx", F.lit(0).cast("long").alias("row_idx"), header.alias("cells"))
+    # One stray row per page: blank, too short, or wider than any layout of its bank.
+    wide = F.array_repeat(F.lit("x"), 40)
+    stray = pick([F.array(F.lit(" "), F.lit("")), F.array(F.lit("short"), F.lit("row")), wide], F.col("doc_id") % 3)
+    strays = base.filter("row_no = 5").select(
+        "doc_id", "bank_code", "page", "table_idx", (F.lit(90) + F.col("row_no")).alias("row_idx"), stray.alias("cells")
+    )
+    return shown.unionByName(heads).unionByName(strays)
+
+
+def statement_texts(v: Views) -> DataFrame:
+    """Text of each statement: column titles for even documents, nothing for odd ones."""
+    docs = statement_source(v).select("doc_id", "layout").distinct()
+    first, second = F.lit("CIMB NIAGA\nPOST DATE EFF DATE\n"), F.lit("CIMB NIAGA\nTGL. TXN TGL. VALUTA\n")
+    return docs.select(
+        "doc_id",
+        F.when(F.col("doc_id") % 2 == 1, "").when(F.col("layout") == 10, first).when(F.col("layout") == 11, second).otherwise("REKENING").alias("text"),
+    )
+
+
+def bca_texts(v: Views) -> DataFrame:
+    """Statements as plain text, one document per 40 rows."""
+    s = statement_source(v)
+    is_debit = F.col("debet") > 0
+    amount = F.when(is_debit, F.concat(F.lit("-"), us_amount(F.col("debet")))).otherwise(us_amount(F.col("kredit")))
+    line = F.concat_ws(" ", F.date_format("day", "dd/MM/yyyy"), F.concat(F.lit("PEMBAYARAN INV-"), F.col("row_idx").cast("string")), F.lit("001"), amount, us_amount(F.col("saldo")))
+    return _as_text(s, line)
+
+
+def cimb_texts(v: Views) -> DataFrame:
+    """Even documents in the first text layout, odd ones in the second."""
+    s = statement_source(v)
+    first = F.concat_ws(" ", F.date_format("day", "MM/dd/yy"), F.lit("09:30 Transfer Masuk"), us_amount(F.col("debet") + 1), us_amount(F.col("kredit") + 1), us_amount(F.col("saldo")))
+    second = F.concat_ws(" ", F.date_format("day", "dd/MM"), F.lit("Transfer Keluar"), us_amount(F.col("debet") + 1), us_amount(F.col("kredit") + 1), us_amount(F.col("saldo")))
+    return _as_text(s, F.when(F.col("doc_id") % 2 == 0, first).otherwise(second))
+
+
+def _as_text(rows: DataFrame, line: Column) -> DataFrame:
+    """Documents of at most 40 lines, so each list is short."""
+    lines = F.array_sort(F.collect_list(F.struct(F.col("row_idx"), line.alias("line"))))
+    return rows.groupBy("doc_id").agg(
+        F.concat(F.lit("MUTASI REKENING\n"), F.array_join(F.transform(lines, lambda s: s["line"]), "\n")).alias("text")
+    )
