@@ -170,15 +170,15 @@ def sides(is_debit: Column, amount: Column) -> Column:
     )
 
 
-def sides_by_mark(c: Column) -> Column:
-    """Sign of a mutation: CR or ``+`` is credit; DB, DR, parentheses or a minus debit."""
+def read_mark(c: Column) -> tuple[Column, Column]:
+    """Is a mutation money out, and its text without the mark.  CR or ``+`` is credit;
+    DB, DR, parentheses or a minus debit; no mark credit."""
     text = F.trim(c)
     upper = F.upper(text)
     credit = upper.contains("CR") | text.contains("+")
     marked = upper.contains("DB") | upper.contains("DR")
     wrapped = text.startswith("(") & text.endswith(")")
     minus = text.startswith("-")
-    debit = ~credit & (marked | wrapped | minus)
     bare = (
         F.when(credit, F.regexp_replace(text, r"CR|\+", ""))
         .when(marked, F.regexp_replace(text, "DB|DR", ""))
@@ -186,17 +186,30 @@ def sides_by_mark(c: Column) -> Column:
         .when(minus, F.regexp_replace(text, "^-+", ""))
         .otherwise(text)
     )
-    return sides(debit, clean_amount(bare))
+    return ~credit & (marked | wrapped | minus), bare
+
+
+def sides_by_mark(c: Column) -> Column:
+    is_debit, bare = read_mark(c)
+    return sides(is_debit, clean_amount(bare))
+
+
+def is_debit_flag(flag: Column) -> Column:
+    """Whatever is no debit flag counts as credit."""
+    return F.upper(F.trim(F.coalesce(flag, F.lit("")))).isin(DEBIT_FLAGS)
+
+
+def is_debit_text(text: Column) -> Column:
+    """Debit words win, and unclear text is credit."""
+    return F.upper(F.coalesce(text, F.lit(""))).rlike("|".join(DEBIT_WORDS))
 
 
 def sides_by_flag(flag: Column, amount: Column) -> Column:
-    """Flag column; whatever is no debit flag counts as credit."""
-    return sides(F.upper(F.trim(F.coalesce(flag, F.lit("")))).isin(DEBIT_FLAGS), amount)
+    return sides(is_debit_flag(flag), amount)
 
 
 def sides_by_words(text: Column, amount: Column) -> Column:
-    """Words of a description; debit words win, and unclear text is credit."""
-    return sides(F.upper(F.coalesce(text, F.lit(""))).rlike("|".join(DEBIT_WORDS)), amount)
+    return sides(is_debit_text(text), amount)
 
 
 def sides_of_mutation(value: Column) -> Column:

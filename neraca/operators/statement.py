@@ -149,22 +149,14 @@ def _statement_date(c: Column, year: Column) -> Column:
     def part(pattern: str, n: int) -> Column:
         return F.regexp_extract(c, pattern, n)
 
-    us = F.when(
-        c.rlike(stamp),
-        F.try_to_date(F.concat_ws("-", F.concat(F.lit("20"), part(stamp, 3)), part(stamp, 1), part(stamp, 2))),
-    )
+    us = F.concat_ws("-", F.concat(F.lit("20"), part(stamp, 3)), part(stamp, 1), part(stamp, 2))
     written = part(day_month, 3)
     full_year = F.when(written == "", year).when(F.length(written) == 2, F.concat(F.lit("20"), written)).otherwise(written)
-    short = F.when(
-        c.rlike(day_month), F.try_to_date(F.concat_ws("-", full_year, part(day_month, 2), part(day_month, 1)))
-    )
-    default = dates.parse_date(c, dates.STATEMENT_FORMATS)
-    return (
-        F.when(style == "long", dates.parse_date(c, LONG_DATES))
-        .when(style == "mdy_time", F.coalesce(us, default))
-        .when(style == "day_month", F.coalesce(short, default))
-        .otherwise(default)
-    )
+    short = F.concat_ws("-", full_year, part(day_month, 2), part(day_month, 1))
+    own = F.when((style == "mdy_time") & c.rlike(stamp), us).when((style == "day_month") & c.rlike(day_month), short)
+    # "long" statements write the year in full and last.
+    readable = F.when((F.coalesce(style, F.lit("")) != "long") | c.rlike(r"\d{4}$"), c)
+    return F.coalesce(F.try_to_date(own), dates.parse_date(readable, dates.STATEMENT_FORMATS))
 
 
 def _labelled(label: str, c: Column) -> Column:
@@ -197,14 +189,12 @@ def normalize_statements(
         & width.between(F.col("low"), F.col("high"))
     )
     year = F.lit(None).cast("string") if year is None else year
-    amount = F.col("_amount")
+    marked_debit, bare = money.read_mark(_cell("amount"))
     words = F.concat_ws(" ", _cell("type"), _cell("type2"))
-    in_columns = F.struct(F.col("_debit").alias("debit"), F.col("_credit").alias("credit"))
-    sides = (
-        F.when(F.col("sign") == "mark", money.sides_by_mark(_cell("amount")))
-        .when(F.col("sign") == "flag", money.sides_by_flag(_cell("flag"), amount))
-        .when(F.col("sign") == "words", money.sides_by_words(words, amount))
-        .otherwise(in_columns)
+    is_debit = (
+        F.when(F.col("sign") == "mark", marked_debit)
+        .when(F.col("sign") == "flag", money.is_debit_flag(_cell("flag")))
+        .when(F.col("sign") == "words", money.is_debit_text(words))
     )
 
     def either(a: Column, b: Column) -> Column:
@@ -230,19 +220,24 @@ def normalize_statements(
         F.when(F.col("p_posting").isNotNull(), F.when(first_is_posting, 1).otherwise(2)).alias("_posting"),
         F.when(F.col("p_effective").isNotNull(), F.when(first_is_effective, 1).otherwise(2)).alias("_effective"),
     )
-    parsed = texts.select(
+    marked = texts.withColumns(
+        {"_is_debit": is_debit, "_bare": F.when(F.col("sign") == "mark", bare).otherwise(_cell("amount"))}
+    )
+    parsed = marked.select(
         "*",
         _statement_date(_cell("date"), year).alias("_first"),
         _statement_date(_cell("date2"), year).alias("_second"),
-        money.clean_amount(_cell("amount")).alias("_amount"),
+        money.clean_amount(F.col("_bare")).alias("_amount"),
         money.clean_amount(_cell("debit")).alias("_debit"),
         money.clean_amount(_cell("credit")).alias("_credit"),
+        money.clean_amount(_cell("balance")).alias("_balance"),
     )
 
     def which(column: str) -> Column:
         return F.when(F.col(column) == 1, F.col("_first")).when(F.col(column) == 2, F.col("_second"))
 
-    out = parsed.select(
+    zero = F.lit(0).cast(money.MONEY)
+    fields = F.struct(
         "doc_id",
         "page",
         "table_idx",
@@ -253,22 +248,21 @@ def normalize_statements(
         F.trim(F.concat_ws(" ", _cell("description"), _cell("description2"))).alias("description"),
         kind.alias("transaction_type"),
         either(_cell("reference"), _cell("reference2")).alias("reference_number"),
-        sides.alias("_sides"),
-        money.clean_amount(_cell("balance")).alias("balance"),
+        F.when(F.col("_is_debit").isNull(), F.col("_debit")).when(F.col("_is_debit"), F.col("_amount")).otherwise(zero).alias("debit"),
+        F.when(F.col("_is_debit").isNull(), F.col("_credit")).when(F.col("_is_debit"), zero).otherwise(F.col("_amount")).alias("credit"),
+        F.col("_balance").alias("balance"),
         _cell("branch").alias("branch_code"),
         _cell("teller").alias("teller"),
         info.alias("additional_info"),
         "bank_name",
         either(_cell("account"), F.coalesce("account_number", F.lit(""))).alias("account_number"),
         either(_cell("holder"), F.coalesce("account_holder", F.lit(""))).alias("account_holder"),
-        (F.col("strict") & (_cell("balance") == "")).alias("_dropped"),
-    )
-    return (
-        out.filter(F.col("transaction_date").isNotNull() & ~F.col("_dropped"))
-        .withColumn("debit", F.col("_sides.debit"))
-        .withColumn("credit", F.col("_sides.credit"))
-        .drop("_sides", "_dropped")
     )
+    usable = F.col("_first").isNotNull() | F.col("_second").isNotNull()
+    usable = usable & ~(F.col("strict") & (_cell("balance") == ""))
+    # Unusable rows leave through inline(): a filter here would be pushed below the
+    # parsing and have every date parsed twice.
+    return parsed.select(F.inline(F.when(usable, F.array(fields))))
 
 
 # --- generic rows -------------------------------------------------------------------------------
