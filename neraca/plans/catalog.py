@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from neraca.plans import registry
 
-_MODULES = ["recon_queries", "scalar_queries", "ledger_queries", "statement_queries"]
+_MODULES = [
+    "recon_queries", "scalar_queries", "ledger_queries", "statement_queries", "activity_queries", "stream_queries",
+]
 
 
 def _load() -> None:
