@@ -195,3 +195,14 @@ def engine_summary(candidates: DataFrame, matches: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(invoice & matched, F.col("amount"))), F.lit(0)).cast(MONEY).alias("total_matched_amount"),
         F.coalesce(F.sum(F.when(~matched, F.col("amount"))), F.lit(0)).cast(MONEY).alias("total_unmatched_amount"),
     ).withColumn("match_rate", percent(F.col("matched_count"), F.col("total_faktur")) / 100)
+
+
+def short_summary(summary: DataFrame) -> DataFrame:
+    """Fewer fields of a reconciliation summary: every match counts, suggested ones too."""
+    matched = F.col("total_auto_matched") + F.col("total_suggested")
+    return summary.select(
+        "scope",
+        matched.alias("total_matched"),
+        "total_unmatched",
+        percent(matched, matched + F.col("total_unmatched")).alias("match_rate"),
+    )

@@ -11,6 +11,7 @@ from neraca.plans import registry
 
 _MODULES = [
     "recon_queries", "scalar_queries", "ledger_queries", "statement_queries", "activity_queries", "stream_queries",
+    "document_queries",
 ]
 
 

@@ -37,3 +37,69 @@ def bank_export(rows: DataFrame, keys: Sequence[str], year: Column, **options) -
         words.alias("keterangan"),
         F.col("label").alias("kualitas"),
     )
+
+
+def slip_export(slips: DataFrame) -> DataFrame:
+    """Slips as exported, with ``sorted_by``: date of the base document, null sorts first."""
+    shown = slips.withColumns(
+        {
+            "sorted_by": F.try_to_date(dates.slash_date(F.col("dokumen_dasar_tanggal")), "dd/MM/yyyy"),
+            "dpp": money.format_rupiah_text(F.col("dpp")),
+            "pph": money.format_rupiah_text(F.col("pph")),
+            "dokumen_dasar_tanggal": dates.slash_date(F.col("dokumen_dasar_tanggal")),
+            "tanggal_potong": dates.slash_date(F.col("tanggal_potong")),
+        }
+    )
+    return shown.orderBy(F.asc_nulls_first("sorted_by"), F.asc("row_idx"))
+
+
+def _present(df: DataFrame, names: Sequence[str], default: str) -> Column:
+    """First of ``names`` the table has, filled with ``default``."""
+    for name in names:
+        if name in df.columns:
+            return F.coalesce(F.col(name).cast("string"), F.lit(default))
+    return F.lit(default)
+
+
+def unmatched_invoices(rows: DataFrame) -> DataFrame:
+    """Left-over invoices under their sheet headers; optional columns default to ``-``."""
+    return rows.select(
+        "scope",
+        "row_idx",
+        F.col("nomor_faktur").alias("Nomor Faktur"),
+        F.col("tanggal").alias("Tanggal Faktur"),
+        F.col("npwp_penjual").alias("NPWP Penjual"),
+        F.col("npwp_pembeli").alias("NPWP Pembeli"),
+        _present(rows, ["nama_barang_jasa", "nama_barang"], "-").alias("Nama Barang"),
+        _present(rows, ["quantity", "jumlah"], "-").alias("Quantity"),
+        F.col("dpp").alias("DPP"),
+        F.col("ppn").alias("PPN"),
+        F.col("total").alias("Total"),
+    )
+
+
+def unmatched_slips(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "scope",
+        "row_idx",
+        F.col("nomor_bukti_potong").alias("Nomor Bukti Potong"),
+        F.col("tanggal").alias("Tanggal"),
+        F.col("npwp_pemotong").alias("NPWP Pemotong"),
+        _present(rows, ["nama_pemotong"], "").alias("Nama Pemotong"),
+        _present(rows, ["jenis_penghasilan"], "").alias("Jenis Penghasilan"),
+        F.col("bruto").alias("Jumlah Bruto"),
+        F.col("pph").alias("PPh Dipotong"),
+    )
+
+
+def unmatched_bank_rows(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "scope",
+        "row_idx",
+        F.col("tanggal").alias("Tanggal"),
+        F.col("keterangan").alias("Keterangan"),
+        _present(rows, ["cabang"], "").alias("Cabang"),
+        F.col("debet").alias("Debet"),
+        F.col("kredit").alias("Kredit"),
+        _present(rows, ["saldo"], "0").alias("Saldo"),
+    )
