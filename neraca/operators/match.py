@@ -12,6 +12,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from neraca.functions import score
 from neraca.functions.ids import normalize_npwp, normalize_vendor
@@ -366,12 +367,18 @@ def best_candidate(candidates: DataFrame, keys: Sequence[str] = ("scope",)) -> D
 # --- three-source engine -----------------------------------------------------------------
 
 
-@F.pandas_udf("double")
-def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two normalised names; 0 when either is blank."""
-    return pd.Series(
-        [difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)]
-    )
+def name_similarity(a: Column, b: Column) -> Column:
+    """Ratcliff-Obershelp ratio of two normalised names; 0 when either is blank.
+
+    The function is nested so that it travels to the executors by value.
+    """
+
+    def ratios(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series(
+            [difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(left, right)]
+        )
+
+    return F.pandas_udf(ratios, DoubleType())(a, b)
 
 
 def engine_candidates(invoices: DataFrame, bank: DataFrame, keys: Sequence[str] = (), threshold: float = 0.70) -> DataFrame:
@@ -394,7 +401,7 @@ def engine_candidates(invoices: DataFrame, bank: DataFrame, keys: Sequence[str]
         )
     )
     return (
-        gated.withColumn("vendor_similarity", name_similarity("b_name", "e_name"))
+        gated.withColumn("vendor_similarity", name_similarity(F.col("b_name"), F.col("e_name")))
         .withColumn(
             "confidence",
             score.engine_confidence(

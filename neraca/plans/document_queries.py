@@ -485,3 +485,23 @@ def a7_short_summary(v: Views):
 
     job = reconcile(v.invoice, v.withholding, v.bank)
     return short_summary(job.summary())
+
+
+@query(
+    "s12_s13_report_rows",
+    """SELECT 'point_a_vs_c' AS sheet, count(*) AS rows FROM m_ac UNION ALL SELECT 'point_b_vs_e', count(*) FROM m_be
+       UNION ALL SELECT 'point_a_unmatched', (SELECT count(*) FROM fx_invoice) - (SELECT count(*) FROM m_ac)
+       UNION ALL SELECT 'point_c_unmatched', (SELECT count(*) FROM fx_withholding) - (SELECT count(*) FROM m_ac)
+       UNION ALL SELECT 'point_b_unmatched', (SELECT count(*) FROM fx_invoice) - (SELECT count(*) FROM m_be)
+       UNION ALL SELECT 'point_e_unmatched', (SELECT count(*) FROM fx_bank) - (SELECT count(*) FROM m_be)""",
+)
+def s12_s13_report_rows(v: Views):
+    from neraca.plans.reconcile import reconcile
+
+    job = reconcile(v.invoice, v.withholding, v.bank)
+    sheets = {"point_a_vs_c": job.matches_ac, "point_b_vs_e": job.matches_be, **job.left_over()}
+    counted = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("sheet"), "rows") for name, df in sheets.items()]
+    out = counted[0]
+    for more in counted[1:]:
+        out = out.unionByName(more)
+    return out
