@@ -93,9 +93,13 @@ def read_json(df: DataFrame, column: str, schema: str, name: str = "doc") -> Dat
     """Parsed document in ``name``; what is no JSON object becomes an empty one and is
     flagged ``is_invalid``."""
     text = F.coalesce(F.col(column), F.lit(""))
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
-    parsed = F.from_json(F.when(is_object, text).otherwise("{}"), f"struct<{_as_struct(schema)}>")
-    return df.withColumn(name, parsed).withColumn("is_invalid", ~is_object)
+    looks_right = F.ltrim(text).startswith("{")
+    parsed = F.from_json(
+        F.when(looks_right, text).otherwise("{}"),
+        f"struct<{_as_struct(schema)}, _broken:string>",
+        {"columnNameOfCorruptRecord": "_broken"},
+    )
+    return df.withColumn(name, parsed).withColumn("is_invalid", ~looks_right | F.col(f"{name}._broken").isNotNull())
 
 
 def _as_struct(schema: str) -> str:
@@ -274,7 +278,8 @@ def flatten_fields(df: DataFrame, keys: Sequence[str], doc: str = "doc") -> Data
         return [F.struct(F.lit(path).alias("path"), value.alias("value"))]
 
     pairs = F.array(*leaves(df.schema[doc].dataType, F.col(doc), ""))
-    return df.select(*keys, F.inline(F.filter(pairs, lambda p: p["value"].isNotNull())))
+    filled = F.filter(pairs, lambda p: p["value"].isNotNull() & (p["path"] != "_broken"))
+    return df.select(*keys, F.inline(filled))
 
 
 # --- items -------------------------------------------------------------------------------------------------

@@ -426,41 +426,34 @@ def cimb_text_rows(docs: DataFrame, formats: DataFrame, year: Column) -> DataFra
 # --- which bank ---------------------------------------------------------------------------------------
 
 
-def bank_table(spark: SparkSession) -> DataFrame:
-    """Bank, its precedence and its words: twelve rows."""
-    rows = [(code, i, words) for i, (code, words) in enumerate(BANK_WORDS.items())]
-    return spark.createDataFrame(rows, "bank_code string, priority int, words array<string>")
-
-
 def bank_scores(docs: DataFrame, column: str = "text") -> DataFrame:
-    """Keyword hits of every bank in every text, in percent of its words.
+    """Keyword hits of every bank in every text, best share of its words first.
 
-    The bank table is exploded per document in place, so texts are not shuffled.
+    The twelve banks are laid out and ordered per document in place, so texts are not
+    shuffled; ``place`` counts from 1, earlier banks first on ties.
     """
-    banks = F.array(
-        *[
-            F.struct(
-                F.lit(code).alias("bank_code"),
-                F.lit(i).alias("priority"),
-                F.array(*[F.lit(w) for w in words]).alias("words"),
-            )
-            for i, (code, words) in enumerate(BANK_WORDS.items())
-        ]
-    )
     upper = docs.select("doc_id", F.upper(F.coalesce(column, F.lit(""))).alias("_text"))
-    scored = F.transform(
-        banks,
-        lambda b: F.struct(
-            b["bank_code"].alias("bank_code"),
-            b["priority"].alias("priority"),
-            F.size(F.filter(b["words"], lambda w: F.col("_text").contains(w))).alias("keyword_matches"),
-            F.size(b["words"]).alias("total_keywords"),
-        ),
-    )
-    return (
-        upper.select("doc_id", F.inline(scored))
-        .withColumn("match_percentage", F.col("keyword_matches").cast("double") / F.col("total_keywords") * 100)
-        .withColumn("is_detected", F.col("keyword_matches") > 0)
+
+    def score(code: str, priority: int, words: list[str]) -> Column:
+        hits = sum((F.col("_text").contains(w).cast("int") for w in words), F.lit(0))
+        return F.struct(
+            (-(hits.cast("double") / len(words) * 100)).alias("minus"),
+            F.lit(priority).alias("priority"),
+            F.lit(code).alias("bank_code"),
+            hits.alias("keyword_matches"),
+            F.lit(len(words)).alias("total_keywords"),
+        )
+
+    board = F.array(*[score(code, i, words) for i, (code, words) in enumerate(BANK_WORDS.items())])
+    rows = upper.select("doc_id", F.posexplode(F.sort_array(board)).alias("_at", "_s"))
+    return rows.select(
+        "doc_id",
+        (F.col("_at") + 1).alias("place"),
+        "_s.bank_code",
+        "_s.keyword_matches",
+        "_s.total_keywords",
+        F.abs("_s.minus").alias("match_percentage"),
+        (F.col("_s.keyword_matches") > 0).alias("is_detected"),
     )
 
 

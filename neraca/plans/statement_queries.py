@@ -268,12 +268,8 @@ _ALL_WORDS = "[" + ", ".join(
               FROM (SELECT row_idx AS doc_id, upper(txt) AS t, unnest({_ALL_WORDS}) AS b, unnest(range(0, {len(statement.BANK_WORDS)})) AS p FROM fx_papers))""",
 )
 def a24_t7_bank_scores(v: Views):
-    from pyspark.sql import Window
-
     docs = rendered.papers(v).select(F.col("row_idx").alias("doc_id"), F.col("txt").alias("text"))
-    scores = statement.bank_scores(docs)
-    w = Window.partitionBy("doc_id").orderBy(F.desc("match_percentage"), "priority")
-    return scores.withColumn("place", F.row_number().over(w)).drop("priority")
+    return statement.bank_scores(docs)
 
 
 @query(

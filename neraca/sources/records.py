@@ -49,7 +49,7 @@ def tax_invoices(v: Views) -> DataFrame:
         F.when(row % 10 != 0, named).alias("items"),
     )
     text = F.when(row % 50 == 3, "[1, 2]").when(row % 50 == 4, "{broken").otherwise(F.to_json(doc))
-    return v.invoice.join(lines, F.col("l_orderkey") == row).select("row_idx", text.alias("extracted_data"))
+    return v.spread_invoice.join(lines, F.col("l_orderkey") == row).select("row_idx", text.alias("extracted_data"))
 
 
 def slips(v: Views) -> DataFrame:
@@ -136,7 +136,7 @@ def invoice_sheets(v: Views) -> DataFrame:
     # Rows that lack their key fields must drop out again.
     empty = F.array(F.lit(" "), F.lit("x"), F.lit("y"), F.lit(""), F.lit(""), F.lit("5"))
     cells = F.when(row % 97 == 0, empty).when(row % 2 == 0, wide).otherwise(old)
-    rows = v.invoice.select(file, (F.floor(row / 40) + 10).alias("row_idx"), cells.alias("cells"))
+    rows = v.spread_invoice.select(file, (F.floor(row / 40) + 10).alias("row_idx"), cells.alias("cells"))
     return _sheet(rows, _heads(v))
 
 
@@ -144,7 +144,7 @@ def bank_sheets(v: Views) -> DataFrame:
     row = F.col("row_idx")
     day = F.when(row % 53 == 0, "  ").otherwise(F.date_format("tanggal", "dd/MM/yyyy"))
     cells = F.array(day, id_amount(F.col("kredit")), id_amount(F.col("debet")), F.lit("1.000.000,00"), F.lit("S"), F.lit("T"), F.col("keterangan"))
-    rows = v.bank.select((row % 40).alias("file"), (F.floor(row / 40) + 10).alias("row_idx"), cells.alias("cells"))
+    rows = v.spread_bank.select((row % 40).alias("file"), (F.floor(row / 40) + 10).alias("row_idx"), cells.alias("cells"))
     return _sheet(rows, _heads(v))
 
 

@@ -33,7 +33,7 @@ def pick(options: list[Column], number: Column) -> Column:
 
 def amounts(v: Views) -> DataFrame:
     """Line prices in twelve written styles."""
-    lines = v.table("lineitem").select(
+    lines = v.spread("lineitem").select(
         F.col("l_orderkey").alias("id"),
         F.col("l_linenumber").alias("line"),
         F.col("l_quantity").cast("decimal(10,1)").alias("quantity"),
@@ -60,7 +60,7 @@ def amounts(v: Views) -> DataFrame:
 
 def dates(v: Views) -> DataFrame:
     """Order dates in sixteen written styles."""
-    orders = v.table("orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("day"))
+    orders = v.spread("orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("day"))
     d = F.col("day")
 
     def fmt(pattern: str) -> Column:
@@ -90,7 +90,7 @@ def dates(v: Views) -> DataFrame:
 
 def descriptions(v: Views) -> DataFrame:
     """Bank descriptions with prefixes, reference codes and amounts in front."""
-    o = v.table("orders")
+    o = v.spread("orders")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     price = F.col("o_totalprice").cast(MONEY)
     prefix = pick(
@@ -147,7 +147,7 @@ def papers(v: Views) -> DataFrame:
         F.concat(F.lit("Saldo: "), id_amount(F.col("total"))),
         F.concat(F.lit("Periode: "), name, F.date_format(d, " yyyy")),
     ]
-    return v.invoice.select("row_idx", F.concat_ws("\n", *lines).alias("txt"))
+    return v.spread_invoice.select("row_idx", F.concat_ws("\n", *lines).alias("txt"))
 
 
 # --- statement tables ---------------------------------------------------------------------------
@@ -160,7 +160,7 @@ def statement_source(v: Views) -> DataFrame:
     """Bank rows dealt out to statements of 40 rows, each in one of 21 layouts."""
     row = F.col("row_idx")
     balance = (F.col("debet") + F.col("kredit") + 1000000).cast(MONEY)
-    return v.bank.select(
+    return v.spread_bank.select(
         "row_idx",
         F.floor(row / STATEMENT_ROWS).alias("doc_id"),
         (F.floor(row / STATEMENT_ROWS) % 21).alias("layout"),
