@@ -7,6 +7,7 @@ Frames on either side carry ``scope`` (the unit that is reconciled on its own),
 from __future__ import annotations
 
 import difflib
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -84,8 +85,6 @@ def near_pairs(
     An equi-join on (keys, day bucket, log-amount bucket).  The right side is repeated
     into the neighbouring buckets, so every pair meets exactly once, in one hash join.
     """
-    import math
-
     width = math.log1p(ratio) * 1.01
 
     def day_bucket(c: str) -> Column:
@@ -172,11 +171,19 @@ def settle(candidates: DataFrame, keys: Sequence[str] = ("scope",)) -> DataFrame
     """One-to-one choice among ``candidates(keys, b_idx, e_idx, confidence)``.
 
     The result is that of going through ``b`` in order and giving each its best free
-    ``e`` (first on ties).  Every round each ``b`` points at its best remaining ``e``;
-    an ``e`` pointed at by several is lost to all but the first of them, for good.
-    When no ``e`` is pointed at twice, the pointers are the answer.
+    ``e`` (first on ties).
+    """
+    return _rounds(candidates, list(keys))[0]
+
+
+def _rounds(candidates: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Final pointers, and the candidates still open behind them.
+
+    Every round each ``b`` points at its best remaining ``e``; an ``e`` pointed at by
+    several is lost to all but the first of them, for good.  When no ``e`` is pointed at
+    twice, the pointers are the answer.  Both steps are plain aggregates, combined before
+    the shuffle, so a popular ``e`` or a ``b`` with many candidates is no hot task.
     """
-    keys = list(keys)
     best = F.max_by(F.struct("e_idx", "confidence"), F.struct("confidence", -F.col("e_idx")))
     live = cut_lineage(candidates.select(*keys, "b_idx", "e_idx", "confidence"))
     while True:
@@ -188,11 +195,17 @@ def settle(candidates: DataFrame, keys: Sequence[str] = ("scope",)) -> DataFrame
         )
         holders = cut_lineage(holders)
         if holders.filter(F.col("_n") > 1).isEmpty():
-            return pointers
-        kept = live.join(holders.drop("_n"), [*keys, "e_idx"], "left").filter(
-            F.col("_holder").isNull() | (F.col("b_idx") <= F.col("_holder"))
-        )
-        live = cut_lineage(kept.drop("_holder"))
+            return pointers, live
+        live = cut_lineage(_still_open(live, holders, keys))
+
+
+def _still_open(pairs: DataFrame, holders: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs whose ``e`` is free or held by a later ``b``."""
+    held = holders.select(*keys, "e_idx", "_holder")
+    kept = pairs.join(held, [*keys, "e_idx"], "left").filter(
+        F.col("_holder").isNull() | (F.col("b_idx") <= F.col("_holder"))
+    )
+    return kept.drop("_holder")
 
 
 def _payment_scores(b_date: Column, b_amount: Column, e_date: Column, e_amount: Column):
@@ -253,6 +266,63 @@ def payment_candidates(
     return scored.withColumn("match_type", score.match_band(F.col("confidence")))
 
 
+# Lower ends of the confidence bands in which a large island is settled.
+BANDS = [0.98, 0.9, 0.8, 0.7, math.nextafter(0.6, 1.0), 0.6, 0.52, 0.5]
+
+
+def _band_pairs(free: DataFrame, right: DataFrame, scope: list[str], low: float, require_amount: bool) -> DataFrame:
+    """Pairs of ``free`` rows with ``low <= confidence < _high``.
+
+    The band bounds the day gap and the amount gap, so the join looks no further than it
+    has to.  Pairs beyond 5 % exist only on the same day (0.6) and the days next to it.
+    """
+    days = min(MAX_GAP_DAYS, int((1.0 - (low - 0.4) / 0.6) * 7.0 + 1e-9))
+    percent = min(5.0, (1.0 - (low - 0.6) / 0.4) * 5.0 + 1e-9)
+    ratio = 1.0 / (1.0 - percent / 100.0) - 1.0
+    near = near_pairs(free, right, scope, days, ratio, "b_date", "e_date", "b_amount", "e_amount")
+    gap, pct, _, _, confidence = _payment_scores(F.col("b_date"), F.col("b_amount"), F.col("e_date"), F.col("e_amount"))
+    near = near.filter(pct <= 5)
+    if not require_amount and low in (0.6, 0.5):
+        steps = F.array(F.lit(0)) if low == 0.6 else F.array(F.lit(-1), F.lit(0), F.lit(1))
+        by_day = free.withColumn("_day", F.explode(F.transform(steps, lambda d: F.date_add("b_date", d))))
+        far = by_day.join(right.withColumn("_day", F.col("e_date")), [*scope, "_day"]).drop("_day").filter(pct > 5)
+        near = near.unionByName(far)
+    scored = near.withColumn("confidence", confidence)
+    kept = scored.filter((F.col("confidence") >= low) & (F.col("confidence") < F.col("_high")))
+    return kept.select(*scope, "b_idx", "e_idx", "confidence")
+
+
+def settle_in_bands(left: DataFrame, right: DataFrame, scope: Sequence[str], require_amount: bool = False) -> DataFrame:
+    """The same choice as ``settle`` over all candidates, without writing them all out.
+
+    Candidates are generated band by band, best first, and only for rows that the bands
+    so far left without a partner.  A row proposes in its order of preference either way,
+    and the outcome does not depend on when it does, so the result is the same.
+    """
+    scope = list(scope)
+    row = [*scope, "b_idx"]
+    levels = cut_lineage(left.withColumn("_high", F.lit(float("inf"))))
+    right = cut_lineage(right)
+    pointers = live = None
+    for low in BANDS:
+        while True:
+            free = levels.filter(F.col("_high") > low)
+            if pointers is not None:
+                free = free.join(pointers.select(*row), row, "left_anti")
+            free = cut_lineage(free)
+            if free.isEmpty():
+                break
+            fresh = _band_pairs(free, right, scope, low, require_amount)
+            if pointers is not None:
+                fresh = _still_open(fresh, pointers.withColumnRenamed("b_idx", "_holder"), scope).unionByName(live)
+            pointers, live = _rounds(fresh, scope)
+            asked = free.select(*row, F.lit(low).alias("_low"))
+            levels = cut_lineage(
+                levels.join(asked, row, "left").withColumn("_high", F.coalesce("_low", "_high")).drop("_low")
+            )
+    return pointers
+
+
 def _islands(left: DataFrame, right: DataFrame, scope: list[str]) -> DataFrame:
     """Days of each scope, cut where more than MAX_GAP_DAYS pass without a row.
 
@@ -279,7 +349,7 @@ def _islands(left: DataFrame, right: DataFrame, scope: list[str]) -> DataFrame:
     )
 
 
-def _fold_islands(rows: DataFrame, scope: list[str]) -> DataFrame:
+def _fold_islands(rows: DataFrame, scope: list[str], require_amount: bool) -> DataFrame:
     """Serial choice inside each small island, as one expression over its rows."""
     picked = "array<struct<b_idx:bigint,e_idx:bigint,confidence:double>>"
     entry = F.struct(F.col("_idx").alias("idx"), F.col("_date").alias("day"), F.col("_amount").alias("amount"))
@@ -291,6 +361,8 @@ def _fold_islands(rows: DataFrame, scope: list[str]) -> DataFrame:
     def choose(done: Column, b: Column) -> Column:
         taken = F.transform(done, lambda m: m["e_idx"])
         free = F.filter("_es", lambda e: ~F.array_contains(taken, e["idx"]))
+        if require_amount:
+            free = F.filter(free, lambda e: score.percent_of_base(b["amount"], e["amount"]) <= 5)
         rated = F.transform(
             free,
             lambda e: F.struct(
@@ -321,36 +393,34 @@ def match_payments(
 
     Confidence is 60 % date (7 days) and 40 % amount (5 %), at least 0.50; ``auto``
     from 0.70.  A scope is cut into islands that no pair can span.  Small islands are
-    settled in one group each; larger ones by rounds over the candidate pairs.
+    settled in one group each; larger ones in rounds, band by band (``settle_in_bands``).
+    With ``require_amount`` only payments within 5 % of the invoice count.
     """
     scope = list(scope)
     limit = FOLD_PAIRS if fold_pairs is None else fold_pairs
-    if require_amount:
-        chosen = settle(payment_candidates(b, e, scope, True), scope)
-    else:
-        left, right = payment_sides(b, e, scope)
-        islands = _islands(left, right, scope)
-
-        def tagged(df: DataFrame, p: str) -> DataFrame:
-            return df.select(
-                *scope,
-                F.col(f"{p}_date").alias("_date"),
-                F.lit(p).alias("_kind"),
-                F.col(f"{p}_idx").cast("long").alias("_idx"),
-                F.col(f"{p}_amount").alias("_amount"),
-            )
+    left, right = payment_sides(b, e, scope)
+    islands = _islands(left, right, scope)
 
-        rows = tagged(left, "b").unionByName(tagged(right, "e"))
-        small = rows.join(islands.filter(F.col("_pairs") <= limit), [*scope, "_date"])
-        chosen = _fold_islands(small, scope)
-        large_days = islands.filter(F.col("_pairs") > limit).select(*scope, "_date")
-        if not large_days.isEmpty():
-            on_large = [*scope, "tanggal"]
-            days = large_days.withColumnRenamed("_date", "tanggal")
-            pairs = payment_candidates(
-                b.join(days, on_large, "left_semi"), e.join(days, on_large, "left_semi"), scope
-            )
-            chosen = chosen.unionByName(settle(pairs, scope))
+    def tagged(df: DataFrame, p: str) -> DataFrame:
+        return df.select(
+            *scope,
+            F.col(f"{p}_date").alias("_date"),
+            F.lit(p).alias("_kind"),
+            F.col(f"{p}_idx").cast("long").alias("_idx"),
+            F.col(f"{p}_amount").alias("_amount"),
+        )
+
+    rows = tagged(left, "b").unionByName(tagged(right, "e"))
+    small = rows.join(islands.filter(F.col("_pairs") <= limit), [*scope, "_date"])
+    chosen = _fold_islands(small, scope, require_amount)
+    large_days = islands.filter(F.col("_pairs") > limit).select(*scope, "_date")
+    if not large_days.isEmpty():
+
+        def on_large(df: DataFrame, p: str) -> DataFrame:
+            days = large_days.withColumnRenamed("_date", f"{p}_date")
+            return df.join(days, [*scope, f"{p}_date"], "left_semi")
+
+        chosen = chosen.unionByName(settle_in_bands(on_large(left, "b"), on_large(right, "e"), scope, require_amount))
     return chosen.withColumn("match_type", score.match_band(F.col("confidence")))
 
 

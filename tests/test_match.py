@@ -196,3 +196,16 @@ def test_demo_trio(spark):
     row = out[0]
     assert (row["point_a_count"], row["point_b_count"], row["total_auto_matched"], row["total_suggested"]) == (20, 20, 40, 0)
     assert row["match_rate_a_vs_c"] == 100.0 and row["match_rate_b_vs_e"] == 100.0
+
+
+@pytest.mark.parametrize("need_amount", [False, True])
+def test_large_island(spark, need_amount):
+    """One crowded scope, settled in bands and never in one group."""
+    rnd = random.Random(21)
+
+    def side(n):
+        return [("s", i, DAY + datetime.timedelta(days=rnd.randint(0, 6)), round(rnd.uniform(100, 180), 2)) for i in range(n)]
+
+    left, right = side(90), side(70)
+    got = match.match_payments(*frames(spark, left, right), require_amount=need_amount, fold_pairs=0)
+    assert result(got) == expected(left, right, need_amount)
