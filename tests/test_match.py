@@ -206,6 +206,6 @@ def test_large_island(spark, need_amount):
     def side(n):
         return [("s", i, DAY + datetime.timedelta(days=rnd.randint(0, 6)), round(rnd.uniform(100, 180), 2)) for i in range(n)]
 
-    left, right = side(90), side(70)
+    left, right = side(30), side(22)
     got = match.match_payments(*frames(spark, left, right), require_amount=need_amount, fold_pairs=0)
     assert result(got) == expected(left, right, need_amount)
