@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +34,10 @@ def build_session(master: str | None = None, app: str = "neraca", **conf: str) -
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """Folder all executors share: ``spark.checkpoint.dir`` of the session, else the one
-    set on the context; a temporary one only in local mode."""
+    set on the context, else a folder in the session's warehouse.  Never one of this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="neraca-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_neraca_checkpoints"
     return folder.rstrip("/")
 
 
@@ -50,9 +46,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     A lost executor costs one re-read and not a replay of every earlier round, and the
     plan of a loop starts afresh: a written table, unlike a checkpointed plan, does not
-    carry the constraints of the rounds before it.
+    carry the constraints of the rounds before it.  ``discard`` deletes it.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/neraca-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._neraca_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``cut_lineage`` wrote, once nothing unfinished reads it."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._neraca_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
