@@ -25,6 +25,9 @@ LINE[0x0A] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
+#: First bytes of code points.
+HEADS = (np.arange(256) & 0xC0) != 0x80
+
 #: Identity, and A-Z to a-z.
 SAME = np.arange(256, dtype=np.uint8)
 LOWER = SAME.copy()
@@ -70,6 +73,7 @@ class Words(NamedTuple):
     row: np.ndarray
     hash: np.ndarray
     size: np.ndarray  # bytes
+    marked: np.ndarray  # marked bytes in it
 
     @property
     def bounds(self) -> np.ndarray:
@@ -138,9 +142,10 @@ def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarr
 
 
 def words(
-    column: pa.Array, token: np.ndarray = WORD, fold: np.ndarray = LOWER, limit: int = SLICE, most_rows: int = 1 << 30
-) -> Iterator[Words]:
-    """The tokens of every whole text, some rows at a time."""
+    column: pa.Array, token: np.ndarray = WORD, fold: np.ndarray = LOWER, limit: int = SLICE, most_rows: int = 1 << 30,
+    mark: np.ndarray | None = None,
+) -> Iterator[Words]:
+    """The tokens of every whole text, some rows at a time; ``mark`` picks the bytes to count in each."""
     raw, at = buffers(column)
     for low, high in slices(at, limit, most_rows):
         begin, end = int(at[low]), int(at[high])
@@ -150,9 +155,15 @@ def words(
             part = raw[a:b]
             starts, ends = spans(part, at[low + 1 : high] - a, token)
             row = np.searchsorted(at[low + 1 : high], starts + a, "right").astype(np.int32)
-            found.append((row, hashes(part, starts, ends, fold), (ends - starts).astype(np.int32)))
+            if mark is None:
+                marked = starts[:0]
+            else:
+                sums = np.concatenate([[0], np.cumsum(mark[part], dtype=np.int64)])
+                marked = sums[ends] - sums[starts]
+            found.append((row, hashes(part, starts, ends, fold), (ends - starts).astype(np.int32), marked.astype(np.int32)))
         if not found:
-            found = [(np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int32))]
+            none = np.zeros(0, np.int32)
+            found = [(none, np.zeros(0, np.uint64), none, none)]
         yield Words(low, high - low, *(np.concatenate(x) if len(found) > 1 else x[0] for x in zip(*found, strict=True)))
 
 
