@@ -3,15 +3,17 @@
 1. Equal sets are one node.  Every node's tokens are dealt by hash into ``m`` parts, ``m`` fixed
    per class of set sizes.  Linked sets differ in at most ``D`` tokens, so at least ``m - D``
    of their parts are equal; a part's content is its signature.
-2. Nodes that share a signature with a smaller node are verified against it.  Verified stars,
-   joined to components, are the groups: each holds similar documents.
-3. The token-group matrix holds each group's token union, one row per group and token.  A query
-   that shares a signature with a group it isn't in is held against the union: a member can
-   link only if the union covers the overlap a link needs.  Groups that fall short stay shut.
-4. Only qualifying groups are opened, and their members verified.
+2. Nodes that share a signature with a smaller node are verified against it, at most two each.  Verified
+   stars, joined to components, are the groups: each holds similar documents.
+3. Nodes of signatures that several groups still share meet in the token-group matrix: a row says that
+   a token is among the rarest of some member of a group.  A query looks up its own rarest tokens;
+   rarest by the count among these nodes, and as many as a link can't do without, so a text that only shares a
+   common passage, or differs from its like in tokens of its own, finds nothing.
+4. The tokens of each group found are united, and a query's overlap with the union bounds that with any
+   member.  Only groups that reach what a link needs are opened, and their members verified.
 
 Signatures of tiny or frequent parts may be left out as long as a node leaves out no more than
-the ``spare`` parts it has beyond ``D + 1``; as both sides judge a part by its content alone, one
+its spare parts of that kind, beyond ``D + 1``; as both sides judge a part by its content alone, one
 equal part always remains.  A node with more of them leaves out none, so no link is lost.
 
 Defined results: null and empty texts, and texts of separators only, have no shingle and link with
@@ -33,8 +35,9 @@ from neraca.llm import tokens
 from neraca.llm.components import components
 from neraca.session import cut_lineage
 
-#: Share of parts beyond ``D + 1``; fewest tokens of a part worth matching; nodes of a frequent part.
-SPARE, LEAST_TOKENS, FREQUENT = 0.25, 3, 64
+#: Parts beyond ``D + 1`` that tiny and frequent ones may take up, each as a share of it; tokens of a
+#: part that isn't tiny; documents of a frequent part.
+SPARE, LEAST_TOKENS, FREQUENT = 0.15, 3, 8
 #: Rows of a table of a few long columns that may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -46,7 +49,7 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 @lru_cache
 def size_classes(percent: int, spare: float = SPARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First size, number of parts and spare parts of each class.
+    """First size, number of parts and spare parts of each kind of each class.
 
     A link reaches at most the next class: the classes widen by more than 100 / percent.
     """
@@ -55,14 +58,14 @@ def size_classes(percent: int, spare: float = SPARE) -> tuple[np.ndarray, np.nda
         first.append(int(first[-1] * widen) + 1)
     far = np.array([(100 - percent) * 2 * (b - 1) // (100 + percent) for b in first[1:]])
     extra = np.ceil(spare * (far + 1)).astype(np.int64) * (far > 0)
-    return np.array(first), far + 1 + extra, extra
+    return np.array(first), far + 1 + 2 * extra, extra
 
 
 def parts(row: np.ndarray, value: np.ndarray, rows: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, signature and tag of the parts of each set; a set that can only equal others has none.
 
-    The tag is 1 + the number of frequent parts the row may still leave out, 0 if it may leave out none;
-    a row's two schemes are told apart by the lowest bit.
+    The tag is the number of frequent parts the row may leave out; a row's two schemes are told apart by the
+    lowest bit.
     """
     first, count, extra = size_classes(percent)
     size = np.bincount(row, minlength=rows)
@@ -89,16 +92,16 @@ def parts(row: np.ndarray, value: np.ndarray, rows: int, percent: int) -> tuple[
         content = total[np.append(at[1:], len(r))] - total[at]
         filled = np.bincount(pr, minlength=rows)
         tiny = m - filled + np.bincount(pr[n < LEAST_TOKENS], minlength=rows)
-        free = np.where(tiny <= extra[scheme], extra[scheme] - tiny, -1)
-        keep = (n >= LEAST_TOKENS) | (free[pr] < 0)
+        crowded = tiny > extra[scheme]
+        keep = (n >= LEAST_TOKENS) | crowded[pr]
         pr, pp, content, n = pr[keep], pp[keep], content[keep], n[keep]
-        bare = np.flatnonzero(take & (free < 0) & (filled < m))
+        bare = np.flatnonzero(take & crowded & (filled < m))
         for b in bare:  # such a row also needs its empty parts
             gaps = np.setdiff1d(np.arange(m[b]), part[(r == b)].astype(np.int64))
             pr, pp = np.append(pr, np.full(len(gaps), b, pr.dtype)), np.append(pp, gaps.astype(np.uint64))
             content, n = np.append(content, np.zeros(len(gaps), np.uint64)), np.append(n, np.zeros(len(gaps), n.dtype))
         key = tokens.mix(content + tokens.mix((pp << np.uint64(16)) + scheme[pr].astype(np.uint64)) + n.astype(np.uint64))
-        out.append((pr, key, (np.maximum(free[pr] + 1, 0) * 2 + step).astype(np.int32)))
+        out.append((pr, key, (extra[scheme[pr]] * 2 + step).astype(np.int32)))
     if not out:
         return row[:0], value[:0], np.zeros(0, np.int32)
     pr, key, tag = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -202,27 +205,53 @@ def _needed(shared: DataFrame) -> DataFrame:
     """``shared`` without the frequent signatures that a node may leave out."""
     frequent = F.col("rows") > FREQUENT
     spent = shared.groupBy("node", F.col("tag")).agg(F.sum(frequent.cast("int")).alias("spent"))
-    may = (F.col("spent") > 0) & (F.col("spent") <= F.floor(F.col("tag") / 2) - 1)
+    may = (F.col("spent") > 0) & (F.col("spent") <= F.floor(F.col("tag") / 2))
     free = spent.filter(may).select("node", "tag", F.lit(True).alias("free"))
     return shared.join(free, ["node", "tag"], "left").filter(~(frequent & F.col("free").isNotNull())).drop("free")
 
 
+def _first_pairs(shared: DataFrame) -> DataFrame:
+    """(node, other): each node with the smallest lead of its signatures, and that of the most frequent one."""
+    leads = shared.filter("node <> lead").groupBy("node").agg(F.min("lead").alias("low"), F.max_by("lead", F.struct("rows", "sig")).alias("top"))
+    return leads.select("node", F.explode(F.array_distinct(F.array("low", "top"))).alias("other"))
+
+
+def _rarest(hard: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """(token, node, grp, n, short): the tokens of each node that a link can't do without.
+
+    ``short`` marks those that suffice if the other set is at least as large.
+    """
+    rows = sets.of(hard).select("node", "grp", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    dealt = rows.repartition("token")
+    common = dealt.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    held = dealt.join(common.hint("shuffle_hash"), "token").groupBy("node", "grp", "n")
+    listed = held.agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
+    n, own = F.col("n"), F.col("n") - F.size("common")
+    far = n - F.ceil(n * percent / 100) + 1 - own
+    near = n - F.ceil(n * 2 * percent / (100 + percent)) + 1 - own
+    picked = F.slice("common", 1, F.greatest(F.least(far, F.size("common")), F.lit(0)).cast("int"))
+    each = listed.select("node", "grp", "n", near.alias("near"), F.posexplode(picked).alias("k", "c"))
+    return each.select("node", "grp", "n", F.col("c.token").alias("token"), (F.col("k") < F.col("near")).alias("short"))
+
+
 def _open_groups(shared: DataFrame, groups: DataFrame, tested: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """Pairs (node, other) inside the groups that a query's overlap with their token union lets in."""
     rows = _needed(shared).join(groups, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("grp"))
     mixed = rows.groupBy("sig").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low < high").select("sig")
-    rows = cut_lineage(rows.join(mixed, "sig", "left_semi"))
-    sides = rows.select("sig", F.col("grp").alias("in_grp")).distinct()
-    asked = cut_lineage(rows.join(sides, "sig").filter("in_grp < grp").select("node", "in_grp").distinct())
-    picked = asked.select(F.col("in_grp").alias("grp")).distinct()
-    members = rows.select("node", "grp").distinct().join(picked, "grp", "left_semi")
+    hard = cut_lineage(rows.join(mixed, "sig", "left_semi").select("node", "grp").distinct())
+    rare = cut_lineage(_rarest(hard, sets, percent))
+    matrix = rare.filter("short").groupBy("token", F.col("grp").alias("in_grp")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    fits = (F.col("grp") != F.col("in_grp")) & (F.col("least") <= F.col("n")) & (F.col("most") * 100 >= F.col("n") * percent)
+    asked = cut_lineage(rare.join(matrix, "token").filter(fits).groupBy("node", "in_grp").agg(F.max("n").alias("n"), F.min("least").alias("least")))
+    members = hard.join(asked.select(F.col("in_grp").alias("grp")).distinct(), "grp", "left_semi")
     union = sets.of(members).select(F.col("grp").alias("in_grp"), F.explode("tokens").alias("token")).distinct()
-    query = sets.of(asked).select("node", "in_grp", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    bound = query.join(union, ["in_grp", "token"]).groupBy("node", "in_grp").agg(F.count(F.lit(1)).alias("over"), F.max("n").alias("n"))
-    opened = bound.filter(F.col("over") * 100 >= F.col("n") * percent).select("node", "in_grp")
-    others = rows.select("sig", F.col("node").alias("other"), F.col("grp").alias("in_grp"))
-    pairs = rows.select("sig", "node", "grp").join(others, "sig").filter("in_grp < grp")
-    pairs = pairs.join(opened, ["node", "in_grp"], "left_semi").select("node", "other").distinct()
+    query = sets.of(asked).select("node", "in_grp", "n", "least", F.explode("tokens").alias("token"))
+    bound = query.join(union, ["in_grp", "token"]).groupBy("node", "in_grp", "n", "least").agg(F.count(F.lit(1)).alias("over"))
+    smallest = F.greatest(F.col("least") * 100, F.col("n") * percent)
+    opened = bound.filter(F.col("over") * (100 + percent) * 100 >= (F.col("n") * 100 + smallest) * percent).select("node", "in_grp")
+    others = rare.filter("short").select("token", F.col("node").alias("other"), F.col("grp").alias("in_grp"), F.col("n").alias("m"))
+    pairs = rare.select("token", "node", "n").join(opened, "node").join(others, ["token", "in_grp"])
+    pairs = pairs.filter((F.col("m") <= F.col("n")) & (F.col("m") * 100 >= F.col("n") * percent)).select("node", "other").distinct()
     pairs = pairs.join(tested, ["node", "other"], "left_anti")
     return pairs.join(tested.select(F.col("other").alias("node"), F.col("node").alias("other")), ["node", "other"], "left_anti")
 
@@ -238,7 +267,7 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     shared = cut_lineage(_shared(signed))
     candidates = shared.select("node").distinct()
     sets = Sets(base, signed, candidates, words)
-    tested = cut_lineage(shared.filter("node <> lead").select("node", F.col("lead").alias("other")).distinct())
+    tested = cut_lineage(_first_pairs(shared))
     links = cut_lineage(_verified(tested, sets, percent))
     groups = components(links, "node", "other")
     opened = cut_lineage(_open_groups(shared, groups, tested, sets, percent))
