@@ -9,7 +9,8 @@ once.  A text whose squared Mahalanobis distance exceeds ``CUTOFF`` is rejected.
 
 Every step is one aggregate of a few sums per group, so a hot source costs no single task its rows.
 Quantiles are taken of rounded values, which are few.  ``FLOOR`` is added to each
-variance, so a statistic that hardly varies doesn't reject by itself.
+variance, so a statistic that hardly varies doesn't reject by itself; for the same end distances are
+scaled down to the normal median where they exceed it, never up.
 
 Defined results: a null or empty text has no words and fails the base rules.  Null language or source is
 a group of its own.  Groups of fewer than ``LEAST_ROWS`` passing texts are judged by the estimate of all texts;
@@ -30,9 +31,9 @@ from neraca.llm.jaccard import small
 from neraca.session import cut_lineage, discard
 
 HALF, STEPS, LEAST_ROWS = 0.75, 6, 50
-#: Squared distance beyond which a text is rejected: five dimensions, about 1 normal text in 10 million.
-CUTOFF = 42.0
-FLOOR = (0.15, 0.1, 0.004, 0.01, 0.01)
+#: Squared distance beyond which a text is rejected: five dimensions, about 1 normal text in 70 000.
+CUTOFF = 30.0
+FLOOR = (0.15, 0.1, 0.0025, 0.03, 0.03)
 #: Median of chi-square with five degrees of freedom, and its 97.5 % quantile.
 MEDIAN, REWEIGHT = 4.351, 12.833
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -153,7 +154,7 @@ def estimates(rows: DataFrame) -> DataFrame:
         now = fresh
     for last in (False, True):
         held = _held(rows, now)
-        scale = _quantile(held, 0.5).select("grp", F.greatest(F.exp("cut") / MEDIAN, F.lit(1e-3)).alias("scale"))
+        scale = _quantile(held, 0.5).select("grp", F.greatest(F.exp("cut") / MEDIAN, F.lit(1.0)).alias("scale"))
         if last:
             out = cut_lineage(now.join(scale, "grp"))
         else:
