@@ -3,14 +3,15 @@
 1. Equal sets are one node.  Every node's tokens are dealt by hash into ``m`` parts, ``m`` fixed
    per class of set sizes.  Linked sets differ in at most ``D`` tokens, so at least ``m - D``
    of their parts are equal; a part's content is its signature.
-2. Nodes that share a signature with a smaller node are verified against it, at most two each.  Verified
+2. Nodes are verified against the most central nodes among those they share signatures with.  Verified
    stars, joined to components, are the groups: each holds similar documents.
 3. Nodes of signatures that several groups still share meet in the token-group matrix: a row says that
    a token is among the rarest of some member of a group.  A query looks up its own rarest tokens;
    rarest by the count among these nodes, and as many as a link can't do without, so a text that only shares a
    common passage, or differs from its like in tokens of its own, finds nothing.
 4. The tokens of each group found are united, and a query's overlap with the union bounds that with any
-   member.  Only groups that reach what a link needs are opened, and their members verified.
+   member.  Only groups that reach what a link needs are opened, and their members verified, but for those
+   whose sketch of 1024 bits differs in more bits than a link may differ in tokens.
 
 Signatures of tiny or frequent parts may be left out as long as a node leaves out no more than
 its spare parts of that kind, beyond ``D + 1``; as both sides judge a part by its content alone, one
@@ -28,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from neraca.llm import tokens
@@ -38,6 +39,10 @@ from neraca.session import cut_lineage
 #: Parts beyond ``D + 1`` that tiny and frequent ones may take up, each as a share of it; tokens of a
 #: part that isn't tiny; documents of a frequent part.
 SPARE, LEAST_TOKENS, FREQUENT = 0.15, 3, 8
+#: Leads that a node is held against before groups are made.
+LEADS = 3
+#: Bits of a set's sketch, in longs.
+SKETCH = 16
 #: Rows of a table of a few long columns that may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -115,18 +120,31 @@ def nodes_of(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray,
     return size, tokens.mix(tokens.sums_by_row(row, tokens.mix(value), rows) + size.astype(np.uint64))
 
 
+def sketches(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+    """Per row, ``SKETCH`` longs whose bits are toggled by the tokens that fall on them."""
+    size = 64 * SKETCH
+    odd = np.bincount(row.astype(np.int64) * size + (value & np.uint64(size - 1)).astype(np.int64), minlength=rows * size) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(rows, size), axis=1).view(np.int64)
+
+
+def apart(a: str, b: str) -> Column:
+    """Bits in which two sketches differ: at most the tokens that only one of the sets has."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
 def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per document: id, key, number of shingles, node, signatures and tags."""
+    """Per document: id, key, number of shingles, node, sketch, signatures and tags."""
 
     def run(batches):
         for batch in batches:
-            size, node, keys, tags, ends = [], [], [], [], [np.zeros(1, np.int64)]
-            for found in tokens.words(batch.column("text")):
+            size, node, bits, keys, tags, ends = [], [], [], [], [], [np.zeros(1, np.int64)]
+            for found in tokens.words(batch.column("text"), most_rows=512):
                 row, value = tokens.word_sets(found, words)
                 n, name = nodes_of(row, value, found.rows)
                 pr, key, tag = parts(row, value, found.rows, percent)
                 size.append(n)
                 node.append(name)
+                bits.append(sketches(row, value, found.rows).ravel())
                 keys.append(key)
                 tags.append(tag)
                 ends.append(ends[-1][-1] + np.cumsum(np.bincount(pr, minlength=found.rows)))
@@ -134,25 +152,28 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
             node = np.concatenate(node).view(np.int64) if node else np.zeros(0, np.int64)
             keys = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             tags = np.concatenate(tags) if tags else np.zeros(0, np.int32)
+            bits = np.concatenate(bits) if bits else np.zeros(0, np.int64)
             bounds = np.concatenate(ends)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"), batch.column("key"), pa.array(size.astype(np.int64)), pa.array(node, mask=size == 0),
-                    tokens.lists(keys, bounds, pa.int64()), tokens.lists(tags, bounds, pa.int32()),
+                    tokens.lists(bits, np.arange(len(size) + 1) * SKETCH, pa.int64()), tokens.lists(keys, bounds, pa.int64()), tokens.lists(tags, bounds, pa.int32()),
                 ],
-                ["id", "key", "n_shingles", "node", "sigs", "tags"],
+                ["id", "key", "n_shingles", "node", "bits", "sigs", "tags"],
             )
 
-    return docs.mapInArrow(run, "id long, key long, n_shingles long, node long, sigs array<long>, tags array<int>")
+    return docs.mapInArrow(run, "id long, key long, n_shingles long, node long, bits array<long>, sigs array<long>, tags array<int>")
 
 
 class Sets:
     """Token sets of picked nodes, found again from the texts."""
 
     def __init__(self, docs: DataFrame, signed: DataFrame, candidates: DataFrame, words: int):
-        named = signed.filter("node is not null").select("node", "key").join(candidates, "node", "left_semi")
-        self.keys = cut_lineage(named.groupBy("node").agg(F.min("key").alias("key")))
-        self.count = self.keys.count()
+        named = signed.filter("node is not null").select("node", "key", "n_shingles", "bits").join(candidates, "node", "left_semi")
+        first = F.min_by(F.struct(F.col("n_shingles").alias("n"), "bits"), "key")
+        kept = cut_lineage(named.groupBy("node").agg(F.min("key").alias("key"), first.alias("f")).select("node", "key", "f.n", "f.bits"))
+        self.keys, self.sketch = kept.select("node", "key"), kept.select("node", "n", "bits")
+        self.count = kept.count()
         self.docs, self.words = docs, words
 
     def of(self, picked: DataFrame) -> DataFrame:
@@ -191,13 +212,13 @@ def _verified(pairs: DataFrame, sets: Sets, percent: int) -> DataFrame:
 
 
 def _shared(signed: DataFrame) -> DataFrame:
-    """(sig, node, tag, lead, rows) of signatures that several nodes have; lead is the smallest node."""
+    """(sig, node, tag, rows) of signatures that several nodes have; ``rows`` counts documents."""
     pairs = signed.select("node", F.explode(F.arrays_zip("sigs", "tags")).alias("p")).select(
         F.col("p.sigs").alias("sig"), "node", F.col("p.tags").alias("tag")
     )
     dealt = pairs.repartition("sig")
-    heads = dealt.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count(F.lit(1)).alias("rows"))
-    heads = heads.filter("lead < last").select("sig", "lead", "rows")
+    heads = dealt.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("rows"))
+    heads = heads.filter("low < high").select("sig", "rows")
     return dealt.join(heads.hint("shuffle_hash"), "sig").distinct()
 
 
@@ -210,14 +231,31 @@ def _needed(shared: DataFrame) -> DataFrame:
     return shared.join(free, ["node", "tag"], "left").filter(~(frequent & F.col("free").isNotNull())).drop("free")
 
 
-def _first_pairs(shared: DataFrame) -> DataFrame:
-    """(node, other): each node with the smallest lead of its signatures, and that of the most frequent one."""
-    leads = shared.filter("node <> lead").groupBy("node").agg(F.min("lead").alias("low"), F.max_by("lead", F.struct("rows", "sig")).alias("top"))
-    return leads.select("node", F.explode(F.array_distinct(F.array("low", "top"))).alias("other"))
+def _first_pairs(shared: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """(node, other): each node with the leads it shares most signatures with, at most ``LEADS``.
+
+    A signature's lead is its most central node, the one whose own signatures have most documents: in
+    a family of copies, the one nearest to all.
+    """
+    central = shared.groupBy("node").agg(F.sum("rows").alias("weight"))
+    leads = shared.join(central, "node").groupBy("sig").agg(F.max_by("node", F.struct("weight", "node")).alias("lead"))
+    met = shared.select("sig", "node").join(leads, "sig").filter("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("n"))
+    best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "lead")), asc=False), 1, LEADS).alias("best"))
+    pairs = best.select("node", F.explode("best.lead").alias("other"))
+    other = sets.sketch.select(F.col("node").alias("other"), F.col("n").alias("m"), F.col("bits").alias("theirs"))
+    rated = pairs.join(sets.sketch, "node").join(other, "other")
+    return rated.filter(_may_link(percent)).select("node", "other")
+
+
+def _may_link(percent: int) -> Column:
+    """Whether sizes n, m and sketches bits, theirs leave room for a link."""
+    both = F.col("n") + F.col("m")
+    sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    return sized & (apart("bits", "theirs") * (100 + percent) <= both * (100 - percent))
 
 
 def _rarest(hard: DataFrame, sets: Sets, percent: int) -> DataFrame:
-    """(token, node, grp, n, short): the tokens of each node that a link can't do without.
+    """(token, node, grp, n, own, short): the tokens of each node that a link can't do without.
 
     ``short`` marks those that suffice if the other set is at least as large.
     """
@@ -230,8 +268,8 @@ def _rarest(hard: DataFrame, sets: Sets, percent: int) -> DataFrame:
     far = n - F.ceil(n * percent / 100) + 1 - own
     near = n - F.ceil(n * 2 * percent / (100 + percent)) + 1 - own
     picked = F.slice("common", 1, F.greatest(F.least(far, F.size("common")), F.lit(0)).cast("int"))
-    each = listed.select("node", "grp", "n", near.alias("near"), F.posexplode(picked).alias("k", "c"))
-    return each.select("node", "grp", "n", F.col("c.token").alias("token"), (F.col("k") < F.col("near")).alias("short"))
+    each = listed.select("node", "grp", "n", own.alias("own"), near.alias("near"), F.posexplode(picked).alias("k", "c"))
+    return each.select("node", "grp", "n", "own", F.col("c.token").alias("token"), (F.col("k") < F.col("near")).alias("short"))
 
 
 def _open_groups(shared: DataFrame, groups: DataFrame, tested: DataFrame, sets: Sets, percent: int) -> DataFrame:
@@ -242,16 +280,20 @@ def _open_groups(shared: DataFrame, groups: DataFrame, tested: DataFrame, sets:
     rare = cut_lineage(_rarest(hard, sets, percent))
     matrix = rare.filter("short").groupBy("token", F.col("grp").alias("in_grp")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     fits = (F.col("grp") != F.col("in_grp")) & (F.col("least") <= F.col("n")) & (F.col("most") * 100 >= F.col("n") * percent)
+    # Tokens of its own can't be in any union.
+    smallest = F.greatest(F.col("least") * 100, F.col("n") * percent)
+    fits = fits & ((F.col("n") - F.col("own")) * (100 + percent) * 100 >= (F.col("n") * 100 + smallest) * percent)
     asked = cut_lineage(rare.join(matrix, "token").filter(fits).groupBy("node", "in_grp").agg(F.max("n").alias("n"), F.min("least").alias("least")))
     members = hard.join(asked.select(F.col("in_grp").alias("grp")).distinct(), "grp", "left_semi")
     union = sets.of(members).select(F.col("grp").alias("in_grp"), F.explode("tokens").alias("token")).distinct()
     query = sets.of(asked).select("node", "in_grp", "n", "least", F.explode("tokens").alias("token"))
     bound = query.join(union, ["in_grp", "token"]).groupBy("node", "in_grp", "n", "least").agg(F.count(F.lit(1)).alias("over"))
-    smallest = F.greatest(F.col("least") * 100, F.col("n") * percent)
     opened = bound.filter(F.col("over") * (100 + percent) * 100 >= (F.col("n") * 100 + smallest) * percent).select("node", "in_grp")
-    others = rare.filter("short").select("token", F.col("node").alias("other"), F.col("grp").alias("in_grp"), F.col("n").alias("m"))
-    pairs = rare.select("token", "node", "n").join(opened, "node").join(others, ["token", "in_grp"])
-    pairs = pairs.filter((F.col("m") <= F.col("n")) & (F.col("m") * 100 >= F.col("n") * percent)).select("node", "other").distinct()
+    member = rare.filter("short").select("token", "node", F.col("grp").alias("in_grp")).join(sets.sketch, "node")
+    member = member.select("token", "in_grp", F.col("node").alias("other"), F.col("n").alias("m"), F.col("bits").alias("theirs"))
+    query = rare.select("token", "node").join(opened, "node").join(sets.sketch, "node")
+    met = (query["token"] == member["token"]) & (query["in_grp"] == member["in_grp"]) & (F.col("m") <= F.col("n")) & _may_link(percent)
+    pairs = query.join(member, met).select("node", "other").distinct()
     pairs = pairs.join(tested, ["node", "other"], "left_anti")
     return pairs.join(tested.select(F.col("other").alias("node"), F.col("node").alias("other")), ["node", "other"], "left_anti")
 
@@ -267,7 +309,7 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     shared = cut_lineage(_shared(signed))
     candidates = shared.select("node").distinct()
     sets = Sets(base, signed, candidates, words)
-    tested = cut_lineage(_first_pairs(shared))
+    tested = cut_lineage(_first_pairs(shared, sets, percent))
     links = cut_lineage(_verified(tested, sets, percent))
     groups = components(links, "node", "other")
     opened = cut_lineage(_open_groups(shared, groups, tested, sets, percent))
