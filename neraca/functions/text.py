@@ -164,14 +164,14 @@ def _tier(value: Column, tiers: list[tuple[int, float]], floor: float) -> Column
     return out.otherwise(floor)
 
 
-def text_quality(text: Column, kind: Column) -> Column:
+def text_quality(text: Column, kind: Column, head: int | None = None) -> Column:
     """Half length tier, 30 % line tier, 20 % keyword bonus, kept inside 0.1-0.99.
 
-    Keywords are looked for where the rule looks: the first 1000 characters."""
-    head = F.lower(F.substring(text, 1, 1000))
+    Keywords are looked for in the whole text, or its first ``head`` characters."""
+    seen = F.lower(text if head is None else F.substring(text, 1, head))
     bonus = F.lit(0.0)
     for name, words in QUALITY_WORDS.items():
-        hits = reduce(lambda a, b: a + b, [head.contains(w).cast("int") for w in words])
+        hits = reduce(lambda a, b: a + b, [seen.contains(w).cast("int") for w in words])
         bonus = F.when(kind == name, F.least(hits * F.lit(0.05), F.lit(0.15))).otherwise(bonus)
     lines = F.size(F.split(text, "\n"))
     total = _tier(F.length(text), LENGTH_TIERS, 0.2) * 0.5 + _tier(lines, LINE_TIERS, 0.3) * 0.3 + bonus * 0.2

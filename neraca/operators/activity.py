@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from neraca.operators.summary import percent
 
-# Lists up to this length become an IN predicate, which reaches the scan.
-IN_LIST_LIMIT = 1000
-
 
 # --- filters --------------------------------------------------------------------------------------
 
@@ -26,8 +23,6 @@ def in_list(df: DataFrame, column: str, listed: str) -> DataFrame:
     values = [x.strip() for x in listed.split(",") if x.strip()]
     if not values:
         return df
-    if len(values) <= IN_LIST_LIMIT:
-        return df.filter(F.col(column).cast("string").isin(values))
     wanted = df.sparkSession.createDataFrame([(x,) for x in sorted(set(values))], f"`{column}_text` string")
     return df.join(wanted, F.col(column).cast("string") == F.col(f"{column}_text"), "left_semi")
 
@@ -97,13 +92,13 @@ def users_with_activity(users: DataFrame, batches: DataFrame) -> DataFrame:
     return users.join(stats, "id", "left").withColumn("total_batches", F.coalesce("total_batches", F.lit(0)))
 
 
-def batches_with_files(batches: DataFrame, files: DataFrame, shown: int = 5) -> DataFrame:
-    """Batches with their file count and the first ``shown`` files.
+def batches_with_files(batches: DataFrame, files: DataFrame, shown: int | None = None) -> DataFrame:
+    """Batches with their file count and their files, or the first ``shown`` of them.
 
-    Only the shown files are gathered into a list, so a batch of any size is safe.
+    With ``shown`` only those files are gathered into a list, so a batch of any size is safe.
     """
     counts = files.groupBy("batch_id").agg(F.count(F.lit(1)).alias("total_files"))
-    head = first_per_group(files, ["batch_id"], [F.asc("id")], shown)
+    head = files if shown is None else first_per_group(files, ["batch_id"], [F.asc("id")], shown)
     lists = head.groupBy("batch_id").agg(
         F.array_sort(F.collect_list(F.struct("id", "name", "status"))).alias("files")
     )

@@ -286,24 +286,26 @@ def flatten_fields(df: DataFrame, keys: Sequence[str], doc: str = "doc") -> Data
 
 
 def item_totals(items: Column) -> dict[str, Column]:
-    """Subtotals (quantity x price, truncated), grand total and summed quantity of a list."""
+    """Subtotals (quantity x price, truncated), grand total and summed quantity of a list; a null
+    list has none and sums to 0."""
     from neraca.functions.money import parse_price, parse_quantity
 
-    def subtotal(i: Column) -> Column:
-        product = F.coalesce(parse_quantity(i["quantity"]), F.lit(0)) * parse_price(i["unit_price"])
-        return F.when(product > 0, F.floor(product).cast("long")).otherwise(F.lit(0).cast("long"))
-
-    subtotals = F.transform(items, subtotal)
-    quantity = F.aggregate(
-        F.transform(items, lambda i: F.coalesce(parse_quantity(i["quantity"]), F.lit(0)).cast("decimal(28,2)")),
-        F.lit(0).cast("decimal(28,2)"),
-        lambda a, x: (a + x).cast("decimal(28,2)"),
+    def parsed(i: Column) -> Column:
+        quantity = F.coalesce(parse_quantity(i["quantity"]), F.lit(0)).cast("decimal(28,2)")
+        product = quantity * parse_price(i["unit_price"])
+        amount = F.when(product > 0, F.floor(product).cast("long")).otherwise(F.lit(0).cast("long"))
+        return F.struct(quantity.alias("quantity"), amount.alias("amount"))
+
+    # Each item is parsed once; the totals fold over what came out.
+    start = F.struct(F.array().cast("array<bigint>").alias("subtotals"), F.lit(0).cast("long").alias("total"), F.lit(0).cast("decimal(28,2)").alias("quantity"))
+    added = lambda a, x: F.struct(
+        F.concat(a["subtotals"], F.array(x["amount"])).alias("subtotals"),
+        (a["total"] + x["amount"]).alias("total"),
+        (a["quantity"] + x["quantity"]).cast("decimal(28,2)").alias("quantity"),
     )
-    return {
-        "subtotals": subtotals,
-        "grand_total": F.aggregate(subtotals, F.lit(0).cast("long"), lambda a, x: a + x),
-        "quantity": quantity,
-    }
+    none = F.array().cast("array<struct<quantity:decimal(28,2),amount:bigint>>")
+    folded = F.aggregate(F.coalesce(F.transform(items, parsed), none), start, added)
+    return {"subtotals": folded["subtotals"], "grand_total": folded["total"], "quantity": folded["quantity"]}
 
 
 def item_lists(items: Column) -> dict[str, Column]:
@@ -405,8 +407,14 @@ def labelled_field(pairs: Column, name: str) -> Column:
     return value
 
 
-def text_transactions(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """Lines of at least 10 characters with a credit or debit mark and an amount."""
+# What is no description in a line of money.
+AMOUNT_WORDS = r"(?:Rp\.?\s*)?\d{1,3}(?:[.,]\d{3})*(?:[.,]\d{2})?"
+SIDE_WORDS = r"(?i)(?:CR|DR|CREDIT|DEBIT|KREDIT|MASUK|KELUAR|\+|\-)"
+
+
+def text_transactions(docs: DataFrame, keys: Sequence[str], text: str = "text", shown: int | None = None) -> DataFrame:
+    """Lines of at least 10 characters with a credit or debit mark and an amount; the words
+    are cut after ``shown`` characters, if given."""
     lines = docs.select(*keys, F.posexplode(F.split(text, "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
     line = F.col("line")
     kind = amount = None
@@ -414,9 +422,9 @@ def text_transactions(docs: DataFrame, keys: Sequence[str], text: str = "text")
         test, value = line.rlike(pattern), F.regexp_replace(F.regexp_extract(line, pattern, 1), r"[.,]", "")
         kind = F.when(test, label) if kind is None else kind.when(test, label)
         amount = F.when(test, value) if amount is None else amount.when(test, value)
-    words = F.regexp_replace(line, r"(?:Rp\.?\s*)?\d{1,3}(?:[.,]\d{3})*(?:[.,]\d{2})?", "")
-    words = F.regexp_replace(words, r"(?i)(?:CR|DR|CREDIT|DEBIT|KREDIT|MASUK|KELUAR|\+|\-)", "")
-    words = F.substring(F.trim(F.regexp_replace(words, r"\s+", " ")), 1, 100)
+    words = F.regexp_replace(F.regexp_replace(line, AMOUNT_WORDS, ""), SIDE_WORDS, "")
+    words = F.trim(F.regexp_replace(words, r"\s+", " "))
+    words = words if shown is None else F.substring(words, 1, shown)
     found = lines.filter(F.length("line") >= 10).select(
         *keys, "line_no", kind.alias("kind"), amount.try_cast("decimal(28,0)").alias("amount"), words.alias("description")
     )
@@ -436,10 +444,10 @@ def text_totals(transactions: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def text_items(docs: DataFrame, keys: Sequence[str], text: str = "text", shown: int = 10) -> DataFrame:
-    """First ``shown`` invoice lines with quantity, words and amount."""
+def text_items(docs: DataFrame, keys: Sequence[str], text: str = "text", shown: int | None = None) -> DataFrame:
+    """Invoice lines, or the first ``shown``, with quantity, words and amount."""
     lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(ITEM_LINE))
-    rows = docs.select(*keys, F.posexplode(F.slice(lines, 1, shown)).alias("item_no", "line"))
+    rows = docs.select(*keys, F.posexplode(lines if shown is None else F.slice(lines, 1, shown)).alias("item_no", "line"))
     return rows.select(
         *keys,
         "item_no",

@@ -23,24 +23,24 @@ def _moved() -> Column:
 
 
 def expected_chain(
-    rows: DataFrame, keys: Sequence[str], order: Sequence, opening: Column | None = None, position: Column | None = None, **options
+    rows: DataFrame, keys: Sequence[str], order: Sequence, opening: Column | None = None, **options
 ) -> DataFrame:
     """``expected`` = opening + running (kredit - debet)."""
-    summed = running_sum(rows, keys, order, _moved(), "expected", position=position, **options)
+    summed = running_sum(rows, keys, order, _moved(), "expected", **options)
     return summed if opening is None else summed.withColumn("expected", F.col("expected") + opening)
 
 
 def previous_balance_check(
-    rows: DataFrame, keys: Sequence[str], order: Sequence, tolerance: float = 1.0, position: Column | None = None, **options
+    rows: DataFrame, keys: Sequence[str], order: Sequence, tolerance: float = 1.0, **options
 ) -> DataFrame:
     """``is_mismatch``: the reported balance does not follow from the one before it."""
-    lagged = previous_value(rows, keys, order, "saldo", "previous_saldo", position=position, **options)
+    lagged = previous_value(rows, keys, order, "saldo", "previous_saldo", **options)
     gap = F.abs(F.col("previous_saldo") + _moved() - F.col("saldo"))
     return lagged.withColumn("is_mismatch", F.coalesce(gap > tolerance, F.lit(False)))
 
 
 def chunk_rows(
-    rows: DataFrame, keys: Sequence[str], order: Sequence, opening: Column | None = None, size: int = CHUNK_ROWS, position: Column | None = None, **options
+    rows: DataFrame, keys: Sequence[str], order: Sequence, opening: Column | None = None, size: int = CHUNK_ROWS, **options
 ) -> DataFrame:
     """Rows with ``chunk``, their index in it, and the balance the chunk starts from.
 
@@ -49,7 +49,7 @@ def chunk_rows(
     """
     keys = list(keys)
     opening = F.lit(0).cast(money.MONEY) if opening is None else opening
-    ranked = rank_rows(rows, keys, order, "_n", position=position, **options)
+    ranked = rank_rows(rows, keys, order, "_n", **options)
     numbered = ranked.withColumn("chunk", F.floor((F.col("_n") - 1) / size)).withColumn(
         "index", ((F.col("_n") - 1) % size).cast("long")
     )
@@ -205,7 +205,7 @@ def validate_rows(rows: DataFrame, keys: Sequence[str], **options) -> DataFrame:
         "_saldo", money.misread_value(F.col("saldo"))
     )
     lagged = previous_value(
-        prepared, keys, ["_position", "row_idx"], "_saldo", "_previous", position=F.col("_position"), **options
+        prepared, keys, ["_position", "row_idx"], "_saldo", "_previous", **options
     )
     return row_quality(lagged, F.col("_previous")).drop("_previous", "_saldo")
 

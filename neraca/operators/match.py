@@ -35,7 +35,7 @@ def pair_by_key(
     a_key: str,
     c_key: str,
     scope: Sequence[str] = ("scope",),
-    min_hot_rows: int | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """The n-th row of ``a`` with a key takes the n-th row of ``c`` with that key.
 
@@ -53,7 +53,7 @@ def pair_by_key(
         ).filter(F.col("npwp") != "")
 
     both = side(a, a_key, "a").unionByName(side(c, c_key, "c"))
-    ranked = rank_rows(both, [*scope, "npwp", "_side"], ["row_idx"], "_rank", min_hot_rows=min_hot_rows)
+    ranked = rank_rows(both, [*scope, "npwp", "_side"], ["row_idx"], "_rank", slice_rows=slice_rows)
     return (
         ranked.groupBy(*scope, "npwp", "_rank")
         .agg(
@@ -268,6 +268,8 @@ def payment_candidates(
 
 # Lower ends of the confidence bands in which a large island is settled.
 BANDS = [0.98, 0.9, 0.8, 0.7, math.nextafter(0.6, 1.0), 0.6, 0.52, 0.5]
+# Day steps at which a pair counts whatever its amounts, and its confidence.
+FAR_STEPS = [(0, (1.0 - 0 / 7.0) * 0.6), (-1, (1.0 - 1 / 7.0) * 0.6), (1, (1.0 - 1 / 7.0) * 0.6)]
 
 
 def _band_pairs(free: DataFrame, right: DataFrame, scope: list[str], low: float, require_amount: bool) -> DataFrame:
@@ -282,9 +284,11 @@ def _band_pairs(free: DataFrame, right: DataFrame, scope: list[str], low: float,
     near = near_pairs(free, right, scope, days, ratio, "b_date", "e_date", "b_amount", "e_amount")
     gap, pct, _, _, confidence = _payment_scores(F.col("b_date"), F.col("b_amount"), F.col("e_date"), F.col("e_amount"))
     near = near.filter(pct <= 5)
-    if not require_amount and low in (0.6, 0.5):
-        steps = F.array(F.lit(0)) if low == 0.6 else F.array(F.lit(-1), F.lit(0), F.lit(1))
-        by_day = free.withColumn("_day", F.explode(F.transform(steps, lambda d: F.date_add("b_date", d))))
+    # A pair beyond 5 % has the confidence of its date alone; a row asks for it only where its own band reaches it.
+    steps = [(d, c) for d, c in FAR_STEPS if low <= c] if not require_amount else []
+    if steps:
+        asked = F.array_compact(F.array(*[F.when(F.col("_high") > c, F.lit(d)) for d, c in steps]))
+        by_day = free.withColumn("_day", F.explode(F.transform(asked, lambda d: F.date_add("b_date", d))))
         far = by_day.join(right.withColumn("_day", F.col("e_date")), [*scope, "_day"]).drop("_day").filter(pct > 5)
         near = near.unionByName(far)
     scored = near.withColumn("confidence", confidence)
@@ -399,7 +403,7 @@ def match_payments(
     scope = list(scope)
     limit = FOLD_PAIRS if fold_pairs is None else fold_pairs
     left, right = payment_sides(b, e, scope)
-    islands = _islands(left, right, scope)
+    islands = cut_lineage(_islands(left, right, scope))
 
     def tagged(df: DataFrame, p: str) -> DataFrame:
         return df.select(
@@ -451,10 +455,23 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.pandas_udf(ratios, DoubleType())(a, b)
 
 
+def with_name_similarity(pairs: DataFrame, a: str, b: str, name: str = "vendor_similarity") -> DataFrame:
+    """``pairs`` with the similarity of two name columns.
+
+    Equal and blank names are decided on the JVM; of the others each distinct pair of names is compared once.
+    """
+    decided = F.when((F.col(a) == "") | (F.col(b) == "") | F.col(a).isNull() | F.col(b).isNull(), 0.0).when(F.col(a) == F.col(b), 1.0)
+    names = pairs.filter(decided.isNull()).select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct()
+    rated = names.withColumn("_ratio", name_similarity(F.col("_a"), F.col("_b")))
+    joined = pairs.join(rated, (F.col(a) == F.col("_a")) & (F.col(b) == F.col("_b")), "left")
+    return joined.withColumn(name, F.coalesce(decided, F.col("_ratio"))).drop("_a", "_b", "_ratio")
+
+
 def engine_candidates(invoices: DataFrame, bank: DataFrame, keys: Sequence[str] = (), threshold: float = 0.70) -> DataFrame:
     """Pairs within 3 days and 1 %, scored with the name similarity of the survivors.
 
-    Both frames hold ``row_idx, tanggal, amount, vendor_name``.  Date and amount gate
+    Both frames hold ``keys, row_idx, tanggal, amount, vendor_name``; give the keys that bound
+    who can pay whom, or pairs are sought among all rows.  Date and amount gate
     first; only pairs that could still reach the threshold with equal names are compared.
     """
     left = _side(invoices.withColumn("b_name", normalize_vendor(F.col("vendor_name"))), "b", keys, "amount", ["b_name"])
@@ -471,7 +488,7 @@ def engine_candidates(invoices: DataFrame, bank: DataFrame, keys: Sequence[str]
         )
     )
     return (
-        gated.withColumn("vendor_similarity", name_similarity(F.col("b_name"), F.col("e_name")))
+        with_name_similarity(gated, "b_name", "e_name")
         .withColumn(
             "confidence",
             score.engine_confidence(

@@ -1,13 +1,14 @@
 """Ranks, running sums and predecessors along an order, safe for hot keys.
 
-A plain ``Window.partitionBy(key)`` puts every row of a key into one task.  Here a
-key that holds more than its fair share is cut into consecutive slices of its order
-column; slices are windowed separately and each one starts from what the slices
-before it carry over.  Cold keys have no slice, so they cost one window as usual.
-
-At most ``PARTS`` keys can exceed ``total / PARTS`` rows and together they have at
-most ``2 * PARTS`` slices, whatever the data size.  That is the bound on everything
-broadcast below.
+A plain ``Window.partitionBy(key)`` puts every row of a key into one task.  Here every key
+is cut into consecutive slices of about ``SLICE_ROWS`` rows at quantiles of its order; slices are
+windowed separately and each one starts from what the slices before it carry over.  A key
+that fits in one slice has no cut and costs one window as usual.
+
+Cuts are made at whole order tuples, taken from a hashed sample of the key's rows, so outliers
+and days with most of the rows make no slice larger; only rows that are equal in every order column
+stay together.  A slice holds at least ``total / PARTS`` rows, so at most ``PARTS`` keys are cut and
+together they have about ``2 * PARTS`` slices, whatever the data size.  That bounds what is broadcast below.
 """
 
 from __future__ import annotations
@@ -18,7 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARTS = 10_000
-MIN_HOT_ROWS = 1_000_000
+SLICE_ROWS = 1_000_000
+# Sampled rows per slice: a slice strays from its size by about a fifth.
+SAMPLED = 30
+# Cuts are searched in two steps, blocks of this many first.
+BLOCK = 32
 
 _SLICE = "_slice"
 
@@ -27,40 +32,34 @@ def _order_columns(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def with_slices(
-    df: DataFrame, keys: Sequence[str], position: Column, min_hot_rows: int | None = None
-) -> DataFrame:
-    """Add ``_slice``: null for cold keys, else the slice of ``position`` in its key.
+def with_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], slice_rows: int | None = None) -> DataFrame:
+    """Add ``_slice``: null for keys of one slice, else the number of the row's slice in its key.
 
-    ``position`` is a long that never decreases along the wanted order.
+    ``order`` holds columns in ascending order.
     """
-    min_hot_rows = MIN_HOT_ROWS if min_hot_rows is None else min_hot_rows
+    slice_rows = SLICE_ROWS if slice_rows is None else slice_rows
     keys = list(keys)
-    sizes = (
-        df.select(*keys, position.alias("_position"))
-        .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            F.min("_position").alias("_low"),
-            F.max("_position").alias("_high"),
-        )
-    )
+    tied = df.withColumn("_order", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_order_columns(order))]))
+    sizes = tied.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     total = sizes.agg((F.sum("_rows") / PARTS).alias("_share")).scalar()
-    limit = F.greatest(F.lit(float(min_hot_rows)), F.coalesce(total, F.lit(0.0)))
-    hot = sizes.filter(F.col("_rows") > limit).select(
-        *[F.col(k).alias(f"_hot_{k}") for k in keys],
-        F.col("_low"),
-        F.greatest(
-            F.lit(1.0),
-            F.ceil((F.col("_high") - F.col("_low") + 1) * limit / F.col("_rows")),
-        ).alias("_width"),
-    )
+    limit = F.greatest(F.lit(float(slice_rows)), F.coalesce(total, F.lit(0.0)))
+    hot = sizes.filter(F.col("_rows") > limit).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], (SAMPLED / limit).alias("_drawn"), F.least(F.lit(SAMPLED), F.floor(limit)).cast("int").alias("_step"))
     same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-    slice_no = F.floor((position - F.col("_low")) / F.col("_width"))
+    lot = F.pmod(F.xxhash64(*keys, "_order"), F.lit(1 << 40)) / float(1 << 40)
+    sample = tied.join(F.broadcast(hot), same).filter(lot < F.col("_drawn"))
+    listed = sample.groupBy(*[f"_hot_{k}" for k in keys], "_step").agg(F.array_sort(F.collect_set("_order")).alias("_all"))
+    cuts = F.filter("_all", lambda x, i: i % F.col("_step") == F.col("_step") - 1)
+    blocks = F.filter("_cuts", lambda x, i: i % BLOCK == BLOCK - 1)
+    bounds = listed.withColumn("_cuts", cuts).withColumn("_blocks", blocks).drop("_all", "_step")
+    before = lambda c: F.size(F.filter(c, lambda x: x <= F.col("_order")))
+    first = BLOCK * before("_blocks")
+    found = first + before(F.slice("_cuts", first + 1, F.lit(BLOCK)))
+    # A cold key has no bounds; size() of its null list must not make a slice.
+    number = F.when(F.col("_cuts").isNotNull(), found.cast("long"))
     return (
-        df.join(F.broadcast(hot), same, "left")
-        .withColumn(_SLICE, slice_no.cast("long"))
-        .drop("_low", "_width", *[f"_hot_{k}" for k in keys])
+        tied.join(F.broadcast(bounds), same, "left")
+        .withColumn(_SLICE, number)
+        .drop("_order", "_cuts", "_blocks", *[f"_hot_{k}" for k in keys])
     )
 
 
@@ -96,13 +95,11 @@ def rank_rows(
     keys: Sequence[str],
     order: Sequence[str | Column],
     name: str,
-    position: Column | None = None,
-    min_hot_rows: int | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """``row_number`` of every row inside its key."""
     keys, order = list(keys), _order_columns(order)
-    position = order[0].cast("long") if position is None else position
-    sliced = with_slices(df, keys, position, min_hot_rows)
+    sliced = with_slices(df, keys, order, slice_rows)
     carry = _carry(sliced, keys, F.count(F.lit(1)), F.sum)
     w = Window.partitionBy(*keys, _SLICE).orderBy(*order)
     ranked = sliced.withColumn(name, F.row_number().over(w).cast("long"))
@@ -119,13 +116,11 @@ def running_sum(
     order: Sequence[str | Column],
     value: Column,
     name: str,
-    position: Column | None = None,
-    min_hot_rows: int | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Sum of ``value`` from the first row of the key up to and including this row."""
     keys, order = list(keys), _order_columns(order)
-    position = order[0].cast("long") if position is None else position
-    sliced = with_slices(df.withColumn("_value", value), keys, position, min_hot_rows)
+    sliced = with_slices(df.withColumn("_value", value), keys, order, slice_rows)
     carry = _carry(sliced, keys, F.sum("_value"), F.sum)
     w = (
         Window.partitionBy(*keys, _SLICE)
@@ -150,13 +145,11 @@ def previous_value(
     order: Sequence[str | Column],
     value: str,
     name: str,
-    position: Column | None = None,
-    min_hot_rows: int | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """``lag(value, 1)``: the value of the row before this one in its key."""
     keys, order = list(keys), _order_columns(order)
-    position = order[0].cast("long") if position is None else position
-    sliced = with_slices(df, keys, position, min_hot_rows)
+    sliced = with_slices(df, keys, order, slice_rows)
     last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order))
     carry = _carry(sliced, keys, last, lambda c: F.last(c, ignorenulls=True))
     w = Window.partitionBy(*keys, _SLICE).orderBy(*order)

@@ -18,10 +18,10 @@ POSITIONS = [
     "account", "holder", "time", "user", "status", "bank_ref", "customer_no",
 ]
 
-# Bank names, table widths and the cell of each field.  ``sign`` says how money
+# Bank names, table widths (no ``high``: any more cells) and the cell of each field.  ``sign`` says how money
 # in and out are told apart; ``strict`` layouts drop rows without a balance.
 LAYOUTS = [
-    dict(bank="BCA", name="Bank BCA", low=5, high=99, sign="mark", strict=True, style="long",
+    dict(bank="BCA", name="Bank BCA", low=5, high=None, sign="mark", strict=True, style="long",
          date=0, description=1, branch=2, amount=3, balance=4),
     dict(bank="BCA_SYARIAH", name="BCA Syariah", low=14, high=14, sign="flag",
          date=1, date2=0, effective=0, time=2, type=3, description=4, description2=5, flag=6, amount=7,
@@ -31,35 +31,35 @@ LAYOUTS = [
          balance=8, reference=9, branch=10),
     dict(bank="BCA_SYARIAH", name="BCA Syariah", low=9, high=9, sign="flag",
          date=0, type=1, description=2, flag=3, amount=4, balance=5, reference=6, branch=7, time=8),
-    dict(bank="BNI_V1", name="Bank BNI", low=5, high=99, sign="columns", strict=True,
+    dict(bank="BNI_V1", name="Bank BNI", low=5, high=None, sign="columns", strict=True,
          date=0, description=1, debit=2, credit=3, balance=4),
     dict(bank="BNI_V2", name="Bank BNI", low=8, high=8, sign="flag",
          date=1, date2=0, posting=0, effective=1, branch=2, reference=3, description=4, amount=5, flag=6, balance=7),
     dict(bank="BNI_V2", name="Bank BNI", low=6, high=6, sign="flag",
          date=0, effective=0, description=1, amount=2, flag=3, balance=4, reference=5),
-    dict(bank="BRI", name="Bank BRI", low=6, high=99, sign="columns", strict=True,
+    dict(bank="BRI", name="Bank BRI", low=6, high=None, sign="columns", strict=True,
          date=0, description=1, teller=2, debit=3, credit=4, balance=5),
     dict(bank="BSI_SYARIAH", name="Bank Syariah Indonesia", low=7, high=7, sign="flag",
          reference=0, date=1, time=2, flag=3, amount=4, balance=5, description=6),
     dict(bank="BSI_SYARIAH", name="Bank Syariah Indonesia", low=6, high=6, sign="flag",
          date=0, time=1, flag=2, amount=3, balance=4, description=5),
-    dict(bank="CIMB_NIAGA", name="CIMB Niaga", format="format_1", low=7, high=99, sign="columns", style="mdy_time",
+    dict(bank="CIMB_NIAGA", name="CIMB Niaga", format="format_1", low=7, high=None, sign="columns", style="mdy_time",
          date=2, date2=1, posting=1, effective=2, reference=8, reference2=3, description=4, debit=5, credit=6, balance=7),
-    dict(bank="CIMB_NIAGA", name="CIMB Niaga", format="format_2", low=6, high=99, sign="columns", style="day_month",
+    dict(bank="CIMB_NIAGA", name="CIMB Niaga", format="format_2", low=6, high=None, sign="columns", style="day_month",
          date=0, date2=1, posting=0, effective=1, description=2, reference=3, debit=4, credit=5, balance=6),
-    dict(bank="MANDIRI_V1", name="Bank Mandiri", low=6, high=99, sign="columns", strict=True,
+    dict(bank="MANDIRI_V1", name="Bank Mandiri", low=6, high=None, sign="columns", strict=True,
          date=0, posting=0, description=1, reference=2, debit=3, credit=4, balance=5),
     dict(bank="MANDIRI_V2", name="Bank Mandiri", low=8, high=8, sign="words",
          holder=0, account=1, date=2, type=3, type2=4, description=5, amount=6, balance=7),
     dict(bank="MANDIRI_V2", name="Bank Mandiri", low=5, high=5, sign="words",
          date=0, type=1, description=2, amount=3, balance=4),
-    dict(bank="MUFG", name="MUFG Bank", low=9, high=99, sign="columns",
+    dict(bank="MUFG", name="MUFG Bank", low=9, high=None, sign="columns",
          date=0, date2=1, posting=0, effective=1, debit=2, credit=3, balance=4, type=5, reference=6, bank_ref=7, description=8),
     dict(bank="MUFG", name="MUFG Bank", low=8, high=8, sign="columns",
          date=0, date2=1, posting=0, effective=1, debit=2, credit=3, balance=4, type=5, reference=6, description=7),
     dict(bank="MUFG", name="MUFG Bank", low=5, high=5, sign="columns",
          date=0, posting=0, debit=1, credit=2, balance=3, description=4),
-    dict(bank="OCBC", name="OCBC Bank", low=6, high=99, sign="columns",
+    dict(bank="OCBC", name="OCBC Bank", low=6, high=None, sign="columns",
          date=0, date2=1, posting=0, effective=1, description=2, debit=3, credit=4, balance=5),
     dict(bank="PERMATA", name="Permata Bank", low=10, high=10, sign="columns",
          date=1, date2=0, posting=0, effective=1, type=2, reference=3, reference2=4, customer_no=5, description=6,
@@ -186,7 +186,8 @@ def normalize_statements(
     fits = (
         (F.col("bank_code") == F.col("l_bank"))
         & (F.col("l_format").isNull() | (F.col("format") == F.col("l_format")))
-        & width.between(F.col("low"), F.col("high"))
+        & (width >= F.col("low"))
+        & (F.col("high").isNull() | (width <= F.col("high")))
     )
     year = F.lit(None).cast("string") if year is None else year
     marked_debit, bare = money.read_mark(_cell("amount"))
@@ -399,10 +400,10 @@ def cimb_text_format(docs: DataFrame) -> DataFrame:
     )
 
 
-def cimb_text_rows(docs: DataFrame, formats: DataFrame, year: Column) -> DataFrame:
-    """Transactions in CIMB texts; lines shorter than 20 characters are no rows."""
+def cimb_text_rows(docs: DataFrame, formats: DataFrame, year: Column, shortest: int = 0) -> DataFrame:
+    """Transactions in CIMB texts; lines shorter than ``shortest`` characters are no rows."""
     line = F.trim("line")
-    rows = lines_of(docs).join(formats, "doc_id").withColumn("line", line).filter(F.length("line") >= 20)
+    rows = lines_of(docs).join(formats, "doc_id").withColumn("line", line).filter(F.length("line") >= shortest)
     one, two = F.col("format") == "format_1", F.col("format") == "format_2"
 
     def part(n1: int | None, n2: int | None) -> Column:

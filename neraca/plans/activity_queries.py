@@ -182,7 +182,7 @@ def j9_w10_users_with_activity(v: Views):
           (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY id) AS rn FROM fx_files) GROUP BY 1) f ON f.batch_id = b.id""",
 )
 def j10_batches_with_files(v: Views):
-    out = activity.batches_with_files(v.batches, v.files)
+    out = activity.batches_with_files(v.batches, v.files, shown=5)
     return out.select("id", "total_files", F.array_join(F.col("files.name"), ";").alias("files"))
 
 

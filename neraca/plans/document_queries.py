@@ -76,12 +76,13 @@ def s15_invoice_flat_export(v: Views):
 
 @query(
     "a21_item_totals",
-    f"""SELECT row_idx, sum(q * p)::BIGINT AS grand_total, sum(q)::DOUBLE AS quantity, string_agg({_RUPIAH.format('(q * p)')}, '|' ORDER BY item_no) AS subtotals FROM fx_items GROUP BY 1""",
+    f"""SELECT h.row_idx, coalesce(sum(q * p), 0)::BIGINT AS grand_total, coalesce(sum(q), 0)::DOUBLE AS quantity,
+              coalesce(string_agg(CASE WHEN q IS NOT NULL THEN {_RUPIAH.format('(q * p)')} END, '|' ORDER BY item_no), '') AS subtotals
+       FROM fx_header h LEFT JOIN fx_items i ON i.row_idx = h.row_idx GROUP BY 1""",
 )
 def a21_item_totals(v: Views):
-    rows = invoices(v).filter(F.size("items") > 0)
     totals = docs_op.item_totals(F.col("items"))
-    return rows.select(
+    return invoices(v).select(
         "row_idx",
         totals["grand_total"].alias("grand_total"),
         totals["quantity"].alias("quantity"),
@@ -113,7 +114,7 @@ _SLIP = r"""
     SELECT row_idx, nomor_bukti_potong AS nomor, strftime(tanggal, '%m-%Y') AS masa_pajak, 'N/A' AS status, npwp_dipotong AS penerima_npwp,
            CASE row_idx % 3 WHEN 0 THEN 'Pasal 4 ayat 2' ELSE 'Pasal 23' END AS jenis_pph, bruto::VARCHAR AS dpp, '2%' AS tarif, pph::VARCHAR AS pph,
            CASE WHEN row_idx % 7 = 0 THEN 'tanpa tanggal' ELSE strftime(tanggal, '%d/%m/%Y') END AS dokumen_dasar_tanggal,
-           npwp_pemotong AS pemotong_npwp, CASE WHEN row_idx % 2 = 0 THEN 'PT Pemotong' ELSE 'CV Pemotong' END AS pemotong_nama, strftime(tanggal, '%Y-%m-%d') AS tanggal_potong
+           coalesce(nullif(npwp_pemotong, ''), 'N/A') AS pemotong_npwp, CASE WHEN row_idx % 2 = 0 THEN 'PT Pemotong' ELSE 'CV Pemotong' END AS pemotong_nama, strftime(tanggal, '%Y-%m-%d') AS tanggal_potong
     FROM fx_withholding"""
 _SLIP_COLUMNS = [
     "row_idx", "nomor", "masa_pajak", "status", "penerima_npwp", "jenis_pph", "dpp", "tarif", "pph", "dokumen_dasar_tanggal",
@@ -329,15 +330,15 @@ def a25_w13_merge_texts(v: Views):
 
 @query(
     "j13_merge_extractors",
-    """SELECT id, CASE WHEN id % 4 <> 0 AND id % 5 <> 0 THEN 'Bank A' WHEN id % 3 <> 0 THEN 'Bank B' END AS nama_bank, CASE WHEN id % 3 <> 0 THEN 'Jan 2024' END AS periode,
-              CASE WHEN id % 4 <> 0 AND id % 6 <> 0 THEN 'first' WHEN id % 3 <> 0 THEN 'second' END AS rows_from,
-              CASE WHEN (id % 4 <> 0 AND id % 6 <> 0) OR id % 3 <> 0 THEN CASE WHEN id % 4 <> 0 THEN 0.5e0 ELSE 0e0 END + CASE WHEN id % 3 <> 0 THEN 0.3e0 ELSE 0e0 END ELSE 0e0 END AS confidence
-       FROM (SELECT o_orderkey AS id FROM orders) WHERE id % 4 <> 0 OR id % 3 <> 0""",
+    """SELECT id, CASE WHEN one AND id % 5 <> 0 THEN 'Bank A' WHEN id % 3 <> 0 THEN 'Bank B' END AS nama_bank, CASE WHEN id % 3 <> 0 THEN 'Jan 2024' END AS periode,
+              CASE WHEN one AND id % 6 <> 0 THEN 'first' WHEN id % 3 <> 0 THEN 'second' END AS rows_from,
+              CASE WHEN (one AND id % 6 <> 0) OR id % 3 <> 0 THEN CASE WHEN one THEN 0.5e0 ELSE 0e0 END + CASE WHEN id % 3 <> 0 THEN 0.3e0 ELSE 0e0 END ELSE 0e0 END AS confidence
+       FROM (SELECT o_orderkey AS id, o_orderkey % 4 <> 0 OR o_orderkey % 12 = 0 AS one FROM orders)""",
 )
 def j13_merge_extractors(v: Views):
     n = F.col("o_orderkey")
     orders = v.table("orders")
-    first = orders.filter(n % 4 != 0).select(
+    first = orders.filter((n % 4 != 0) | (n % 12 == 0)).select(
         n.alias("id"), F.when(n % 6 == 0, 0).otherwise(3).alias("rows"), F.when(n % 5 == 0, "").otherwise("Bank A").alias("nama_bank"), F.lit("").alias("periode")
     )
     second = orders.filter(n % 3 != 0).select(n.alias("id"), F.lit(2).alias("rows"), F.lit("Bank B").alias("nama_bank"), F.lit("Jan 2024").alias("periode"))
@@ -439,9 +440,9 @@ def p14_drop_empty_rows(v: Views):
     return data_rows(v.table("events").select("event_id", F.lit(1).alias("row_idx"), cells.alias("cells"))).select("event_id")
 
 
-@query("p7_blank_keys", "SELECT scope, a_idx, c_idx FROM m_ac WHERE a_idx % 3 <> 0 AND c_idx % 1000 >= 0 AND false UNION ALL SELECT a.scope, a.row_idx, c.row_idx FROM bk_a a JOIN bk_c c USING (scope, npwp, rn)",
+@query("p7_blank_keys", "SELECT a.scope, a.row_idx AS a_idx, c.row_idx AS c_idx FROM bk_a a JOIN bk_c c USING (scope, npwp, rn)",
        {"bk_a": "SELECT npwp_penjual AS scope, npwp_pembeli AS npwp, row_idx, row_number() OVER (PARTITION BY npwp_penjual, npwp_pembeli ORDER BY row_idx) AS rn FROM fx_invoice WHERE row_idx % 3 <> 0",
-        "bk_c": "SELECT npwp_dipotong AS scope, npwp_pemotong AS npwp, row_idx, row_number() OVER (PARTITION BY npwp_dipotong, npwp_pemotong ORDER BY row_idx) AS rn FROM fx_withholding WHERE row_idx % 7 <> 0"})
+        "bk_c": "SELECT npwp_dipotong AS scope, npwp_pemotong AS npwp, row_idx, row_number() OVER (PARTITION BY npwp_dipotong, npwp_pemotong ORDER BY row_idx) AS rn FROM fx_withholding WHERE row_idx % 7 <> 0 AND npwp_pemotong <> ''"})
 def p7_blank_keys(v: Views):
     def blanked(df, key: str, n: int):
         return df.withColumn(key, F.when(F.col("row_idx") % n != 0, F.col(key)).when(F.col("row_idx") % 2 == 0, " - . "))

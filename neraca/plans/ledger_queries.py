@@ -9,7 +9,7 @@ from neraca.operators import ledger, ordered
 from neraca.plans.oracle import VIEWS
 from neraca.plans.registry import query
 from neraca.plans.scalar_queries import COMPLETE_DATE, MISREAD, TITLE, _clean_description, _P, _x, _MONTH_MAP
-from neraca.sources.views import Views, instant
+from neraca.sources.views import Views
 
 KEYS = ["account"]
 ORDER = ["ts", "row_idx"]
@@ -67,7 +67,7 @@ def statement(v: Views):
 
 
 def chunked(v: Views):
-    return ledger.chunk_rows(v.ledger, KEYS, ORDER, position=instant(F.col("ts")))
+    return ledger.chunk_rows(v.ledger, KEYS, ORDER)
 
 
 def chunks(v: Views):
@@ -80,7 +80,7 @@ def chunks(v: Views):
        FROM fx_ledger""",
 )
 def w1_expected_chain(v: Views):
-    return ledger.expected_chain(v.ledger_rows, KEYS, ORDER, F.lit(100), instant(F.col("ts"))).select("account", "row_idx", "expected")
+    return ledger.expected_chain(v.ledger_rows, KEYS, ORDER, F.lit(100)).select("account", "row_idx", "expected")
 
 
 @query(
@@ -98,7 +98,7 @@ def w2_chunk_validation(v: Views):
        FROM (SELECT *, lag(saldo) OVER (PARTITION BY account ORDER BY ts, row_idx) AS previous_saldo FROM fx_ledger)""",
 )
 def w3_previous_balance(v: Views):
-    return ledger.previous_balance_check(v.ledger, KEYS, ORDER, position=instant(F.col("ts"))).select(
+    return ledger.previous_balance_check(v.ledger, KEYS, ORDER).select(
         "account", "row_idx", "previous_saldo", "is_mismatch"
     )
 
@@ -277,7 +277,7 @@ def a10_quality_summary(v: Views):
 )
 def t1_date_order(v: Views):
     rows = statement(v).withColumn("pos", ledger.date_position(F.col("tanggal")))
-    return ordered.rank_rows(rows, KEYS, ["pos", "row_idx"], "place", position=F.col("pos")).select(
+    return ordered.rank_rows(rows, KEYS, ["pos", "row_idx"], "place").select(
         "account", "row_idx", "place", "pos"
     )
 

@@ -18,16 +18,18 @@ VIEWS = {
         JOIN (SELECT l_orderkey, min(l_suppkey) AS seller FROM lineitem GROUP BY 1) l
           ON o_orderkey = l_orderkey""",
     "fx_withholding": """
-        SELECT l_orderkey * 1000 + l_suppkey AS row_idx,
-               l_orderkey || '/' || l_suppkey AS nomor_bukti_potong,
-               shipped::DATE AS tanggal,
-               lpad(l_suppkey::VARCHAR, 15, '0') AS npwp_dipotong,
-               lpad(o_custkey::VARCHAR, 15, '0') AS npwp_pemotong,
-               bruto, round(bruto * 0.02, 2)::DECIMAL(18,2) AS pph
-        FROM (SELECT l_orderkey, l_suppkey, min(l_shipdate) AS shipped,
-                     sum(l_extendedprice::DECIMAL(18,2))::DECIMAL(18,2) AS bruto
-              FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY 1, 2) l
-        JOIN orders ON l_orderkey = o_orderkey""",
+        SELECT *, round(bruto * 0.02, 2)::DECIMAL(18,2) AS pph FROM (
+          SELECT l_orderkey * 1000 + l_suppkey AS row_idx,
+                 l_orderkey || '/' || l_suppkey AS nomor_bukti_potong,
+                 CASE WHEN l_orderkey % 4 = 1 THEN o_orderdate::DATE + (l_orderkey % 9)::INTEGER ELSE shipped::DATE END::DATE AS tanggal,
+                 lpad(l_suppkey::VARCHAR, 15, '0') AS npwp_dipotong,
+                 CASE WHEN l_orderkey % 4 = 0 THEN '' ELSE lpad(o_custkey::VARCHAR, 15, '0') END AS npwp_pemotong,
+                 CASE WHEN l_orderkey % 4 = 1 THEN round(o_totalprice::DECIMAL(18,2)
+                        * (1 + ((l_orderkey % 5) - 2)::DECIMAL(3,0) * 0.01)::DECIMAL(5,2), 2) ELSE gross END::DECIMAL(18,2) AS bruto
+          FROM (SELECT l_orderkey, l_suppkey, min(l_shipdate) AS shipped,
+                       sum(l_extendedprice::DECIMAL(18,2))::DECIMAL(18,2) AS gross
+                FROM lineitem GROUP BY 1, 2) l
+          JOIN orders ON l_orderkey = o_orderkey)""",
     "fx_bank": """
         SELECT o_orderkey AS row_idx, lpad(o_custkey::VARCHAR, 15, '0') AS account_number,
                (o_orderdate::DATE + (o_orderkey % 9)::INTEGER)::DATE AS tanggal,

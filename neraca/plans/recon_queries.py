@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from neraca.functions import score
+from neraca.functions.ids import normalize_vendor
 from neraca.operators import match, split, summary
 from neraca.plans.oracle import VIEWS
 from neraca.plans.reconcile import reconcile
@@ -22,7 +23,7 @@ VIEWS.update(
               FROM fx_invoice) a
         JOIN (SELECT npwp_dipotong AS scope, npwp_pemotong AS npwp, row_idx,
                      row_number() OVER (PARTITION BY npwp_dipotong, npwp_pemotong ORDER BY row_idx) AS rn
-              FROM fx_withholding) c USING (scope, npwp, rn)""",
+              FROM fx_withholding WHERE npwp_pemotong <> '') c USING (scope, npwp, rn)""",
         "cand_be": """
         SELECT *, date_score * 0.6e0 + amount_score * 0.4e0 AS confidence FROM (
           SELECT *, CASE WHEN gap <= 7 THEN 1e0 - gap / 7e0 ELSE 0e0 END AS date_score,
@@ -224,6 +225,12 @@ def j2_match_payments(v: Views):
     return match.match_payments(purchases(v), statements(v))
 
 
+@query("j2_match_payments_in_bands", "SELECT scope, b_idx, e_idx, confidence, match_type FROM m_be")
+def j2_match_payments_in_bands(v: Views):
+    """The way large islands go, for every row."""
+    return match.match_payments(purchases(v), statements(v), fold_pairs=0)
+
+
 @query(
     "j2_match_payments_by_amount",
     """SELECT scope, b_idx, e_idx, confidence, CASE WHEN confidence >= 0.7e0 THEN 'auto' ELSE 'suggested' END AS match_type
@@ -263,32 +270,82 @@ def j4_score_invoices_payments(v: Views):
 
 
 def engine_inputs(v: Views):
-    """Invoices named after the customer, bank rows after a shortened form of it."""
+    """Invoices named after the customer; bank rows of two thirds of them add a word to the name."""
+    key = F.col("account_number").cast("long")
     names = v.table("customer").select(
         F.lpad(F.col("c_custkey").cast("string"), 15, "0").alias("party"), F.col("c_name")
     )
     invoices = (
         v.invoice.join(names, F.col("npwp_pembeli") == F.col("party"))
-        .select("row_idx", "tanggal", F.col("total").alias("amount"), F.concat(F.lit("PT "), "c_name").alias("vendor_name"))
+        .select(F.col("npwp_pembeli").alias("scope"), "row_idx", "tanggal", F.col("total").alias("amount"), F.concat(F.lit("PT "), "c_name").alias("vendor_name"))
     )
     paid = F.greatest("debet", "kredit")
     bank = (
         v.bank.join(names, F.col("account_number") == F.col("party"))
-        .select("row_idx", "tanggal", paid.alias("amount"), F.upper(F.replace("c_name", F.lit("#"), F.lit(" "))).alias("vendor_name"))
+        .select(F.col("account_number").alias("scope"), "row_idx", "tanggal", paid.alias("amount"), F.concat(F.upper("c_name"), F.when(key % 3 == 0, " Tbk.").otherwise(" Jaya")).alias("vendor_name"))
     )
     return invoices, bank
 
 
-@query("j5_engine_candidates")
+_ENGINE = {
+    "en_scored": """
+        SELECT *, date_confidence * 0.30e0 + amount_confidence * 0.50e0 + vendor_similarity * 0.20e0 AS confidence FROM (
+          SELECT scope, b_idx, e_idx, greatest(1e0 - gap / 6e0, 0.5e0) AS date_confidence,
+                 CASE WHEN x = y THEN 1e0 ELSE greatest(1e0 - share / 0.01e0 * 0.3e0, 0.7e0) END AS amount_confidence,
+                 CASE WHEN scope::BIGINT % 3 = 0 THEN 1e0 ELSE 2e0 * n / (2 * n + 5) END AS vendor_similarity
+          FROM (SELECT b.npwp_pembeli AS scope, b.row_idx AS b_idx, e.row_idx AS e_idx, abs(b.tanggal - e.tanggal)::BIGINT AS gap,
+                       b.total::DOUBLE AS x, greatest(e.debet, e.kredit)::DOUBLE AS y, abs(x - y) / ((x + y) / 2) AS share,
+                       length(replace(c_name, '#', '')) AS n
+                FROM fx_invoice b JOIN fx_bank e ON e.account_number = b.npwp_pembeli
+                JOIN customer ON lpad(c_custkey::VARCHAR, 15, '0') = b.npwp_pembeli)
+          WHERE gap <= 3 AND x <> 0 AND y <> 0 AND share <= 0.01e0)""",
+    "cand_en": """
+        SELECT *, CASE WHEN confidence >= 0.95e0 THEN 'exact' WHEN confidence >= 0.85e0 THEN 'high' ELSE 'partial' END AS match_type
+        FROM en_scored WHERE confidence >= 0.7e0""",
+    "en_lists": """
+        SELECT scope, b_idx, row_number() OVER (PARTITION BY scope ORDER BY b_idx) AS n, cands
+        FROM (SELECT scope, b_idx, list({'e': e_idx, 'c': confidence} ORDER BY confidence DESC, e_idx) AS cands
+              FROM cand_en GROUP BY scope, b_idx)""",
+    "en_walk": VIEWS["be_walk"].replace("be_lists", "en_lists").replace("be_walk", "en_walk"),
+}
+
+
+@query(
+    "j5_engine_candidates",
+    "SELECT scope, b_idx, e_idx, date_confidence, amount_confidence, vendor_similarity, confidence, match_type FROM cand_en",
+    _ENGINE,
+)
 def j5_engine_candidates(v: Views):
-    return match.engine_candidates(*engine_inputs(v)).select(
+    return match.engine_candidates(*engine_inputs(v), keys=["scope"]).select(
+        "scope",
         "b_idx", "e_idx", "date_confidence", "amount_confidence", "vendor_similarity", "confidence", "match_type"
     )
 
 
-@query("j5_engine_matches")
+@query(
+    "j5_engine_matches",
+    """SELECT scope, b_idx, e_idx, confidence,
+              CASE WHEN confidence >= 0.95e0 THEN 'exact' WHEN confidence >= 0.85e0 THEN 'high' ELSE 'partial' END AS match_type
+       FROM en_walk WHERE e_idx IS NOT NULL""",
+    _ENGINE,
+)
 def j5_engine_matches(v: Views):
-    return match.engine_matches(*engine_inputs(v))
+    return match.engine_matches(*engine_inputs(v), keys=["scope"])
+
+
+@query(
+    "f6_name_similarity",
+    """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 0e0 WHEN 1 THEN 1e0 ELSE 2e0 * n / (2 * n + 1 + m) END AS similarity
+       FROM (SELECT c_custkey, length(replace(c_name, '#', '')) AS n, length(c_mktsegment) AS m FROM customer)""",
+)
+def f6_name_similarity(v: Views):
+    other = (
+        F.when(F.col("c_custkey") % 5 == 0, "PT.")
+        .when(F.col("c_custkey") % 5 == 1, F.concat(F.lit("cv "), F.lower("c_name")))
+        .otherwise(F.concat("c_name", F.lit(" "), "c_mktsegment"))
+    )
+    names = v.table("customer").select("c_custkey", normalize_vendor(F.col("c_name")).alias("a"), normalize_vendor(other).alias("b"))
+    return match.with_name_similarity(names, "a", "b", "similarity").select("c_custkey", "similarity")
 
 
 _J6 = {
@@ -452,10 +509,24 @@ def a5_pair_summary(v: Views):
     )
 
 
-@query("a6_engine_summary")
+@query(
+    "a6_engine_summary",
+    """WITH hit AS (SELECT * FROM en_walk WHERE e_idx IS NOT NULL),
+       rows AS (SELECT 'faktur_pajak' AS k, i.total AS amount, b_idx IS NOT NULL AS hit FROM fx_invoice i LEFT JOIN hit ON b_idx = i.row_idx AND scope = npwp_pembeli
+                UNION ALL SELECT 'rekening_koran', greatest(debet, kredit), e_idx IS NOT NULL FROM fx_bank LEFT JOIN hit ON e_idx = row_idx AND scope = account_number
+                UNION ALL SELECT 'pph23', pph, false FROM fx_withholding)
+       SELECT count(*) FILTER (k = 'faktur_pajak') AS total_faktur, count(*) FILTER (k = 'rekening_koran') AS total_rekening,
+              count(*) FILTER (k = 'pph23') AS total_pph, count(*) FILTER (k = 'faktur_pajak' AND hit) AS matched_count,
+              count(*) FILTER (k = 'faktur_pajak' AND NOT hit) AS unmatched_faktur, count(*) FILTER (k = 'rekening_koran' AND NOT hit) AS unmatched_rekening,
+              count(*) FILTER (k = 'pph23') AS unmatched_pph, count(*) FILTER (k = 'rekening_koran' AND NOT hit) AS belum_dilaporkan,
+              coalesce(sum(amount) FILTER (k = 'faktur_pajak' AND hit), 0)::DOUBLE AS total_matched_amount,
+              coalesce(sum(amount) FILTER (NOT hit), 0)::DOUBLE AS total_unmatched_amount,
+              (count(*) FILTER (k = 'faktur_pajak' AND hit))::DOUBLE / (count(*) FILTER (k = 'faktur_pajak'))::DOUBLE * 100 / 100 AS match_rate FROM rows""",
+    _ENGINE,
+)
 def a6_engine_summary(v: Views):
     invoices, bank = engine_inputs(v)
-    matches = match.engine_matches(invoices, bank)
+    matches = match.engine_matches(invoices, bank, keys=["scope"])
     used_b = matches.select(F.col("b_idx").alias("row_idx"), F.lit(True).alias("hit"))
     used_e = matches.select(F.col("e_idx").alias("row_idx"), F.lit(True).alias("hit"))
     slip_rows = v.withholding.select(F.lit("pph23").alias("source_type"), F.col("pph").alias("amount"), F.lit(False).alias("is_matched"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from neraca.functions.ids import normalize_npwp
 from neraca.operators import match, split, summary
+from neraca.session import cut_lineage
 
 
 @dataclass
@@ -45,7 +46,8 @@ def reconcile(
     """Reconcile every company of ``companies`` (all of them when None) in one job.
 
     Slips belong to the company they were withheld from, bank rows to the account
-    holder.  ``period`` keeps rows dated inside it; off by default.
+    holder.  ``period`` keeps rows dated inside it; off by default.  Both match lists are
+    written once, to the shared checkpoint folder, and every sheet reads them from there.
     """
     if period is not None:
         low, high = (F.to_date(F.lit(p)) for p in period)
@@ -66,6 +68,6 @@ def reconcile(
         b,
         slips,
         bank,
-        match.pair_by_key(a, slips, "npwp_pembeli", "npwp_pemotong"),
-        match.match_payments(b, bank, require_amount=require_amount),
+        cut_lineage(match.pair_by_key(a, slips, "npwp_pembeli", "npwp_pemotong")),
+        cut_lineage(match.match_payments(b, bank, require_amount=require_amount)),
     )

@@ -14,7 +14,7 @@ from neraca.sources.views import Views
 Plan = Callable[[Views], DataFrame]
 
 PLANS: dict[str, Plan] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, tuple[str, dict[str, str] | None]] = {}
 
 
 def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None):
@@ -25,12 +25,17 @@ def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None
             raise ValueError(f"query {name} registered twice")
         PLANS[name] = plan
         if sql is not None:
-            ORACLES[name] = with_views(sql, extra)
+            ORACLES[name] = (sql, extra)
         return plan
 
     return register
 
 
+def twins() -> dict[str, str]:
+    """Every twin with the views it names, which any module may have added."""
+    return {name: with_views(sql, extra) for name, (sql, extra) in ORACLES.items()}
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Report types: integers as bigint, money and shares as double."""
     columns = []

@@ -554,7 +554,7 @@ def _bonus() -> str:
     f"""SELECT doc_id, document_type, CASE WHEN n = 0 THEN 0e0 ELSE greatest(0.1e0, least(0.99e0,
             {_tiers('n', text.LENGTH_TIERS, 0.2)} * 0.5e0 + {_tiers('lines', text.LINE_TIERS, 0.3)} * 0.3e0 + {_bonus()} * 0.2e0)) END AS quality
         FROM (SELECT *, length(extracted_text) AS n, len(string_split(extracted_text, chr(10))) AS lines,
-                     lower(substr(extracted_text, 1, 1000)) AS head FROM fx_text)""",
+                     lower(extracted_text) AS head FROM fx_text)""",
 )
 def f31_text_quality(v: Views):
     return v.texts.select(

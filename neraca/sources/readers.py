@@ -158,11 +158,11 @@ def bank_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def slip_rows(rows: DataFrame) -> DataFrame:
-    """Withholding rows: among the last nine cells past the sixth, the rightmost positive
-    amount is the tax and the next one the gross."""
+def slip_rows(rows: DataFrame, cells: int | None = None) -> DataFrame:
+    """Withholding rows: among the cells past the sixth, or the last ``cells`` of them, the rightmost
+    positive amount is the tax and the next one the gross."""
     n = F.size("cells")
-    low = F.greatest(F.lit(5), n - 10)
+    low = F.lit(5) if cells is None else F.greatest(F.lit(5), n - cells - 1)
     tail = F.reverse(F.slice("cells", (low + 2).cast("int"), F.greatest(n - 1 - low, F.lit(0)).cast("int")))
     positive = F.filter(F.transform(tail, sheet_amount), lambda x: x > 0)
     zero = F.lit(0).cast("decimal(18,2)")
@@ -206,10 +206,10 @@ def invoice_candidates(invoices: DataFrame) -> DataFrame:
     )
 
 
-def bank_candidates(bank: DataFrame) -> DataFrame:
-    """The larger side is the amount, the first 50 characters of the text the name."""
+def bank_candidates(bank: DataFrame, shown: int | None = None) -> DataFrame:
+    """The larger side is the amount; the text, or its first ``shown`` characters, the name."""
     amount = F.greatest("nilai_masuk", "nilai_keluar")
-    name = F.substring("keterangan", 1, 50)
+    name = F.col("keterangan") if shown is None else F.substring("keterangan", 1, shown)
     raw = ["nilai_masuk", "nilai_keluar", "saldo"]
     return bank.select(
         *_candidate(F.lit("rekening_koran"), F.col("tanggal"), amount, name, F.col("keterangan"), raw)

@@ -30,11 +30,9 @@ class Views:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
-        """The table in at least as many partitions as there are cores, for parsing that
-        keeps a core busy.  Large tables have more splits than that and are left alone."""
-        df = self.table(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+        """The table dealt out evenly over the shuffle partitions, for parsing that keeps a core
+        busy whatever the sizes of the files."""
+        return self.table(name).hint("rebalance")
 
     @cached_property
     def invoice(self) -> DataFrame:
@@ -68,24 +66,24 @@ class Views:
 
     @cached_property
     def withholding(self) -> DataFrame:
-        lines = (
-            self.table("lineitem")
-            .filter(F.col("l_orderkey") % 4 != 0)
-            .groupBy("l_orderkey", "l_suppkey")
-            .agg(
-                F.min("l_shipdate").alias("shipped"),
-                F.sum(F.col("l_extendedprice").cast(MONEY)).cast(MONEY).alias("bruto"),
-            )
+        """One slip per order and supplier.  Every fourth order's slips name no payer; those of the
+        next are dated and priced near the order's invoice."""
+        lines = self.table("lineitem").groupBy("l_orderkey", "l_suppkey").agg(
+            F.min("l_shipdate").alias("shipped"), F.sum(F.col("l_extendedprice").cast(MONEY)).cast(MONEY).alias("gross")
         )
-        buyers = self.table("orders").select("o_orderkey", "o_custkey")
-        return lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).select(
-            (F.col("l_orderkey") * 1000 + F.col("l_suppkey")).alias("row_idx"),
+        orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate", F.col("o_totalprice").cast(MONEY).alias("price"))
+        key = F.col("l_orderkey")
+        share = F.lit(1).cast("decimal(3,2)") + ((key % 5) - 2).cast("decimal(3,0)") * F.lit("0.01").cast("decimal(3,2)")
+        near = key % 4 == 1
+        bruto = F.when(near, F.round(F.col("price") * share, 2).cast(MONEY)).otherwise(F.col("gross"))
+        return lines.join(orders, key == F.col("o_orderkey")).select(
+            (key * 1000 + F.col("l_suppkey")).alias("row_idx"),
             F.concat_ws("/", "l_orderkey", "l_suppkey").alias("nomor_bukti_potong"),
-            F.to_date("shipped").alias("tanggal"),
+            F.when(near, F.date_add(F.to_date("o_orderdate"), (key % 9).cast("int"))).otherwise(F.to_date("shipped")).alias("tanggal"),
             party(F.col("l_suppkey")).alias("npwp_dipotong"),
-            party(F.col("o_custkey")).alias("npwp_pemotong"),
-            "bruto",
-            F.round(F.col("bruto") * F.lit("0.02").cast("decimal(3,2)"), 2).cast(MONEY).alias("pph"),
+            F.when(key % 4 == 0, "").otherwise(party(F.col("o_custkey"))).alias("npwp_pemotong"),
+            bruto.alias("bruto"),
+            F.round(bruto * F.lit("0.02").cast("decimal(3,2)"), 2).cast(MONEY).alias("pph"),
         )
 
     @cached_property
@@ -140,7 +138,6 @@ class Views:
             ["ts", "row_idx"],
             F.col("kredit") - F.col("debet"),
             "chain",
-            position=instant(F.col("ts")),
         )
         planted = F.when(F.col("row_idx") % 97 == 0, 1000).otherwise(0).cast(MONEY)
         return running.withColumn("saldo", (F.col("chain") + planted).cast(MONEY)).drop("chain")
@@ -213,8 +210,3 @@ class Views:
 # Document types and the states of a batch.
 DOCUMENT_TYPES = ["faktur_pajak", "pph21", "pph23", "rekening_koran", "invoice"]
 ORDER_STATUS = {"F": "completed", "O": "processing", "P": "partial"}
-
-
-def instant(ts: Column) -> Column:
-    """Microseconds of a timestamp, as a position along its order."""
-    return F.unix_micros(ts.cast("timestamp"))

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -8,7 +7,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from neraca.session import build_session
 
     session = build_session(
@@ -17,7 +16,7 @@ def spark():
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "6g",
-            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="neraca-test-"),
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
         },
     )
     session.sparkContext.setLogLevel("ERROR")

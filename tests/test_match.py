@@ -119,7 +119,7 @@ def test_key_pairs(spark):
                 want.add((s, i, j))
                 break
     for hot in (None, 10):
-        got = match.pair_by_key(a, c, "buyer", "payer", min_hot_rows=hot)
+        got = match.pair_by_key(a, c, "buyer", "payer", slice_rows=hot)
         assert {(r["scope"], r["a_idx"], r["c_idx"]) for r in got.collect()} == want
 
 
@@ -209,3 +209,25 @@ def test_large_island(spark, need_amount):
     left, right = side(30), side(22)
     got = match.match_payments(*frames(spark, left, right), require_amount=need_amount, fold_pairs=0)
     assert result(got) == expected(left, right, need_amount)
+
+
+@pytest.mark.parametrize("need_amount", [False, True])
+def test_bands_equal_the_walk_on_many_scopes(spark, need_amount):
+    """Folded, in bands and over all candidates: 250 crowded scopes with displaced rows."""
+    left, right = random_scopes(31, 250, 8, 6)
+    b, e = frames(spark, left, right)
+    want = expected(left, right, need_amount)
+    assert result(match.match_payments(b, e, require_amount=need_amount)) == want
+    assert result(match.match_payments(b, e, require_amount=need_amount, fold_pairs=0)) == want
+    assert result(match.settle(match.payment_candidates(b, e, require_amount=need_amount))) == want
+
+
+def test_row_that_loses_its_payment_late(spark):
+    """B0 takes the payment that B1 rates best; B1 still finds the far one of the same day."""
+    b, e = frames(
+        spark,
+        [("s", 0, DAY + datetime.timedelta(days=3), 102.56), ("s", 1, DAY, 100.0)],
+        [("s", 0, DAY, 100.0), ("s", 1, DAY, 500.0)],
+    )
+    for limit in (None, 0):
+        assert {r[1:3] for r in result(match.match_payments(b, e, fold_pairs=limit))} == {(0, 0), (1, 1)}

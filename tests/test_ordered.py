@@ -24,28 +24,42 @@ def same(got, want):
 def test_rank(spark):
     df = rows(spark)
     w = Window.partitionBy("k").orderBy("i")
-    got = rank_rows(df, ["k"], ["i"], "n", min_hot_rows=20).select("k", "i", "n")
+    got = rank_rows(df, ["k"], ["i"], "n", slice_rows=20).select("k", "i", "n")
     same(got, df.select("k", "i", F.row_number().over(w).cast("long").alias("n")))
 
 
 def test_running_sum(spark):
     df = rows(spark).withColumn("x", F.col("x").cast("decimal(18,2)"))
     w = Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    got = running_sum(df, ["k"], ["i"], F.col("x"), "s", min_hot_rows=20).select("k", "i", "s")
+    got = running_sum(df, ["k"], ["i"], F.col("x"), "s", slice_rows=20).select("k", "i", "s")
     same(got, df.select("k", "i", F.sum("x").over(w).alias("s")))
 
 
 def test_previous(spark):
     df = rows(spark)
     w = Window.partitionBy("k").orderBy("i")
-    got = previous_value(df, ["k"], ["i"], "y", "p", min_hot_rows=20).select("k", "i", "p")
+    got = previous_value(df, ["k"], ["i"], "y", "p", slice_rows=20).select("k", "i", "p")
     same(got, df.select("k", "i", F.lag("y").over(w).alias("p")))
 
 
 def test_hot_keys_are_cut(spark):
     from neraca.operators.ordered import with_slices
 
-    sliced = with_slices(rows(spark), ["k"], F.col("i"), 20)
+    sliced = with_slices(rows(spark), ["k"], ["i"], 20)
     per_key = {r["k"]: r["n"] for r in sliced.groupBy("k").agg(F.countDistinct("_slice").alias("n")).collect()}
     assert per_key["hot"] >= 15 and per_key["cold"] == 0
     assert sliced.groupBy("k", "_slice").count().filter("_slice is not null").agg(F.max("count")).first()[0] < 60
+
+
+def test_outliers_and_ties_make_no_large_slice(spark):
+    """One far position, one date for every row, and unreadable dates behind all others."""
+    from neraca.operators import ordered
+
+    for place in ("case when i = 5 then 99999999 else 20240000 + i % 7 end", "20240101", "case when i % 10 < 8 then 99990000 else i end"):
+        df = spark.range(4000).selectExpr("'hot' as k", "id as i").withColumn("day", F.expr(place))
+        sliced = ordered.with_slices(df, ["k"], ["day", "i"], 200)
+        sizes = [r["count"] for r in sliced.groupBy("_slice").count().collect()]
+        assert max(sizes) < 400 and len(sizes) >= 12
+        w = Window.partitionBy("k").orderBy("day", "i")
+        got = rank_rows(df, ["k"], ["day", "i"], "n", slice_rows=200).select("i", "n")
+        same(got, df.select("i", F.row_number().over(w).cast("long").alias("n")))
