@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,13 +51,23 @@ def clean_amount(c: Column) -> Column:
     return F.coalesce(number.try_cast(MONEY), F.lit(0).cast(MONEY))
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
 def extract_amount(c: Column) -> Column:
     """Row-parser variant: exactly two decimals after a single separator, ``(x)`` is
     negative, and null when there is no amount."""
     text = F.trim(c)
-    bare = F.regexp_replace(text, r"[Rp\s$€£¥]", "")
-    negative = bare.contains("(") & bare.contains(")")
-    bare = F.when(negative, F.regexp_replace(bare, r"[()]", "")).otherwise(bare)
+    stripped = F.regexp_replace(text, r"[Rp\s$€£¥]", "")
+    negative = stripped.contains("(") & stripped.contains(")")
+    value = bound(F.when(negative, F.regexp_replace(stripped, r"[()]", "")).otherwise(stripped), _read_amount)
+    signed = F.when(negative, -value).otherwise(value).cast(MONEY)
+    return F.when(text.isin(NO_AMOUNT), F.lit(None).cast(MONEY)).otherwise(signed)
+
+
+def _read_amount(bare: Column) -> Column:
     has_comma, has_dot = bare.contains(","), bare.contains(".")
     number = (
         F.when(has_comma & has_dot, _mixed(bare))
@@ -64,9 +76,7 @@ def extract_amount(c: Column) -> Column:
         .when(has_dot & bare.rlike(r"\..*\.|^[^.]*\.[^.]{3}$"), _without(bare, "."))
         .otherwise(bare)
     )
-    value = number.try_cast(MONEY)
-    signed = F.when(negative, -value).otherwise(value).cast(MONEY)
-    return F.when(text.isin(NO_AMOUNT), F.lit(None).cast(MONEY)).otherwise(signed)
+    return number.try_cast(MONEY)
 
 
 def sheet_amount(c: Column) -> Column:
@@ -190,8 +200,11 @@ def read_mark(c: Column) -> tuple[Column, Column]:
 
 
 def sides_by_mark(c: Column) -> Column:
-    is_debit, bare = read_mark(c)
-    return sides(is_debit, clean_amount(bare))
+    def split(text: Column) -> Column:
+        is_debit, bare = read_mark(text)
+        return bound(bare, lambda b: bound(clean_amount(b), lambda amount: sides(is_debit, amount)))
+
+    return bound(c, split)
 
 
 def is_debit_flag(flag: Column) -> Column:

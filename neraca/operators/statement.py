@@ -388,6 +388,51 @@ def bca_text_rows(docs: DataFrame) -> DataFrame:
     )
 
 
+# Line shapes of statements that came without tables.
+COLUMNS_LINE = (
+    r"(\d{1,2}[/.-]\d{1,2}(?:[/.-]\d{2,4})?)\s+(.+?)\s+([\d,.-]+(?:\.\d{2})?)\s+([\d,.-]+(?:\.\d{2})?)\s+([\d,.-]+(?:\.\d{2})?)"
+)
+FLAG_LINE = (
+    r"(\d{1,2}[/.-]\d{1,2}(?:[/.-]\d{2,4})?)\s+(\w+)\s+(.+?)\s+([DC])\s+([\d,.-]+(?:\.\d{2})?)\s+([\d,.-]+(?:\.\d{2})?)"
+)
+# Banks whose lines have debit, credit and balance; the others have a code, a D/C flag, amount and balance.
+COLUMNS_BANKS = ["BNI_V1", "BNI_V2", "BRI", "BSI_SYARIAH", "MANDIRI_V1", "MANDIRI_V2", "MUFG", "OCBC", "PERMATA"]
+FLAG_BANKS = ["BCA_SYARIAH"]
+BANK_NAMES = {layout["bank"]: layout["name"] for layout in LAYOUTS}
+
+
+def bank_text_rows(docs: DataFrame, column: str = "text") -> DataFrame:
+    """Transactions in texts of ``COLUMNS_BANKS`` and ``FLAG_BANKS``, by ``doc_id, bank_code``.
+
+    Shapes are looked for in the whole text, as one may run over a line break.  Rows without a
+    readable date drop out; ``place`` counts the shapes of a document from 0.
+    """
+    names = F.create_map(*[F.lit(x) for kv in BANK_NAMES.items() for x in kv])
+
+    def found(pattern: str, banks: list[str], fields: list[str]) -> DataFrame:
+        groups = [F.regexp_extract_all(column, F.lit(pattern), F.lit(n + 1)).alias(f) for n, f in enumerate(fields)]
+        rows = docs.filter(F.col("bank_code").isin(banks)).select("doc_id", "bank_code", *groups)
+        return rows.select("doc_id", "bank_code", F.posexplode(F.arrays_zip(*fields)).alias("place", "r"))
+
+    def amount(name: str) -> Column:
+        return money.clean_amount(F.col(f"r.{name}"))
+
+    columns = found(COLUMNS_LINE, COLUMNS_BANKS, ["date", "words", "debit", "credit", "balance"])
+    columns = columns.withColumns({"code": F.lit(""), "debit": amount("debit"), "credit": amount("credit")})
+    flagged = found(FLAG_LINE, FLAG_BANKS, ["date", "code", "words", "flag", "amount", "balance"])
+    sides = money.sides_by_flag(F.col("r.flag"), amount("amount"))
+    flagged = flagged.withColumns({"code": F.col("r.code"), "debit": sides["debit"], "credit": sides["credit"]})
+    out = None
+    for rows in (columns, flagged):
+        part = rows.select(
+            "doc_id", "bank_code", F.element_at(names, F.col("bank_code")).alias("bank_name"), "place",
+            dates.parse_date(F.col("r.date"), dates.STATEMENT_FORMATS).alias("transaction_date"),
+            "code", F.trim("r.words").alias("description"), "debit", "credit", amount("balance").alias("balance"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out.filter(F.col("transaction_date").isNotNull())
+
+
 def cimb_text_format(docs: DataFrame) -> DataFrame:
     """Layout of a CIMB text by which line shape hits more often, at least twice."""
     line = F.col("line")

@@ -465,6 +465,46 @@ def p16_unmatched_display(v: Views):
     return unmatched_invoices(left).select("row_idx", "Nomor Faktur", "NPWP Pembeli", "Nama Barang", "Quantity", "DPP", "Total")
 
 
+@query(
+    "p16_unmatched_display_b",
+    """SELECT row_idx, nomor_faktur AS "Nomor Faktur", tanggal AS "Tanggal Faktur", npwp_penjual AS "NPWP Penjual", '-' AS "Nama Barang", '-' AS "Quantity",
+              dpp::DOUBLE AS "DPP", ppn::DOUBLE AS "PPN", total::DOUBLE AS "Total"
+       FROM fx_invoice x WHERE NOT EXISTS (SELECT 1 FROM m_be m WHERE m.scope = x.npwp_pembeli AND m.b_idx = x.row_idx)""",
+)
+def p16_unmatched_display_b(v: Views):
+    from neraca.plans.export import unmatched_invoices
+    from neraca.plans.recon_queries import j2_match_payments, purchases
+
+    left = match.unmatched(purchases(v), j2_match_payments(v), "b_idx")
+    return unmatched_invoices(left).drop("scope", "NPWP Pembeli")
+
+
+@query(
+    "p16_unmatched_display_c",
+    """SELECT row_idx, nomor_bukti_potong AS "Nomor Bukti Potong", tanggal AS "Tanggal", npwp_pemotong AS "NPWP Pemotong", '' AS "Nama Pemotong",
+              '' AS "Jenis Penghasilan", bruto::DOUBLE AS "Jumlah Bruto", pph::DOUBLE AS "PPh Dipotong"
+       FROM fx_withholding x WHERE NOT EXISTS (SELECT 1 FROM m_ac m WHERE m.scope = x.npwp_dipotong AND m.c_idx = x.row_idx)""",
+)
+def p16_unmatched_display_c(v: Views):
+    from neraca.plans.export import unmatched_slips
+    from neraca.plans.recon_queries import j1_match_invoices_slips
+    from neraca.plans.recon_queries import slips as slip_rows
+
+    return unmatched_slips(match.unmatched(slip_rows(v), j1_match_invoices_slips(v), "c_idx")).drop("scope")
+
+
+@query(
+    "p16_unmatched_display_e",
+    """SELECT row_idx, tanggal AS "Tanggal", keterangan AS "Keterangan", '' AS "Cabang", debet::DOUBLE AS "Debet", kredit::DOUBLE AS "Kredit", '0' AS "Saldo"
+       FROM fx_bank x WHERE NOT EXISTS (SELECT 1 FROM m_be m WHERE m.scope = x.account_number AND m.e_idx = x.row_idx)""",
+)
+def p16_unmatched_display_e(v: Views):
+    from neraca.plans.export import unmatched_bank_rows
+    from neraca.plans.recon_queries import j2_match_payments, statements
+
+    return unmatched_bank_rows(match.unmatched(statements(v), j2_match_payments(v), "e_idx")).drop("scope")
+
+
 @query("s3_file_ids", "SELECT id, substr(md5(name), 1, 16) AS file_id FROM fx_files")
 def s3_file_ids(v: Views):
     return v.files.select("id", readers.file_id(F.col("name")).alias("file_id"))

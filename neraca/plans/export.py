@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neraca.functions import dates, money, text
+from neraca.functions import dates, money, score, text
 from neraca.operators import ledger
 
 
@@ -61,6 +61,39 @@ def _present(df: DataFrame, names: Sequence[str], default: str) -> Column:
     return F.lit(default)
 
 
+def slip_match_details(matches: DataFrame, invoices: DataFrame, slips: DataFrame, scope: Sequence[str] = ("scope",)) -> DataFrame:
+    """Both sides of each invoice and slip match: documents, dates, parties, amounts and goods."""
+    a = invoices.select(
+        *scope, F.col("row_idx").alias("a_idx"), F.col("nomor_faktur"), F.col("tanggal").alias("tanggal_faktur"), F.col("npwp_pembeli"),
+        _present(invoices, ["nama_barang_jasa", "nama_barang"], "-").alias("nama_barang"), _present(invoices, ["quantity", "jumlah"], "-").alias("quantity"),
+        "dpp", "ppn", F.col("total").alias("amount"),
+    )
+    c = slips.select(
+        *scope, F.col("row_idx").alias("c_idx"), "nomor_bukti_potong", F.col("tanggal").alias("tanggal_bukti"), "npwp_pemotong", F.col("bruto"), F.col("pph")
+    )
+    return matches.join(a, [*scope, "a_idx"]).join(c, [*scope, "c_idx"]).withColumn("match_confidence", F.round("confidence", 2)).drop("confidence", "npwp")
+
+
+def payment_match_details(matches: DataFrame, invoices: DataFrame, bank: DataFrame, scope: Sequence[str] = ("scope",)) -> DataFrame:
+    """Both sides of each payment match with its gaps and scores, rounded to two places."""
+    b = invoices.select(
+        *scope, F.col("row_idx").alias("b_idx"), "nomor_faktur", "tanggal", F.col("npwp_penjual").alias("npwp"), F.col("total").alias("amount"),
+        _present(invoices, ["nama_barang_jasa", "nama_barang"], "-").alias("nama_barang"), _present(invoices, ["quantity", "jumlah"], "-").alias("quantity"),
+        "dpp", "ppn",
+    )
+    e = bank.select(*scope, F.col("row_idx").alias("e_idx"), F.col("tanggal").alias("bank_date"), F.col("debet").alias("bank_amount"), "keterangan")
+    gap = score.day_gap(F.col("tanggal"), F.col("bank_date"))
+    percent = score.percent_of_base(F.col("amount"), F.col("bank_amount"))
+    shown = {
+        "date_diff_days": gap.cast("long"),
+        "amount_diff_pct": F.round(percent, 2),
+        "date_score": F.round(score.linear_date_score(gap), 2),
+        "amount_score": F.round(score.linear_amount_score(percent), 2),
+        "match_confidence": F.round("confidence", 2),
+    }
+    return matches.join(b, [*scope, "b_idx"]).join(e, [*scope, "e_idx"]).withColumns(shown).drop("confidence", "match_type")
+
+
 def unmatched_invoices(rows: DataFrame) -> DataFrame:
     """Left-over invoices under their sheet headers; optional columns default to ``-``."""
     return rows.select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from neraca.functions import score
 from neraca.functions.ids import normalize_vendor
 from neraca.operators import match, split, summary
+from neraca.plans import export
 from neraca.plans.oracle import VIEWS
 from neraca.plans.reconcile import reconcile
 from neraca.plans.registry import query
@@ -405,24 +406,26 @@ def w9_best_candidate(v: Views):
 
 @query(
     "p17_match_details",
-    """SELECT m.scope, m.b_idx, m.e_idx, b.nomor_faktur, b.tanggal, b.npwp_penjual AS npwp, b.total::DOUBLE AS amount,
-              e.tanggal AS bank_date, e.debet::DOUBLE AS bank_amount, e.keterangan, round(m.confidence, 2) AS match_confidence
-       FROM m_be m JOIN fx_invoice b ON b.row_idx = m.b_idx JOIN fx_bank e ON e.row_idx = m.e_idx""",
+    """SELECT m.scope, m.b_idx, m.e_idx, b.nomor_faktur, b.tanggal, b.npwp_penjual AS npwp, b.total::DOUBLE AS amount, '-' AS nama_barang, '-' AS quantity,
+              b.dpp::DOUBLE AS dpp, b.ppn::DOUBLE AS ppn, e.tanggal AS bank_date, e.debet::DOUBLE AS bank_amount, e.keterangan,
+              c.gap AS date_diff_days, round(c.pct, 2) AS amount_diff_pct, round(c.date_score, 2) AS date_score, round(c.amount_score, 2) AS amount_score,
+              round(m.confidence, 2) AS match_confidence
+       FROM m_be m JOIN fx_invoice b ON b.row_idx = m.b_idx JOIN fx_bank e ON e.row_idx = m.e_idx
+       JOIN cand_be c ON c.scope = m.scope AND c.b_idx = m.b_idx AND c.e_idx = m.e_idx""",
 )
 def p17_match_details(v: Views):
-    m = j2_match_payments(v)
-    b = purchases(v).select(
-        "scope", F.col("row_idx").alias("b_idx"), "nomor_faktur", "tanggal", F.col("npwp_penjual").alias("npwp"), F.col("total").alias("amount")
-    )
-    e = statements(v).select(
-        "scope", F.col("row_idx").alias("e_idx"), F.col("tanggal").alias("bank_date"), F.col("debet").alias("bank_amount"), "keterangan"
-    )
-    return (
-        m.join(b, ["scope", "b_idx"])
-        .join(e, ["scope", "e_idx"])
-        .withColumn("match_confidence", F.round("confidence", 2))
-        .drop("confidence", "match_type")
-    )
+    return export.payment_match_details(j2_match_payments(v), purchases(v), statements(v))
+
+
+@query(
+    "p17_match_details_ac",
+    """SELECT m.scope, m.a_idx, m.c_idx, a.nomor_faktur, a.tanggal AS tanggal_faktur, a.npwp_pembeli, '-' AS nama_barang, '-' AS quantity,
+              a.dpp::DOUBLE AS dpp, a.ppn::DOUBLE AS ppn, a.total::DOUBLE AS amount, c.nomor_bukti_potong, c.tanggal AS tanggal_bukti, c.npwp_pemotong,
+              c.bruto::DOUBLE AS bruto, c.pph::DOUBLE AS pph, 1e0 AS match_confidence
+       FROM m_ac m JOIN fx_invoice a ON a.row_idx = m.a_idx JOIN fx_withholding c ON c.row_idx = m.c_idx""",
+)
+def p17_match_details_ac(v: Views):
+    return export.slip_match_details(j1_match_invoices_slips(v), sales(v), slips(v))
 
 
 # --- summaries ----------------------------------------------------------------------------------

@@ -233,6 +233,30 @@ def x18_bca_text(v: Views):
     return statement.bca_text_rows(rendered.bca_texts(v))
 
 
+# Fixed values, written out again: the twin doesn't take them from the operator.
+_TEXT_BANKS = {
+    "BCA_SYARIAH": "BCA Syariah", "BNI_V1": "Bank BNI", "BNI_V2": "Bank BNI", "BRI": "Bank BRI", "BSI_SYARIAH": "Bank Syariah Indonesia",
+    "MANDIRI_V1": "Bank Mandiri", "MANDIRI_V2": "Bank Mandiri", "MUFG": "MUFG Bank", "OCBC": "OCBC Bank", "PERMATA": "Permata Bank",
+}
+
+
+def _bank_text_query(bank: str, name: str) -> None:
+    flagged = bank == "BCA_SYARIAH"
+
+    @query(
+        f"x18_{bank.lower()}_text",
+        f"""SELECT doc_id, '{name}' AS bank_name, row_number() OVER (PARTITION BY doc_id ORDER BY row_idx) - 1 AS place, d AS transaction_date,
+                   '{"TRF" if flagged else ""}' AS code, 'PEMBAYARAN INV-' || row_idx AS description,
+                   debet::DOUBLE AS debit, kredit::DOUBLE AS credit, saldo::DOUBLE AS balance FROM st_source""",
+    )
+    def plan(v: Views):
+        return statement.bank_text_rows(rendered.bank_texts(v, bank, flagged)).drop("bank_code")
+
+
+for _bank, _name in _TEXT_BANKS.items():
+    _bank_text_query(_bank, _name)
+
+
 @query(
     "x18_cimb_text",
     r"""SELECT doc_id, line_no, strptime(CASE WHEN doc_id % 2 = 0 THEN '20' || substr(line, 7, 2) || '-' || substr(line, 1, 2) || '-' || substr(line, 4, 2)

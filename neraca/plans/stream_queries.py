@@ -19,17 +19,25 @@ def _text(c: str):
               count(*) FILTER (status = 'processing') AS processing FROM fx_files GROUP BY 1""",
 )
 def st1_live_progress(v: Views):
-    return streams.batch_progress(v.files)
+    # Every file is seen three times: when it arrives, a little later, and two days later in its final state.
+    seen = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.lit(last).alias("last")) for h, last in ((0, False), (1, False), (48, True))]))
+    events = v.files.select("batch_id", F.col("id").alias("file_id"), "created_at", "status", seen.alias("e"))
+    events = events.select(
+        "batch_id", "file_id", F.when(F.col("e.last"), F.col("status")).otherwise("processing").alias("status"),
+        (F.col("created_at").cast("timestamp") + F.make_dt_interval(hours=F.col("e.h"))).alias("ts"),
+    )
+    return streams.batch_progress(streams.file_states(events))
 
 
 @query(
     "st2_rate_breaches",
-    """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS actor, count(*) AS requests FROM events
-       GROUP BY 1, 2 HAVING count(*) > 5""",
+    """SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS window_start, user_id AS actor, count(*) * 3 AS requests FROM events
+       GROUP BY 1, 2 HAVING count(*) * 3 > 2""",
 )
 def st2_rate_breaches(v: Views):
-    events = v.stream_events.withColumn("actor", F.col("event_type"))
-    return streams.rate_breaches(events, 5, per="1 hour").withColumn("window_start", _text("window_start"))
+    # Each event stands for three requests within its minute.
+    burst = v.stream_events.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    return streams.rate_breaches(burst, 2).withColumn("window_start", _text("window_start"))
 
 
 @query(
@@ -43,9 +51,9 @@ def st3_sessions(v: Views):
     return out.withColumn("session_start", _text("session_start")).withColumn("session_end", _text("session_end"))
 
 
-@query("st4_first_uploads", "SELECT file_hash, min(created_at)::DATE AS first_day, count(*) AS copies FROM fx_files GROUP BY 1")
+@query("st4_first_uploads", "SELECT file_hash, min(created_at)::DATE AS first_day FROM fx_files GROUP BY 1")
 def st4_first_uploads(v: Views):
-    return streams.first_uploads(v.files).select("file_hash", F.to_date("created_at").alias("first_day"), "copies")
+    return streams.first_uploads(v.files).select("file_hash", F.to_date("created_at").alias("first_day"))
 
 
 @query(

@@ -295,6 +295,20 @@ def bca_texts(v: Views) -> DataFrame:
     return _as_text(s, line)
 
 
+def bank_texts(v: Views, bank: str, flagged: bool) -> DataFrame:
+    """Statements of one bank as plain text, with a code and a D/C flag or in columns."""
+    s = statement_source(v)
+    words = F.concat(F.lit("PEMBAYARAN INV-"), F.col("row_idx").cast("string"))
+    is_debit = F.col("debet") > 0
+    day = F.date_format("day", "dd/MM/yyyy")
+    if flagged:
+        amount = F.when(is_debit, F.col("debet")).otherwise(F.col("kredit"))
+        line = F.concat_ws(" ", day, F.lit("TRF"), words, F.when(is_debit, "D").otherwise("C"), us_amount(amount), us_amount(F.col("saldo")))
+    else:
+        line = F.concat_ws(" ", day, words, us_amount(F.col("debet")), us_amount(F.col("kredit")), us_amount(F.col("saldo")))
+    return _as_text(s, line).withColumn("bank_code", F.lit(bank))
+
+
 def cimb_texts(v: Views) -> DataFrame:
     """Even documents in the first text layout, odd ones in the second."""
     s = statement_source(v)

@@ -24,10 +24,21 @@ def audit_log(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(AUDIT_SCHEMA).json(folder)
 
 
-def batch_progress(events: DataFrame) -> DataFrame:
-    """Files of each batch by state, kept up to date with every event (update mode)."""
+def file_states(events: DataFrame, late: str = "1 day", time: str = "ts") -> DataFrame:
+    """Latest state of each file by day, kept up to date with every event (update mode).
+
+    The watermark drops the state of days gone by, so it follows the files under way.
+    """
+    latest = F.max_by("status", F.struct(time, "status"))
+    grouped = events.withWatermark(time, late).groupBy("batch_id", "file_id", F.window(time, "1 day").alias("day"))
+    return grouped.agg(latest.alias("status"), F.max(time).alias(time)).drop("day")
+
+
+def batch_progress(states: DataFrame, time: str = "ts") -> DataFrame:
+    """Files of each batch by their latest state, from the table that ``file_states`` keeps."""
+    files = states.groupBy("batch_id", "file_id").agg(F.max_by("status", F.struct(time, "status")).alias("status"))
     state = F.col("status")
-    return events.groupBy("batch_id").agg(
+    return files.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("files"),
         F.count_if(state == "completed").alias("completed"),
         F.count_if(state.isin("failed", "error")).alias("failed"),
@@ -56,10 +67,11 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "30 minutes
 
 
 def first_uploads(files: DataFrame, late: str = "1 day", time: str = "created_at", key: str = "file_hash") -> DataFrame:
-    """One row per content hash; state is kept for as long as the watermark allows."""
+    """(key, time) of one upload per content hash: the first to arrive on a stream, whose
+    state is kept for as long as the watermark allows, and the earliest of a batch."""
     if files.isStreaming:
-        return files.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
-    return files.groupBy(key).agg(F.min(time).alias(time), F.count(F.lit(1)).alias("copies"))
+        return files.withWatermark(time, late).dropDuplicatesWithinWatermark([key]).select(key, time)
+    return files.groupBy(key).agg(F.min(time).alias(time))
 
 
 def audit_counts(events: DataFrame, per: str = "1 hour", late: str = "1 hour", time: str = "ts") -> DataFrame:

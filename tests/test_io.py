@@ -95,10 +95,12 @@ def test_rate_stream(spark, events):
 
 def test_progress_stream(spark, tmp_path):
     v = Views(spark, FOLDER)
-    v.files.coalesce(1).write.parquet(str(tmp_path / "files"))
-    stream = spark.readStream.schema(v.files.schema).parquet(str(tmp_path / "files"))
-    got = run_stream(spark, streams.batch_progress(stream), "progress", "complete")
-    assert keys(got) == keys(streams.batch_progress(v.files))
+    files = v.files.select("batch_id", F.col("id").alias("file_id"), "status", F.col("created_at").cast("timestamp").alias("ts"))
+    early = files.withColumns({"status": F.lit("processing"), "ts": F.col("ts") - F.expr("interval 2 hours")})
+    files.unionByName(early).coalesce(1).write.parquet(str(tmp_path / "files"))
+    stream = spark.readStream.schema(files.schema).parquet(str(tmp_path / "files"))
+    states = run_stream(spark, streams.file_states(stream, "9000 days"), "progress", "update")
+    assert keys(streams.batch_progress(states)) == keys(streams.batch_progress(files))
 
 
 def test_uploads_stream(spark, tmp_path):
@@ -107,7 +109,8 @@ def test_uploads_stream(spark, tmp_path):
     files.coalesce(1).write.parquet(str(tmp_path / "files"))
     stream = spark.readStream.schema(files.schema).parquet(str(tmp_path / "files"))
     got = run_stream(spark, streams.first_uploads(stream, "9000 days"), "uploads", "append")
-    assert got.count() == streams.first_uploads(files).count()
+    batch = streams.first_uploads(files)
+    assert got.schema == batch.schema and got.count() == batch.count()
 
 
 def test_audit_stream(spark, tmp_path):
@@ -122,3 +125,13 @@ def test_audit_stream(spark, tmp_path):
     assert sorted(r["events"] for r in batch.collect()) == [1, 2]
     got = run_stream(spark, streams.audit_counts(streams.audit_stream(spark, str(tmp_path / "audit")), time="timestamp"), "audit", "complete")
     assert keys(got) == keys(batch)
+
+
+def test_wide_statement_rows(spark):
+    """A layout without an upper width takes rows of any number of cells."""
+    from neraca.operators import statement
+
+    cells = ["01/02/2024", "BAYAR", "1,000.00", "0.00", "5,000.00"] + [""] * 95
+    rows = [("d", bank, 1, 0, 1, cells) for bank in ("BNI_V1", "BRI", "MANDIRI_V1", "OCBC", "BCA")]
+    df = spark.createDataFrame(rows, "doc_id string, bank_code string, page int, table_idx int, row_idx int, cells array<string>")
+    assert {r.bank_name for r in statement.normalize_statements(df).filter("bank_name = 'Bank BNI'").collect()} == {"Bank BNI"}
