@@ -223,9 +223,10 @@ def point_counts(projects: DataFrame, a: DataFrame, b: DataFrame, c: DataFrame,
     return projects.join(counts, "project_id", "left").fillna(0, [f"point_{p}_count" for p in "abce"])
 
 
-def summary_sheet(results: DataFrame) -> DataFrame:
+def summary_sheet(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Generic export: type, file, confidence in percent, status."""
     return results.select(
+        *keys,
         "document_type",
         "original_filename",
         F.format_string("%.1f%%", F.col("confidence").cast("double") * 100).alias("confidence"),

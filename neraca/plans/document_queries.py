@@ -452,6 +452,30 @@ def p7_blank_keys(v: Views):
     return match.pair_by_key(a, c, "npwp_pembeli", "npwp_pemotong").select("scope", "a_idx", "c_idx")
 
 
+@query(
+    "s14_batch_exports",
+    """SELECT 'pph' AS sheet, row_idx // 1000 AS batch_id, count(*) AS rows FROM fx_withholding WHERE row_idx // 1000 % 2 = 1 GROUP BY 2
+       UNION ALL SELECT 'faktur_pajak', -h.row_idx, count(*) FROM fx_header h LEFT JOIN fx_items i ON i.row_idx = h.row_idx WHERE h.row_idx % 2 = 1 GROUP BY 2
+       UNION ALL SELECT 'mixed', b, count(*) FROM (SELECT row_idx // 1000 AS b FROM fx_withholding WHERE row_idx // 1000 % 2 = 0
+                                                   UNION ALL SELECT row_idx FROM fx_header WHERE row_idx % 2 = 0) GROUP BY 2""",
+)
+def s14_batch_exports(v: Views):
+    """An odd order's slips and invoice are batches of their own, an even order's one mixed batch."""
+    from neraca.plans.export import batch_exports
+
+    row = F.col("row_idx")
+    slip = records.slips(v).select(F.floor(row / 1000).alias("batch_id"), row.alias("id"), F.lit("PPH23").alias("document_type"), "extracted_data")
+    bill = records.tax_invoices(v).select(
+        F.when(row % 2 == 1, -row).otherwise(row).alias("batch_id"), (-row).alias("id"), F.lit("faktur_pajak").alias("document_type"), "extracted_data"
+    )
+    results = slip.unionByName(bill).withColumns({"original_filename": F.lit("scan.pdf"), "confidence": F.lit(0.9)})
+    counted = [df.groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("sheet", F.lit(k)) for k, df in batch_exports(results).items()]
+    out = counted[0]
+    for more in counted[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 @query(
     "p16_unmatched_display",
     """SELECT row_idx, nomor_faktur AS "Nomor Faktur", npwp_pembeli AS "NPWP Pembeli", '-' AS "Nama Barang", '-' AS "Quantity", dpp::DOUBLE AS "DPP", total::DOUBLE AS "Total"

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from neraca.functions import dates, money, score, text
-from neraca.operators import ledger
+from neraca.operators import documents, ledger
+from neraca.operators.activity import batch_layouts, summary_sheet
 
 
 def bank_export(rows: DataFrame, keys: Sequence[str], year: Column, **options) -> DataFrame:
@@ -53,6 +54,32 @@ def slip_export(slips: DataFrame) -> DataFrame:
     return shown.orderBy(F.asc_nulls_first("sorted_by"), F.asc("row_idx"))
 
 
+def batch_exports(results: DataFrame, data: str = "extracted_data") -> dict[str, DataFrame]:
+    """Rows of every batch in the columns of its layout: one sheet per document type for batches of
+    that type alone, and the summary for all others.
+
+    ``results`` has ``batch_id, id, document_type, original_filename, confidence`` and the JSON.
+    """
+    routed = results.join(batch_layouts(results).select("batch_id", "layout"), "batch_id")
+    keys = ["batch_id", "id"]
+
+    def parsed(kinds: list[str], schema: str) -> DataFrame:
+        return documents.read_json(routed.filter(F.col("layout").isin(kinds)).select(*keys, data), data, schema).drop(data, "is_invalid")
+
+    slips = documents.flatten_slip(parsed(["pph21", "pph23"], documents.SLIP)).withColumn("row_idx", F.col("id"))
+    statements = documents.statement_transactions(parsed(["rekening_koran"], documents.STATEMENT), keys)
+    statements = statements.withColumn("row_idx", F.col("row_no").cast("long"))
+    known = ["faktur_pajak", "pph21", "pph23", "rekening_koran", "invoice"]
+    rest = routed.filter(~F.coalesce(F.col("layout").isin(known), F.lit(False)))
+    return {
+        "faktur_pajak": documents.item_rows(documents.flatten_tax_invoice(parsed(["faktur_pajak"], documents.TAX_INVOICE))),
+        "pph": slip_export(slips),
+        "rekening_koran": bank_export(statements, keys, dates.period_year(F.col("periode"))).drop("_position"),
+        "invoice": documents.flatten_commercial(parsed(["invoice"], documents.COMMERCIAL)),
+        "mixed": summary_sheet(rest, ["batch_id"]),
+    }
+
+
 def _present(df: DataFrame, names: Sequence[str], default: str) -> Column:
     """First of ``names`` the table has, filled with ``default``."""
     for name in names:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from neraca.operators.activity import batch_layouts
+from neraca.plans.export import batch_exports
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None, mode: str = "overwrite") -> str:
@@ -32,7 +32,6 @@ def write_reconciliation(job, folder: str, fmt: str = "parquet", session: str |
     return {name: write_table(df, f"{root}/{name}", fmt) for name, df in sheets.items()}
 
 
-def write_batch_exports(results: DataFrame, folder: str, fmt: str = "parquet") -> str:
-    """Results with the layout their batch is exported in, partitioned by it."""
-    layouts = batch_layouts(results).select("batch_id", "layout")
-    return write_table(results.join(layouts, "batch_id"), folder, fmt, ["layout"])
+def write_batch_exports(results: DataFrame, folder: str, fmt: str = "parquet") -> dict[str, str]:
+    """Every batch in the export of its own layout, one dataset per layout."""
+    return {name: write_table(df, f"{folder}/{name}", fmt) for name, df in batch_exports(results).items()}
