@@ -13,9 +13,9 @@
    member.  Only groups that reach what a link needs are opened, and their members verified, but for those
    whose sketch of 1024 bits differs in more bits than a link may differ in tokens.
 
-Signatures of tiny or frequent parts may be left out as long as a node leaves out no more than
-its spare parts of that kind, beyond ``D + 1``; as both sides judge a part by its content alone, one
-equal part always remains.  A node with more of them leaves out none, so no link is lost.
+Of its parts beyond ``D + 1`` a node leaves out the smallest, by size and content, and of the others those that
+are frequent, if they are no more than the spare ones.  Both sides judge a part by its content alone, so
+equal parts fall together and at least one that both keep remains: no link is lost.
 
 Defined results: null and empty texts, and texts of separators only, have no shingle and link with
 nothing; with fewer words than a shingle the whole sequence is one.  Repeated rows are equal sets.
@@ -36,9 +36,9 @@ from neraca.llm import tokens
 from neraca.llm.components import components
 from neraca.session import cut_lineage
 
-#: Parts beyond ``D + 1`` that tiny and frequent ones may take up, each as a share of it; tokens of a
-#: part that isn't tiny; documents of a frequent part.
-SPARE, LEAST_TOKENS, FREQUENT = 0.15, 3, 8
+#: Parts beyond ``D + 1``, as shares of it: the smallest, which are left out, and those that may be left out
+#: as frequent; documents of a frequent part.
+SMALLEST, SPARE, FREQUENT = 0.3, 0.1, 8
 #: Leads that a node is held against before groups are made.
 LEADS = 3
 #: Bits of a set's sketch, in longs.
@@ -53,17 +53,17 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 @lru_cache
-def size_classes(percent: int, spare: float = SPARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First size, number of parts and spare parts of each kind of each class.
+def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First size, number of parts, smallest and spare parts of each class.
 
     A link reaches at most the next class: the classes widen by more than 100 / percent.
     """
-    widen, first = max(1.25, 1.2 * 100 / percent if percent < 90 else 1.25), [1]
+    widen, first = max(1.4, 1.3 * 100 / percent), [1]
     while first[-1] < 1 << 40:
         first.append(int(first[-1] * widen) + 1)
     far = np.array([(100 - percent) * 2 * (b - 1) // (100 + percent) for b in first[1:]])
-    extra = np.ceil(spare * (far + 1)).astype(np.int64) * (far > 0)
-    return np.array(first), far + 1 + 2 * extra, extra
+    least, spare = (np.ceil(share * (far + 1)).astype(np.int64) * (far > 0) for share in (SMALLEST, SPARE))
+    return np.array(first), far + 1 + least + spare, least, spare
 
 
 def parts(row: np.ndarray, value: np.ndarray, rows: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +72,7 @@ def parts(row: np.ndarray, value: np.ndarray, rows: int, percent: int) -> tuple[
     The tag is the number of frequent parts the row may leave out; a row's two schemes are told apart by the
     lowest bit.
     """
-    first, count, extra = size_classes(percent)
+    first, count, least, spare = size_classes(percent)
     size = np.bincount(row, minlength=rows)
     own = np.maximum(np.searchsorted(first, size, "right") - 1, 0)
     out = []
@@ -85,33 +85,24 @@ def parts(row: np.ndarray, value: np.ndarray, rows: int, percent: int) -> tuple[
             continue
         picked = take[row]
         r, v = row[picked], value[picked]
-        m = count[scheme]
+        m = np.where(take, count[scheme], 0)
+        start = np.concatenate([[0], np.cumsum(m)])
+        # One cell for each part of each row, empty ones too; tokens come in the order of their parts.
         part = ((v >> np.uint64(32)) * m[r].astype(np.uint64)) >> np.uint64(32)
-        head = np.ones(len(r), bool)
-        head[1:] = (r[1:] != r[:-1]) | (part[1:] != part[:-1])
-        at = np.flatnonzero(head)
-        pr, pp = r[at], part[at]
-        n = np.diff(np.append(at, len(r)))
-        total = np.zeros(len(r) + 1, np.uint64)
+        cell = start[r] + part.astype(np.int64)
+        bounds = np.searchsorted(cell, np.arange(start[-1] + 1))
+        total = np.zeros(len(v) + 1, np.uint64)
         np.cumsum(tokens.mix(v), out=total[1:])
-        content = total[np.append(at[1:], len(r))] - total[at]
-        filled = np.bincount(pr, minlength=rows)
-        tiny = m - filled + np.bincount(pr[n < LEAST_TOKENS], minlength=rows)
-        crowded = tiny > extra[scheme]
-        keep = (n >= LEAST_TOKENS) | crowded[pr]
-        pr, pp, content, n = pr[keep], pp[keep], content[keep], n[keep]
-        bare = np.flatnonzero(take & crowded & (filled < m))
-        for b in bare:  # such a row also needs its empty parts
-            gaps = np.setdiff1d(np.arange(m[b]), part[(r == b)].astype(np.int64))
-            pr, pp = np.append(pr, np.full(len(gaps), b, pr.dtype)), np.append(pp, gaps.astype(np.uint64))
-            content, n = np.append(content, np.zeros(len(gaps), np.uint64)), np.append(n, np.zeros(len(gaps), n.dtype))
-        key = tokens.mix(content + tokens.mix((pp << np.uint64(16)) + scheme[pr].astype(np.uint64)) + n.astype(np.uint64))
-        out.append((pr, key, (extra[scheme[pr]] * 2 + step).astype(np.int32)))
+        n, content = np.diff(bounds), total[bounds[1:]] - total[bounds[:-1]]
+        pr = np.repeat(np.arange(rows), m)
+        number = (np.arange(start[-1]) - start[pr]).astype(np.uint64)
+        key = tokens.mix(content + tokens.mix((number << np.uint64(16)) + scheme[pr].astype(np.uint64)) + n.astype(np.uint64))
+        order = np.lexsort((key, n, pr))
+        keep = order[np.arange(start[-1]) - start[pr] >= least[scheme[pr]]]
+        out.append((pr[keep], key[keep], (spare[scheme[pr[keep]]] * 2 + step).astype(np.int32)))
     if not out:
         return row[:0], value[:0], np.zeros(0, np.int32)
-    pr, key, tag = (np.concatenate(x) for x in zip(*out, strict=True))
-    order = np.argsort(pr, kind="stable")
-    return pr[order], key[order], tag[order]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def nodes_of(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,37 +123,38 @@ def apart(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per document: id, key, number of shingles, node, sketch, signatures and tags."""
+def _signed(docs: DataFrame, words: int) -> DataFrame:
+    """Per document: id, key, number of shingles, node and sketch."""
 
     def run(batches):
         for batch in batches:
-            size, node, bits, keys, tags, ends = [], [], [], [], [], [np.zeros(1, np.int64)]
+            size, node, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for found in tokens.words(batch.column("text"), most_rows=512):
                 row, value = tokens.word_sets(found, words)
                 n, name = nodes_of(row, value, found.rows)
-                pr, key, tag = parts(row, value, found.rows, percent)
                 size.append(n)
                 node.append(name)
                 bits.append(sketches(row, value, found.rows).ravel())
-                keys.append(key)
-                tags.append(tag)
-                ends.append(ends[-1][-1] + np.cumsum(np.bincount(pr, minlength=found.rows)))
-            size = np.concatenate(size) if size else np.zeros(0, np.int64)
-            node = np.concatenate(node).view(np.int64) if node else np.zeros(0, np.int64)
-            keys = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            tags = np.concatenate(tags) if tags else np.zeros(0, np.int32)
-            bits = np.concatenate(bits) if bits else np.zeros(0, np.int64)
-            bounds = np.concatenate(ends)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"), batch.column("key"), pa.array(size.astype(np.int64)), pa.array(node, mask=size == 0),
-                    tokens.lists(bits, np.arange(len(size) + 1) * SKETCH, pa.int64()), tokens.lists(keys, bounds, pa.int64()), tokens.lists(tags, bounds, pa.int32()),
-                ],
-                ["id", "key", "n_shingles", "node", "bits", "sigs", "tags"],
-            )
-
-    return docs.mapInArrow(run, "id long, key long, n_shingles long, node long, bits array<long>, sigs array<long>, tags array<int>")
+            size, node, bits = np.concatenate(size), np.concatenate(node).view(np.int64), np.concatenate(bits)
+            sketch = tokens.lists(bits, np.arange(len(size) + 1) * SKETCH, pa.int64())
+            arrays = [batch.column("id"), batch.column("key"), pa.array(size.astype(np.int64)), pa.array(node, mask=size == 0), sketch]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "key", "n_shingles", "node", "bits"])
+
+    return docs.mapInArrow(run, "id long, key long, n_shingles long, node long, bits array<long>")
+
+
+def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(sig, node, tag): a row per kept part of every document; too many to write, so found from the texts."""
+
+    def run(batches):
+        for batch in batches:
+            for found in tokens.words(batch.column("text")):
+                row, value = tokens.word_sets(found, words)
+                _, name = nodes_of(row, value, found.rows)
+                pr, key, tag = parts(row, value, found.rows, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(name.view(np.int64)[pr]), pa.array(tag)], ["sig", "node", "tag"])
+
+    return docs.select("text").mapInArrow(run, "sig long, node long, tag int")
 
 
 class Sets:
@@ -211,14 +203,16 @@ def _verified(pairs: DataFrame, sets: Sets, percent: int) -> DataFrame:
     return left.join(right, "other").filter(sized).filter(both * 100 >= (total - both) * percent).select("node", "other")
 
 
-def _shared(signed: DataFrame) -> DataFrame:
-    """(sig, node, tag, rows) of signatures that several nodes have; ``rows`` counts documents."""
-    pairs = signed.select("node", F.explode(F.arrays_zip("sigs", "tags")).alias("p")).select(
-        F.col("p.sigs").alias("sig"), "node", F.col("p.tags").alias("tag")
+def _shared(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(sig, node, tag, rows) of signatures that several nodes have; ``rows`` counts documents.
+
+    The rows are dealt out once: both uses read all columns, so Spark reuses the exchange.
+    """
+    dealt = _signatures(docs, words, percent).repartition("sig")
+    heads = dealt.groupBy("sig").agg(
+        F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("rows"), F.max("tag").alias("tags")
     )
-    dealt = pairs.repartition("sig")
-    heads = dealt.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("rows"))
-    heads = heads.filter("low < high").select("sig", "rows")
+    heads = heads.filter("low < high and tags >= 0").select("sig", "rows")
     return dealt.join(heads.hint("shuffle_hash"), "sig").distinct()
 
 
@@ -305,8 +299,8 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     component_id is the smallest id reachable.  ``key`` tells rows of other id or text apart.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text).alias("key"), F.col(text).alias("text"))
-    signed = cut_lineage(_signed(base, words, percent))
-    shared = cut_lineage(_shared(signed))
+    signed = cut_lineage(_signed(base, words))
+    shared = cut_lineage(_shared(base, words, percent))
     candidates = shared.select("node").distinct()
     sets = Sets(base, signed, candidates, words)
     tested = cut_lineage(_first_pairs(shared, sets, percent))
