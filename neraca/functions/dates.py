@@ -8,20 +8,20 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Month names and short forms.
+# Month names and short forms, and their numbers.
 MONTHS = {
-    1: ["JAN", "JANUARI", "JANUARY"],
-    2: ["FEB", "FEBRUARI", "FEBRUARY"],
-    3: ["MAR", "MARET", "MARCH"],
-    4: ["APR", "APRIL"],
-    5: ["MAY", "MEI"],
-    6: ["JUN", "JUNI", "JUNE"],
-    7: ["JUL", "JULI", "JULY"],
-    8: ["AUG", "AGUSTUS", "AUGUST", "AGT", "AGU"],
-    9: ["SEP", "SEPTEMBER", "SEPT"],
-    10: ["OCT", "OKTOBER", "OCTOBER", "OKT"],
-    11: ["NOV", "NOVEMBER"],
-    12: ["DEC", "DESEMBER", "DECEMBER", "DES"],
+    "JAN": 1, "JANUARI": 1, "JANUARY": 1,
+    "FEB": 2, "FEBRUARI": 2, "FEBRUARY": 2,
+    "MAR": 3, "MARET": 3, "MARCH": 3,
+    "APR": 4, "APRIL": 4,
+    "MAY": 5, "MEI": 5,
+    "JUN": 6, "JUNI": 6, "JUNE": 6,
+    "JUL": 7, "JULI": 7, "JULY": 7,
+    "AUG": 8, "AGUSTUS": 8, "AUGUST": 8, "AGT": 8, "AGU": 8,
+    "SEP": 9, "SEPTEMBER": 9, "SEPT": 9,
+    "OCT": 10, "OKTOBER": 10, "OCTOBER": 10, "OKT": 10,
+    "NOV": 11, "NOVEMBER": 11,
+    "DEC": 12, "DESEMBER": 12, "DECEMBER": 12, "DES": 12,
 }
 MONTH_NAMES = [
     "Januari", "Februari", "Maret", "April", "Mei", "Juni",
@@ -37,7 +37,7 @@ STATEMENT_FORMATS = [
 
 def month_number(name: Column) -> Column:
     """Two-digit month of a name in either language; null when unknown."""
-    pairs = [(n, f"{m:02d}") for m, names in MONTHS.items() for n in names]
+    pairs = [(name, f"{number:02d}") for name, number in MONTHS.items()]
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs)])
     return F.try_element_at(table, F.upper(name))
 
@@ -175,6 +175,7 @@ def is_unsortable(key: Column) -> Column:
 def long_date(c: Column) -> Column:
     """``DD Bulan YYYY``; two-digit years below 50 are 20xx.  Empty when unreadable."""
     text = F.trim(F.regexp_replace(F.trim(c), r"^[,.;]+|[,.;]+$", ""))
+    # Shapes of a written date, tried in order.
     named = r"(?i)(\d{1,2})\s+([A-Za-z]+)\s+(\d{2,4})"
     dmy = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})$"
     dotted = r"^(\d{1,2})\.(\d{1,2})\.(\d{2,4})$"
@@ -203,6 +204,7 @@ def long_date(c: Column) -> Column:
 def invoice_date(value: Column, text: Column) -> Column:
     """Long date of ``value``, else of the first labelled, numeric or named date in
     ``text`` that can be read."""
+    # Where a text has its date, tried in order.
     label = r"(?i)(?:Tanggal\s*(?:Faktur)?|Tgl\.?|Tanggal Invoice)\s*:?\s*([^\n]+)"
     numeric = r"(\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b)"
     named = r"(\b\d{1,2}\s+[A-Za-z]+\s+\d{2,4}\b)"
@@ -215,6 +217,7 @@ def invoice_date(value: Column, text: Column) -> Column:
 def slash_date(c: Column) -> Column:
     """``DD/MM/YYYY`` of an exporter date; ``N/A`` when blank, else the text itself."""
     text = F.trim(c)
+    # Formats and shapes of exported dates, tried in order.
     formats = ["d/M/yyyy", "d-M-yyyy", "yyyy-M-d", "d MMMM yyyy", "d MMM yyyy", "d-M-yy", "d/M/yy"]
     named = r"(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})"
     loose = r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})"

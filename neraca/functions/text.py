@@ -204,6 +204,7 @@ def missing_fields(fields: dict[str, Column]) -> Column:
 def distinct_parts(c: Column) -> Column:
     """Comma- or line-separated names, labels dropped, first occurrences kept in order."""
     parts = F.transform(F.split(c, r"[,\r\n]"), lambda p: F.trim(p))
+    # Fixed value: labels that start a line which is no name.
     label = r"(?i)^(alamat|npwp|nomor|no invoice|invoice|kode|nama\s+barang|nama\s*(penjual|pembeli|pt|cv))"
     kept = F.array_distinct(F.filter(parts, lambda p: (p != "") & ~p.rlike(label)))
     return F.when(F.coalesce(F.size(kept), F.lit(0)) <= 0, "N/A").otherwise(F.array_join(kept, ", "))
@@ -225,6 +226,7 @@ def is_person_name(c: Column) -> Column:
 def company_name(c: Column) -> Column:
     """Lines that are no labels, joined and squeezed."""
     lines = F.filter(F.transform(F.split(c, r"[\r\n]+"), lambda t: _strip(t)), lambda t: t != "")
+    # Fixed value: labels that start a line which is no company.
     kept = F.filter(lines, lambda t: ~t.rlike(r"(?i)^(alamat|npwp|nomor|kode|invoice)"))
     chosen = F.when(F.size(kept) > 0, kept).otherwise(lines)
     return _strip(squeeze(F.array_join(chosen, " ")))
@@ -233,6 +235,7 @@ def company_name(c: Column) -> Column:
 def address(c: Column) -> Column:
     """Lines up to the first label, joined with commas."""
     lines = F.filter(F.transform(F.split(c, r"[\r\n]+"), lambda t: _strip(t)), lambda t: t != "")
+    # Fixed value: labels that end an address.
     flags = F.transform(lines, lambda t: t.rlike(r"(?i)^(npwp|nomor|no\.?|kode|invoice|nama)"))
     stop = F.array_position(flags, True)
     kept = F.when(stop > 0, F.slice(lines, F.lit(1), (stop - 1).cast("int"))).otherwise(lines)

@@ -167,6 +167,7 @@ def row_quality(rows: DataFrame, previous: Column) -> DataFrame:
     gap = F.abs(previous + amount(credit) - amount(debit) - number)
     mismatch = F.coalesce(~no_balance & (gap > 1), F.lit(False))
     no_words = F.coalesce("keterangan", F.lit("")).isin("", "N/A")
+    # Issue names and what each takes off the score.
     checks = [
         (no_date, "missing_date", 0.3),
         (bad_date, "invalid_date", 0.2),

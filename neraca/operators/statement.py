@@ -524,6 +524,7 @@ def text_metadata(docs: DataFrame, column: str = "text") -> DataFrame:
     for name in NAMED_BANKS:
         test = c.rlike(rf"(?i)\b{name}\b")
         bank = F.when(test, f"Bank {name}") if bank is None else bank.when(test, f"Bank {name}")
+    # Where a text has the account, its holder and the opening balance.
     number = F.nullif(F.regexp_extract(c, r"\b\d{10,16}\b", 0), F.lit(""))
     labelled = F.regexp_extract(c, r"(?i)(?:REKENING|NO\s*REK|ACCOUNT)[:\s]*(\d{10,13})", 1)
     holder = F.regexp_extract(c, r"(?i)(?:NAMA|NAME|PEMILIK)[:\s]*([A-Z\s.&,]+?)(?:\n|REKENING|NO|ALAMAT)", 1)
