@@ -90,23 +90,27 @@ def chances(profile: DataFrame, targets: dict[str, dict] | None = None, keep: fl
     """
     spark = profile.sparkSession
     table = cut_lineage(profile.groupBy(*DIMS).agg(F.sum("n_words").alias("n")))
-    if table.count() > cells:
+    count = table.count()
+    if count > cells:
         return _chances_in_spark(table, targets, keep)
+    kinds = ", ".join(f"{d} {table.schema[d].dataType.simpleString()}" for d in DIMS)
+    if not count:
+        return spark.createDataFrame([], f"{kinds}, chance double")
     rows = sorted(table.collect(), key=lambda r: tuple((r[d] is None, str(r[d])) for d in DIMS))
     n = np.array([r["n"] or 0 for r in rows], float)
     codes, wanted = [], []
     for d in DIMS:
         values = sorted({r[d] for r in rows}, key=lambda v: (v is None, str(v)))
-        code = np.array([values.index(r[d]) for r in rows], int) if len(values) < 50 else np.array([dict(zip(values, range(len(values))))[r[d]] for r in rows], int)
-        totals = dict(zip(values, np.bincount(code, n, minlength=len(values)) if len(rows) else [], strict=True))
+        number = {v: k for k, v in enumerate(values)}
+        code = np.array([number[r[d]] for r in rows], int)
+        totals = dict(zip(values, np.bincount(code, n, minlength=len(values)), strict=True))
         share = (targets or {}).get(d) or tempered(totals)
         codes.append(code)
         wanted.append(np.array([share.get(v, 0.0) for v in values]))
-    fitted = rake(n, codes, wanted) if len(rows) else n
+    fitted = rake(n, codes, wanted)
     factor = np.divide(fitted, n, out=np.ones(len(n)), where=n > 0)
-    at = level(n, factor, keep) if len(rows) else 0.0
+    at = level(n, factor, keep)
     out = [(*(r[d] for d in DIMS), float(min(1.0, at * f))) for r, f in zip(rows, factor, strict=True)]
-    kinds = ", ".join(f"{d} {table.schema[d].dataType.simpleString()}" for d in DIMS)
     return spark.createDataFrame(out, f"{kinds}, chance double")
 
 

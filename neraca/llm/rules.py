@@ -136,7 +136,6 @@ def _quantile(held: DataFrame, share: float) -> DataFrame:
 
 def estimates(rows: DataFrame) -> DataFrame:
     """(grp, m, p, scale) of rows (grp, x0..): the reweighted minimum-covariance-determinant fit."""
-    size = len(FLOOR)
     middle = rows.groupBy("grp").agg(*[F.percentile(F.round(f"x{i}", 3), F.lit(0.5)).alias(f"c{i}") for i in _DIMS])
     spread = rows.join(small(middle, middle.count()), "grp").groupBy("grp").agg(
         *[F.first(f"c{i}").alias(f"c{i}") for i in _DIMS],
@@ -144,7 +143,6 @@ def estimates(rows: DataFrame) -> DataFrame:
     )
     cells = [1.0 / (F.pow(F.col(f"w{i}") * 1.4826, 2) + FLOOR[i]) if i == j else F.lit(0.0) for i in _DIMS for j in _DIMS]
     now = cut_lineage(spread.select("grp", F.array(*[F.col(f"c{i}") for i in _DIMS]).alias("m"), F.array(*cells).alias("p")))
-    assert len(cells) == size * size
     for _ in range(STEPS):
         held = _held(rows, now)
         cuts = _quantile(held, HALF)
