@@ -41,6 +41,8 @@ from neraca.session import cut_lineage
 SMALLEST, SPARE, FREQUENT = 0.3, 0.1, 8
 #: Leads that a node is held against before groups are made.
 LEADS = 3
+#: One signature of so many serves to find leads.
+LEAD_PART = 4
 #: Bits of a set's sketch, in longs.
 SKETCH = 16
 #: Rows of a table of a few long columns that may be broadcast; larger ones are shuffled.
@@ -229,8 +231,10 @@ def _first_pairs(shared: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """(node, other): each node with the leads it shares most signatures with, at most ``LEADS``.
 
     A signature's lead is its most central node, the one whose own signatures have most documents: in
-    a family of copies, the one nearest to all.
+    a family of copies, the one nearest to all.  A part of the signatures, by hash, shows that as well as all
+    do; which leads are found decides how much is left to the matrix, never what links.
     """
+    shared = shared.filter(F.pmod("sig", F.lit(LEAD_PART)) == 0)
     central = shared.groupBy("node").agg(F.sum("rows").alias("weight"))
     leads = shared.join(central, "node").groupBy("sig").agg(F.max_by("node", F.struct("weight", "node")).alias("lead"))
     met = shared.select("sig", "node").join(leads, "sig").filter("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("n"))
@@ -253,11 +257,12 @@ def _rarest(hard: DataFrame, sets: Sets, percent: int) -> DataFrame:
 
     ``short`` marks those that suffice if the other set is at least as large.
     """
-    rows = sets.of(hard).select("node", "grp", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    rows = sets.of(hard.select("node")).select("node", F.explode("tokens").alias("token"))
     dealt = rows.repartition("token")
     common = dealt.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    held = dealt.join(common.hint("shuffle_hash"), "token").groupBy("node", "grp", "n")
+    held = dealt.join(common.hint("shuffle_hash"), "token").groupBy("node")
     listed = held.agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
+    listed = listed.join(hard, "node").join(sets.sketch.select("node", "n"), "node")
     n, own = F.col("n"), F.col("n") - F.size("common")
     far = n - F.ceil(n * percent / 100) + 1 - own
     near = n - F.ceil(n * 2 * percent / (100 + percent)) + 1 - own
