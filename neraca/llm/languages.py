@@ -2,7 +2,12 @@
 
 Features are the square roots of hashed byte-trigram shares over letters, so a text's length
 does not matter.  Families compete in one-versus-one SVMs of their own; the winner's languages
-do the same.  The score is the product of both calibrated shares.
+do the same.  The score is the product of the winner's lowest duel chance in both, so a clear winner
+scores near 1 among any number of classes.
+
+Duels only compare, so a foreign text has a winner too.  The affinity tells it apart: the mean, over a text's
+trigrams, of the log-likelihood ratio of the language's own trigram shares, mixed in equal parts with blind
+chance, to blind chance alone; the best language counts.  Below 0 blind chance explains the text better than any language.
 
 Defined results: a null text, an empty one and one without any letter give ``und`` and score 0.
 Rows with a null id or null language are predicted but not learned from.  Repeated rows get
@@ -80,16 +85,18 @@ class Duel:
             self.weights[:, k] = w
             self.sigmoids[:, k] = calibrate(own @ w, y)
 
-    def chances(self, x: np.ndarray) -> np.ndarray:
-        """A row for each text; its shares sum to 1 over the classes."""
+    def winners(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The class of the largest sum of duel chances for each text, and its lowest duel chance."""
         k = len(self.names)
         if k == 1:
-            return np.ones((len(x), 1))
-        p, out = sigmoid(self.sigmoids[0] * (x @ self.weights) + self.sigmoids[1]), np.zeros((len(x), k))
+            return np.zeros(len(x), int), np.ones(len(x))
+        p, total, lowest = sigmoid(self.sigmoids[0] * (x @ self.weights) + self.sigmoids[1]), np.zeros((len(x), k)), np.ones((len(x), k))
         for n, (i, j) in enumerate(self.pairs):
-            out[:, i] += p[:, n]
-            out[:, j] += 1 - p[:, n]
-        return out / len(self.pairs)
+            for c, chance in ((i, p[:, n]), (j, 1 - p[:, n])):
+                total[:, c] += chance
+                lowest[:, c] = np.minimum(lowest[:, c], chance)
+        best = total.argmax(axis=1)
+        return best, lowest[np.arange(len(x)), best]
 
 
 class Hierarchy:
@@ -99,20 +106,24 @@ class Hierarchy:
         family = np.array([families.get(v, f"only {v}") for v in languages], object)
         self.top = Duel(x, family)
         self.inside = {f: Duel(x[family == f], languages[family == f]) for f in self.top.names}
+        own = np.stack([np.square(x[languages == v, :-1], dtype=float).mean(axis=0) for v in sorted(set(languages))], axis=1)
+        self.ratios = np.log((1 + SIZE * own) / 2)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        chance = self.top.chances(x)
-        best = chance.argmax(axis=1)
-        score, name = chance[np.arange(len(x)), best], np.empty(len(x), object)
+        best, score = self.top.winners(x)
+        name = np.empty(len(x), object)
         for n, f in enumerate(self.top.names):
             rows = np.flatnonzero(best == n)
             if len(rows):
-                own = self.inside[f].chances(x[rows])
-                pick = own.argmax(axis=1)
+                pick, own = self.inside[f].winners(x[rows])
                 name[rows] = np.array(self.inside[f].names, object)[pick]
-                score[rows] *= own[np.arange(len(rows)), pick]
+                score[rows] *= own
         return name, score
 
+    def affinity(self, x: np.ndarray) -> np.ndarray:
+        """The best language's mean log-likelihood ratio to blind chance; 0 for a text without trigrams."""
+        return (np.square(x[:, :-1], dtype=float) @ self.ratios).max(axis=1)
+
 
 def fit(
     docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang",
@@ -143,22 +154,25 @@ def fit(
     return Hierarchy(x, np.array([k for k, _ in rows], object), FAMILIES if families is None else families)
 
 
-def predict(docs: DataFrame, model: Hierarchy | None, text: str = "text", name: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its score."""
+def predict(docs: DataFrame, model: Hierarchy | None, text: str = "text", name: str = "lang_pred", score: str = "score", affinity: str | None = None) -> DataFrame:
+    """``docs`` with the predicted language, its score and, if named, the text's affinity."""
     letters = "__letters"
 
     def compute(batch: pa.RecordBatch):
-        names, scores = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
+        names, scores, near = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
         seen = np.asarray(batch.column(letters).fill_null(False)).astype(bool)
         if model is not None:
             for low, x in shares(batch.column(text)):
                 own = seen[low : low + len(x)]
                 if own.any():
                     names[low : low + len(x)][own], scores[low : low + len(x)][own] = model.predict(x[own])
-        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+                    if affinity:
+                        near[low : low + len(x)][own] = model.affinity(x[own])
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64()), *([pa.array(near, pa.float64())] if affinity else [])]
 
     marked = docs.withColumn(letters, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    return append(marked, [field(name, T.StringType()), field(score, T.DoubleType())], compute, drop=[letters])
+    fields = [field(name, T.StringType()), field(score, T.DoubleType()), *([field(affinity, T.DoubleType())] if affinity else [])]
+    return append(marked, fields, compute, drop=[letters])
 
 
 def held_out(id_col: str = "doc_id") -> Column:

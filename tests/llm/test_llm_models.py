@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from neraca.llm import catalog, languages, quality, rules
 from neraca.llm.linear import calibrate, dual_descent, sigmoid
 from odd import documents, rows
@@ -143,3 +144,19 @@ def test_odd_rule_rows(spark):
     few = rules.judged(spark.createDataFrame(many, "doc_id long, text string, lang string, source string"))
     verdict = {r.doc_id: r.kept for r in few.collect()}
     assert not verdict[500] and sum(verdict.values()) >= 119
+
+
+def test_foreign_texts_are_dropped_among_any_number_of_languages(spark):
+    """Families of one language each, then four of four: clean texts stay, texts of an unlearned language go."""
+    groups = [[f"x{k}" for k in range(n)] for n in (2, 8, 12)]
+    groups.append([k for k in languages.FAMILIES if k not in ("sv", "da", "pt", "ro", "uk", "cs", "no", "bg")] + ["xa"])
+    for names in groups:
+        rng = np.random.default_rng(len(names))
+        word = lambda letters: "".join(rng.choice(list(letters), rng.integers(3, 8)))
+        vocabulary = {v: [word("abcdefghijklmnoprstu") for _ in range(40)] for v in names}
+        docs = [(100 * n + k, " ".join(rng.choice(vocabulary[v], 40)), v) for n, v in enumerate(names) for k in range(24)]
+        foreign = [word("абвгдежзиклмн") for _ in range(40)] + [word("vwxyzqj") for _ in range(40)]
+        docs += [(9000 + k, " ".join(rng.choice(foreign[40 * (k % 2) :][:40], 30)), None) for k in range(6)]
+        table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+        kept = {r.doc_id for r in corpus_pipeline.language_id(spark, table, "").collect()}
+        assert kept == {d for d, _, v in docs if v is not None}
