@@ -8,9 +8,11 @@ holds only what still repeats, and the rounds end with the longest repeat.  The
 are an interval of the suffix array with that common prefix.
 
 A suffix that has an earlier one of its rank starts a later copy.  Its run is its longest common prefix
-with the earliest suffix of its longest such rank, found by descending through the rounds' ranks; only
-runs that can't be extended to the left are followed.  Runs of at least ``LEAST_CHARS`` characters
-are deleted from the later document.
+with any earlier suffix.  Descending from its longest such rank, each round asks whether an earlier member
+of the interval goes on with the same 2**k lines; if so, the suffix moves to that smaller interval, called by
+its length and earliest position.  An interval's members are followed as long as a suffix waits in it, so a
+member may be in several.  Suffixes whose run the line before them always extends to the left are not
+followed.  Runs of at least ``LEAST_CHARS`` characters are deleted from the later document.
 
 All steps are joins and aggregates with partial sums; none gathers more than a document's own lines.  Defined
 results: null and empty texts have no line and stay as they are; blank lines never match and stay; a
@@ -66,32 +68,50 @@ def doubling(lines: DataFrame) -> list[DataFrame]:
     return rounds
 
 
-def later_runs(rounds: list[DataFrame]) -> DataFrame:
-    """(pos, size): runs of lines that an earlier place has, none contained in another of its kind."""
+def _heads(rounds: list[DataFrame]) -> DataFrame:
+    """(pos, k, rank): the longest rank with an earlier member, unless every place of the line follows one same line.
+
+    Then the line before has the same earlier copies, and its run holds this one.
+    """
     later = None
     for k, table in enumerate(rounds[:-1]):
-        own = table.filter("rank < pos").select("pos", "left", F.struct(F.lit(k).alias("k"), F.col("rank").alias("from")).alias("best"))
+        own = table.filter("rank < pos").select("pos", F.struct(F.lit(k).alias("k"), "rank").alias("best"))
         later = own if later is None else later.unionByName(own)
-    if later is None:
+    best = later.groupBy("pos").agg(F.max("best").alias("best")).select("pos", "best.k", "best.rank")
+    count = lambda table, name: table.groupBy("rank").agg(F.count(F.lit(1)).alias(name), F.min("pos").alias("first"))
+    pairs = count(rounds[1], "pairs").select((F.col("first") + 1).alias("second"), "pairs")
+    named = rounds[0].join(pairs, F.col("pos") == F.col("second")).select("rank", "pairs")
+    bound = named.join(count(rounds[0], "places"), "rank").filter("pairs = places").select("rank")
+    return best.join(rounds[0].join(bound, "rank").select("pos"), "pos", "left_anti")
+
+
+def later_runs(rounds: list[DataFrame]) -> DataFrame:
+    """(pos, size): the longest run of lines from pos that any earlier place has, left out where the one before holds it."""
+    if len(rounds) == 1:
         return rounds[0].select("pos", F.lit(0).alias("size"))
-    best = cut_lineage(later.groupBy("pos").agg(F.max("left").alias("left"), F.max("best").alias("best")).select("pos", "left", "best.k", "best.from"))
-    # A line before it that has the same alignment, both copies unbroken, starts a longer run.
-    before = best.filter("k > 0").select((F.col("pos") + 1).alias("pos"), (F.col("from") + 1).alias("shifted"), F.col("left").alias("more"))
-    aligned = (F.col("shifted") == F.col("from")) & (F.col("more") == F.col("left") + 1)
-    heads = best.join(before, "pos", "left").filter(~F.coalesce(aligned, F.lit(False)))
-    runs = heads.select("pos", "left", "from", "k", F.pow(F.lit(2), F.col("k")).cast("int").alias("size"))
-    for k in reversed(range(len(rounds) - 2)):
-        ours = rounds[k].select((F.col("pos")).alias("here"), F.col("rank").alias("ours"))
-        theirs = rounds[k].select(F.col("pos").alias("there"), F.col("rank").alias("theirs"))
-        asked = runs.filter((F.col("k") > k) & (F.col("size") + (1 << k) <= F.col("left")))
-        longer = asked.withColumn("here", F.col("pos") + F.col("size")).withColumn("there", F.col("from") + F.col("size"))
-        longer = longer.join(ours, "here").join(theirs, "there").filter("ours = theirs").select("pos")
-        grown = runs.join(longer.withColumn("grows", F.lit(True)), "pos", "left")
-        fresh = cut_lineage(grown.withColumn("size", F.col("size") + F.when(F.col("grows"), 1 << k).otherwise(0)).drop("grows"))
-        if hasattr(runs, "_neraca_path"):
-            discard(runs)
-        runs = fresh
-    return runs.select("pos", "size")
+    heads = cut_lineage(_heads(rounds))
+    # A row per member of an interval: own, where the suffix itself waits in it.
+    state = None
+    for k in reversed(range(len(rounds) - 1)):
+        waiting = heads.filter(F.col("k") == k)
+        members = rounds[k].join(waiting.select("rank").distinct(), "rank").join(waiting.select("pos", F.lit(True).alias("own")), "pos", "left")
+        fresh = members.select("pos", "left", F.lit(1 << k).alias("size"), F.col("rank").alias("first"), F.coalesce("own", F.lit(False)).alias("own"))
+        if state is None:
+            state = cut_lineage(fresh)
+            continue
+        follow = rounds[k].select((F.col("pos")).alias("there"), F.col("rank").alias("next"))
+        asked = state.filter(F.col("left") >= F.col("size") + (1 << k)).withColumn("there", F.col("pos") + F.col("size")).join(follow, "there")
+        by = ["size", "first", "next"]
+        smaller = asked.groupBy(*by).agg(F.min("pos").alias("lead"), F.max(F.when(F.col("own"), F.col("pos"))).alias("last")).filter("lead < last")
+        inner = cut_lineage(asked.join(smaller.drop("last"), by).select("pos", "left", "size", "first", "lead", "own", (F.col("own") & (F.col("lead") < F.col("pos"))).alias("moves")))
+        moved = inner.select("pos", "left", (F.col("size") + (1 << k)).alias("size"), F.col("lead").alias("first"), F.col("moves").alias("own"))
+        gone = inner.filter("moves").select("pos", "size", "first", F.lit(True).alias("gone"))
+        stay = state.join(gone, ["pos", "size", "first"], "left").withColumn("own", F.col("own") & F.col("gone").isNull()).drop("gone")
+        awaited = stay.filter("own").select("size", "first").distinct()
+        after = cut_lineage(stay.join(awaited, ["size", "first"]).select(*fresh.columns).unionByName(moved).unionByName(fresh))
+        discard(state, inner)
+        state = after
+    return state.filter("own").select("pos", "size")
 
 
 def deletions(docs: DataFrame, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
