@@ -2,9 +2,11 @@
 
 Words are counted per cell of source, language and topic.  Raking scales the cells until their sums
 meet the target share of each source, language and topic; a cell's factor is its fitted over its
-counted words.  Documents are then sampled: chance = min(1, level * factor), the level chosen so
-that the expected number of words is ``keep`` of all.  A document's draw is a hash of its id, so
-the sample is the same in every run and for every partitioning.
+counted words.  A document's weight is ``keep`` * factor: the expected number of its copies in a mix that
+meets the targets and has ``keep`` of all words.  ``weighted`` makes whole copies of it, the fraction by a
+draw.  ``sample`` repeats nothing: chance = min(1, level * factor), the level chosen so that the expected
+number of words is ``keep`` of all; cells that should grow beyond their words miss their targets there.
+A document's draw is a hash of its id, so the mix is the same in every run and for every partitioning.
 
 The fitted table has a row per cell, not per document.  Up to ``CELLS`` cells it is fitted in memory on
 the driver; more cells are fitted by the same steps as Spark aggregates.
@@ -83,16 +85,18 @@ def tempered(totals: dict, power: float = FLATTEN) -> dict:
     return {k: v / (sum(raised.values()) or 1.0) for k, v in raised.items()}
 
 
-def chances(profile: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP, cells: int = CELLS) -> DataFrame:
+def chances(
+    profile: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP, cells: int = CELLS, clipped: bool = True
+) -> DataFrame:
     """(source, lang, topic, chance) of each cell of ``profile``, which has a row per document with n_words.
 
-    ``targets`` has shares by dimension and value; a dimension it lacks gets its flattened shares.
+    Not ``clipped``, the chance is the weight and may exceed 1.  ``targets`` has shares by dimension and value; a dimension it lacks gets its flattened shares.
     """
     spark = profile.sparkSession
     table = cut_lineage(profile.groupBy(*DIMS).agg(F.sum("n_words").alias("n")))
     count = table.count()
     if count > cells:
-        return _chances_in_spark(table, targets, keep)
+        return _chances_in_spark(table, targets, keep, clipped)
     kinds = ", ".join(f"{d} {table.schema[d].dataType.simpleString()}" for d in DIMS)
     if not count:
         return spark.createDataFrame([], f"{kinds}, chance double")
@@ -109,12 +113,12 @@ def chances(profile: DataFrame, targets: dict[str, dict] | None = None, keep: fl
         wanted.append(np.array([share.get(v, 0.0) for v in values]))
     fitted = rake(n, codes, wanted)
     factor = np.divide(fitted, n, out=np.ones(len(n)), where=n > 0)
-    at = level(n, factor, keep)
-    out = [(*(r[d] for d in DIMS), float(min(1.0, at * f))) for r, f in zip(rows, factor, strict=True)]
+    at, most = (level(n, factor, keep), 1.0) if clipped else (keep, np.inf)
+    out = [(*(r[d] for d in DIMS), float(min(most, at * f))) for r, f in zip(rows, factor, strict=True)]
     return spark.createDataFrame(out, f"{kinds}, chance double")
 
 
-def _chances_in_spark(table: DataFrame, targets: dict[str, dict] | None, keep: float, rounds: int = ROUNDS, close: float = 1e-6) -> DataFrame:
+def _chances_in_spark(table: DataFrame, targets: dict[str, dict] | None, keep: float, clipped: bool, rounds: int = ROUNDS, close: float = 1e-6) -> DataFrame:
     total = float(table.agg(F.sum("n")).first()[0] or 0)
     now = table.withColumn("w", F.col("n").cast("double"))
     for _ in range(rounds):
@@ -135,6 +139,8 @@ def _chances_in_spark(table: DataFrame, targets: dict[str, dict] | None, keep: f
         if off < close:
             break
     now = cut_lineage(now.withColumn("f", F.when(F.col("n") > 0, F.col("w") / F.col("n")).otherwise(1.0)))
+    if not clipped:
+        return now.select(*DIMS, (F.col("f") * keep).alias("chance"))
     want = keep * float(now.filter("f > 0").agg(F.sum("n")).first()[0] or 0)
     kept = lambda x: float(now.agg(F.sum(F.col("n") * F.least(F.lit(1.0), F.col("f") * x))).first()[0] or 0)
     low, high = 0.0, 1.0
@@ -163,6 +169,20 @@ def placed(df: DataFrame, chance: DataFrame) -> DataFrame:
     return df.join(small(side, side.count()), same, "left").drop(*[f"__{d}" for d in DIMS])
 
 
+def copies(id_col: Column, weight: Column) -> Column:
+    """Whole copies of a document: the weight rounded up or down by its draw."""
+    return (F.floor(weight) + (draw(id_col) < weight - F.floor(weight)).cast("long")).cast("long")
+
+
+def weighted(docs: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP, id_col: str = "doc_id", text: str = "text", added: tuple[str, str] = ("weight", "copies")) -> DataFrame:
+    """All documents, with their weight and copies under the names of ``added``; columns of these names are replaced."""
+    names = [c for c in docs.columns if c not in added]
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"__in_{k}") for k, c in enumerate(names)], "source", "lang", form(F.col(text)).alias("topic"))
+    decided = placed(inner, chances(profile(docs, id_col, text), targets, keep, clipped=False))
+    own, weight = F.col(f"__in_{names.index(id_col)}"), F.col("__chance")
+    return decided.select(*[F.col(f"__in_{k}").alias(c) for k, c in enumerate(names)], weight.alias(added[0]), copies(own, weight).alias(added[1]))
+
+
 def sample(docs: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The sampled documents, all columns kept."""
     names = docs.columns
@@ -174,5 +194,6 @@ def sample(docs: DataFrame, targets: dict[str, dict] | None = None, keep: float
 
 def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     rows = cut_lineage(profile(spark.read.parquet(f"{folder}/documents.parquet")))
-    decided = placed(rows, chances(rows)).withColumnRenamed("__chance", "chance")
-    return decided.withColumn("kept", draw(F.col("doc_id")) < F.col("chance"))
+    decided = placed(rows, chances(rows, clipped=False)).withColumnRenamed("__chance", "weight")
+    mixed = decided.withColumn("copies", copies(F.col("doc_id"), F.col("weight")))
+    return mixed.withColumn("chance", F.least("weight", F.lit(1.0))).withColumn("kept", F.coalesce(F.col("copies") > 0, F.lit(False)))

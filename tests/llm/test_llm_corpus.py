@@ -96,6 +96,28 @@ def test_raking_meets_the_marginals_by_both_ways(spark):
         assert all(abs(kept[s] / sum(kept.values()) - share) < 0.02 for s, share in targets["source"].items())
 
 
+def shares_and_targets(rows, counted):
+    """For each dimension and value: the share of words after ``counted``, and the flattened share before."""
+    for d in mixing.DIMS:
+        had, has = {}, {}
+        for r in rows:
+            had[r[d]] = had.get(r[d], 0) + r.n_words
+            has[r[d]] = has.get(r[d], 0) + r.n_words * r[counted]
+        target, total = mixing.tempered(had), sum(has.values())
+        for v in had:
+            yield has[v] / total, target[v]
+
+
+def test_production_mix_meets_its_marginals(spark):
+    rows = mixing.op4_mix_sources(spark, "/root/testdata/sf0.01").collect()
+    total = sum(r.n_words for r in rows)
+    assert max(r.weight for r in rows) > 1  # some cells have fewer words than the mix needs
+    assert all(abs(share - target) < 1e-3 for share, target in shares_and_targets(rows, "weight"))
+    assert all(abs(share - target) < 0.05 for share, target in shares_and_targets(rows, "copies"))
+    assert abs(sum(r.n_words * r.weight for r in rows) - mixing.KEEP * total) < 1e-3 * total
+    assert all(r.kept == (r.copies > 0) and r.weight - 1 < r.copies < r.weight + 1 for r in rows)
+
+
 def test_rake_equals_plain_steps():
     n = np.array([10.0, 20, 30, 40])
     w = mixing.rake(n, [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])], [np.array([0.5, 0.5]), np.array([0.7, 0.3])])
