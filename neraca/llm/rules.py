@@ -9,7 +9,7 @@ once.  A text whose squared Mahalanobis distance exceeds ``CUTOFF`` is rejected.
 
 Every step is one aggregate of a few sums per group, so a hot source costs no single task its rows.
 Quantiles are taken of rounded values, which are few.  ``FLOOR`` is added to each
-variance, so a statistic that hardly varies doesn't reject by itself; for the same end distances are
+variance, so a statistic that hardly varies rejects only by more than a text resolves; for the same end distances are
 scaled down to the normal median where they exceed it, never up.
 
 Defined results: a null or empty text has no words and fails the base rules.  Null language or source is
@@ -33,7 +33,9 @@ from neraca.session import cut_lineage, discard
 HALF, STEPS, LEAST_ROWS = 0.75, 6, 50
 #: Squared distance beyond which a text is rejected: five dimensions, about 1 normal text in 70 000.
 CUTOFF = 30.0
-FLOOR = (0.15, 0.1, 0.0025, 0.03, 0.03)
+#: Of the last two, what the coarsest text resolves: one repeated line of two is half of the lines, and two repeated
+#: triples of words in the 50 words a text has at least cover 0.24. Alone, in a group without any, more than that rejects.
+FLOOR = (0.15, 0.1, 0.0025, 0.5 / CUTOFF, 0.24 / CUTOFF)
 #: Median of chi-square with five degrees of freedom, and its 97.5 % quantile.
 MEDIAN, REWEIGHT = 4.351, 12.833
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")

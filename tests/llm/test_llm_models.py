@@ -160,3 +160,16 @@ def test_foreign_texts_are_dropped_among_any_number_of_languages(spark):
         table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
         kept = {r.doc_id for r in corpus_pipeline.language_id(spark, table, "").collect()}
         assert kept == {d for d, _, v in docs if v is not None}
+
+
+def test_one_outlying_statistic_of_each_kind_is_rejected(spark):
+    """Deviations that texts past the base rules can have, in a group that has none of them."""
+    rng = np.random.default_rng(5)
+    usual = [[float(rng.normal(5.5, 0.3)), float(rng.normal(5, 0.2)), 0.0, 0.0, 0.0] for _ in range(2000)]
+    table = spark.createDataFrame([("g", *r) for r in usual], "grp string, " + ", ".join(f"x{i} double" for i in range(5)))
+    (fit,) = rules.estimates(table).collect()
+    precision = np.array(fit.p).reshape(5, 5)
+    for i, value in enumerate((9.9, 12.0, 0.3**0.5, 0.6**0.5, 0.49**0.5)):
+        x = np.array([5.5, 5.0, 0.0, 0.0, 0.0])
+        x[i] = value
+        assert (x - fit.m) @ precision @ (x - fit.m) / fit.scale > rules.CUTOFF
