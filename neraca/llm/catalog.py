@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from neraca.llm import decontaminate, jaccard, languages, licenses, lines, manifest, mixing, preferences, quality, rules, shards
+from neraca.llm import decontaminate, jaccard, languages, licenses, lines, manifest, mixing, preferences, prefixes, quality, rules, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_sharding": shards.op9_sharding,
     "op10_quality_rules": rules.op10_quality_rules,
+    "op11_prefix_trie": prefixes.op11_prefix_trie,
     "op13_merkle_manifest": manifest.op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
@@ -30,5 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_preference_pairs": preferences.ORACLE,
         "op7_license_scan": licenses.oracle(),
         "op9_sharding": shards.oracle(),
+        "op11_prefix_trie": prefixes.ORACLE,
         "op13_merkle_manifest": manifest.ORACLE,
     }
