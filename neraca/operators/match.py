@@ -9,6 +9,7 @@ from __future__ import annotations
 import difflib
 import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +18,8 @@ from pyspark.sql.types import DoubleType
 
 from neraca.functions import score
 from neraca.functions.ids import normalize_npwp, normalize_vendor
-from neraca.operators.ordered import rank_rows
-from neraca.session import cut_lineage
+from neraca.operators.ordered import ANYONE, FREE_ROWS, NO_SLICES, SLICE_ROWS, first_free, nearest_value, rank_rows, running_sum
+from neraca.session import cut_lineage, discard
 
 # Islands with at most this many invoice x payment pairs are settled in one group.
 FOLD_PAIRS = 40_000
@@ -167,45 +168,122 @@ def debit_rows(bank: DataFrame) -> DataFrame:
 # --- best match, one-to-one ------------------------------------------------------------
 
 
+class _Queue(NamedTuple):
+    """Rows of ``b`` that accept all ``e`` at certain day steps alike, and take the first that they can have."""
+
+    members: DataFrame  # keys, b_idx, b_date
+    confidence: float
+    steps: tuple[int, ...]
+    tied: bool  # some open pair has the same confidence
+
+
 def settle(candidates: DataFrame, keys: Sequence[str] = ("scope",)) -> DataFrame:
     """One-to-one choice among ``candidates(keys, b_idx, e_idx, confidence)``.
 
     The result is that of going through ``b`` in order and giving each its best free
     ``e`` (first on ties).
     """
-    return _rounds(candidates, list(keys))[0]
+    live = cut_lineage(candidates.select(*keys, "b_idx", "e_idx", "confidence", F.lit(0).alias("_up")))
+    pointers, live, bound = _rounds(live, None, [], None, list(keys))
+    discard(live, bound)
+    return pointers.drop("_up")
 
 
-def _rounds(candidates: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Final pointers, and the candidates still open behind them.
+def _rounds(
+    live: DataFrame, bound: DataFrame | None, queues: list[_Queue], right: DataFrame | None, keys: list[str], slices: dict | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Final pointers, the pairs still open behind them, and the first ``b`` that ever pointed at each ``e``.
 
-    Every round each ``b`` points at its best remaining ``e``; an ``e`` pointed at by
-    several is lost to all but the first of them, for good.  When no ``e`` is pointed at
-    twice, the pointers are the answer.  Both steps are plain aggregates, combined before
-    the shuffle, so a popular ``e`` or a ``b`` with many candidates is no hot task.
+    Every round each ``b`` points at the best ``e`` it may still get; an ``e`` pointed at by several is lost to all but the first
+    of them, for good.  When no ``e`` is lost, the pointers are the answer.  All steps are plain aggregates,
+    combined before the shuffle, so a popular ``e`` or a ``b`` with many candidates is no hot task.  A whole queue is
+    served in one step: see ``_served``.  ``live`` and ``bound`` are deleted once they are replaced.
     """
-    best = F.max_by(F.struct("e_idx", "confidence"), F.struct("confidence", -F.col("e_idx")))
-    live = cut_lineage(candidates.select(*keys, "b_idx", "e_idx", "confidence"))
+    best = F.max(F.struct(F.col("confidence").alias("c"), F.col("_up").alias("u"), (-F.col("e_idx")).alias("e"))).alias("_best")
+    shape = [*keys, "b_idx", (-F.col("_best.e")).alias("e_idx"), F.col("_best.c").alias("confidence"), F.col("_best.u").alias("_up")]
     while True:
-        pointers = live.groupBy(*keys, "b_idx").agg(best.alias("_best")).select(
-            *keys, "b_idx", "_best.e_idx", "_best.confidence"
-        )
-        holders = pointers.groupBy(*keys, "e_idx").agg(
-            F.min("b_idx").alias("_holder"), F.count(F.lit(1)).alias("_n")
-        )
-        holders = cut_lineage(holders)
-        if holders.filter(F.col("_n") > 1).isEmpty():
-            return pointers, live
-        live = cut_lineage(_still_open(live, holders, keys))
+        near = live.groupBy(*keys, "b_idx").agg(best).select(*shape)
+        wait, used = None, []
+        if queues:
+            near = cut_lineage(near)
+            used.append(near)
+        offers = near
+        for queue in queues:
+            ahead = offers.filter(F.struct("confidence", "_up") > F.struct(F.lit(queue.confidence), F.lit(0))).select(*keys, "b_idx")
+            waiting = cut_lineage(queue.members.join(ahead, [*keys, "b_idx"], "left_anti"))
+            used.append(waiting)
+            if waiting.isEmpty():
+                continue
+            served = cut_lineage(_served(waiting, right, bound, queue.steps, keys, slices or {}))
+            used.append(served)
+            if queue.tied:
+                wait = _turned(served, near, queue, keys)
+                if not wait.isEmpty():
+                    break
+                wait = None
+            offers = offers.unionByName(served.select(*keys, "b_idx", "e_idx", F.lit(queue.confidence).alias("confidence"), F.lit(0).alias("_up")))
+        if wait is not None:
+            # The first of a queue who prefers a pair of equal confidence is settled before those behind it.
+            live = _raised(live, wait, keys)
+            continue
+        pointers = cut_lineage(offers.groupBy(*keys, "b_idx").agg(best).select(*shape) if queues else near)
+        pointed = pointers.select(*keys, "e_idx", F.col("b_idx").alias("_first"))
+        both = pointed if bound is None else pointed.unionByName(bound)
+        fresh = cut_lineage(both.groupBy(*keys, "e_idx").agg(F.min("_first").alias("_first")))
+        lost = pointers.join(fresh, [*keys, "e_idx"]).filter(F.col("b_idx") > F.col("_first"))
+        done = lost.isEmpty()
+        if not done:
+            kept = cut_lineage(_still_open(live, fresh, keys))
+        discard(*used, *([] if bound is None else [bound]))
+        bound = fresh
+        if done:
+            return pointers, live, bound
+        discard(live, pointers)
+        live = kept
+
+
+def _still_open(pairs: DataFrame, bound: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs whose ``e`` no earlier ``b`` has pointed at."""
+    kept = pairs.join(bound, [*keys, "e_idx"], "left").filter(F.col("_first").isNull() | (F.col("b_idx") <= F.col("_first")))
+    return kept.drop("_first")
+
+
+def _served(waiting: DataFrame, right: DataFrame, bound: DataFrame | None, steps: tuple[int, ...], keys: list[str], slices: dict) -> DataFrame:
+    """(keys, b_idx, e_idx): each of ``waiting``, in order, with the first ``e`` that no earlier ``b`` points at or has here.
+
+    An ``e`` is open to those of its queue who come no later than the first ``b`` that ever pointed at it.  Their number
+    is its limit, and the queue's steps over its places are settled by ``first_free``: no pairs, whatever the crowd.
+    """
+    unit = [*keys, "_day"]
+    queue = waiting.select(*keys, F.col("b_date").alias("_day"), F.col("b_idx").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("e_idx"))
+    days = F.explode(F.array(*[F.date_add("e_date", -s) for s in steps]))
+    places = right.select(*keys, "e_idx", days.alias("_day")).join(queue.select(*unit).distinct(), unit, "left_semi")
+    if bound is None:
+        places = places.withColumn("_first", F.lit(None).cast("long"))
+    else:
+        places = places.join(bound, [*keys, "e_idx"], "left")
+    rows = queue.unionByName(places.select(*unit, F.col("_first").alias("_at"), F.lit(1).alias("_kind"), "e_idx"))
+    # An e that nobody points at stands behind the whole queue.
+    rows = rows.withColumn("_at", F.coalesce("_at", F.lit(ANYONE)))
+    mine = F.when(F.col("_kind") == 0, 1).otherwise(0)
+    counted = running_sum(rows, unit, ["_at", "_kind", "e_idx"], mine, "_n", slice_rows=slices.get("rows"))
+    counted = cut_lineage(counted)
+    free = first_free(counted.filter("_kind = 1").select(*unit, "e_idx", "_n"), unit, ["e_idx"], "_n", "_rank", slices.get("places"))
+    ranked = counted.filter("_kind = 0").select(*unit, F.col("_at").alias("b_idx"), (F.col("_n") - 1).alias("_rank"))
+    return free.filter("_rank is not null").join(ranked, [*unit, "_rank"]).select(*keys, "b_idx", "e_idx", "_day")
 
 
-def _still_open(pairs: DataFrame, holders: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs whose ``e`` is free or held by a later ``b``."""
-    held = holders.select(*keys, "e_idx", "_holder")
-    kept = pairs.join(held, [*keys, "e_idx"], "left").filter(
-        F.col("_holder").isNull() | (F.col("b_idx") <= F.col("_holder"))
-    )
-    return kept.drop("_holder")
+def _turned(served: DataFrame, near: DataFrame, queue: _Queue, keys: list[str]) -> DataFrame:
+    """The first of each queue who has an open pair of the same confidence with an earlier ``e``."""
+    pair = near.filter((F.col("confidence") == queue.confidence) & (F.col("_up") == 0)).select(*keys, "b_idx", F.col("e_idx").alias("_other"))
+    found = served.join(pair, [*keys, "b_idx"]).filter(F.col("_other") < F.col("e_idx"))
+    return found.groupBy(*keys, "_day").agg(F.min(F.struct("b_idx", "_other")).alias("_m")).select(*keys, "_m.b_idx", F.col("_m._other").alias("e_idx"))
+
+
+def _raised(live: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """``live`` with ``pairs`` marked to come before the queue of their confidence."""
+    marked = live.join(pairs.withColumn("_mark", F.lit(1)), [*keys, "b_idx", "e_idx"], "left")
+    return cut_lineage(marked.withColumn("_up", F.coalesce("_mark", "_up")).drop("_mark"))
 
 
 def _payment_scores(b_date: Column, b_amount: Column, e_date: Column, e_amount: Column):
@@ -267,33 +345,28 @@ def payment_candidates(
 
 
 # Lower ends of the confidence bands in which a large island is settled.
-BANDS = [0.98, 0.9, 0.8, 0.7, math.nextafter(0.6, 1.0), 0.6, 0.52, 0.5]
-# Day steps at which a pair counts whatever its amounts, and its confidence.
-FAR_STEPS = [(0, (1.0 - 0 / 7.0) * 0.6), (-1, (1.0 - 1 / 7.0) * 0.6), (1, (1.0 - 1 / 7.0) * 0.6)]
+BANDS = [0.98, 0.7, 0.5]
+# Day steps at which a pair counts whatever its amounts, and its confidence beyond 5 %.
+QUEUES = [((1.0 - 0 / 7.0) * 0.6, (0,)), ((1.0 - 1 / 7.0) * 0.6, (-1, 1))]
 
 
 def _band_pairs(free: DataFrame, right: DataFrame, scope: list[str], low: float, require_amount: bool) -> DataFrame:
-    """Pairs of ``free`` rows with ``low <= confidence < _high``.
+    """Pairs of ``free`` rows within 5 % with ``low <= confidence < _high``.
 
     The band bounds the day gap and the amount gap, so the join looks no further than it
-    has to.  Pairs beyond 5 % exist only on the same day (0.6) and the days next to it.
+    has to.  Pairs that their day alone decides belong to queues.
     """
     days = min(MAX_GAP_DAYS, int((1.0 - (low - 0.4) / 0.6) * 7.0 + 1e-9))
     percent = min(5.0, (1.0 - (low - 0.6) / 0.4) * 5.0 + 1e-9)
     ratio = 1.0 / (1.0 - percent / 100.0) - 1.0
     near = near_pairs(free, right, scope, days, ratio, "b_date", "e_date", "b_amount", "e_amount")
     gap, pct, _, _, confidence = _payment_scores(F.col("b_date"), F.col("b_amount"), F.col("e_date"), F.col("e_amount"))
-    near = near.filter(pct <= 5)
-    # A pair beyond 5 % has the confidence of its date alone; a row asks for it only where its own band reaches it.
-    steps = [(d, c) for d, c in FAR_STEPS if low <= c] if not require_amount else []
-    if steps:
-        asked = F.array_compact(F.array(*[F.when(F.col("_high") > c, F.lit(d)) for d, c in steps]))
-        by_day = free.withColumn("_day", F.explode(F.transform(asked, lambda d: F.date_add("b_date", d))))
-        far = by_day.join(right.withColumn("_day", F.col("e_date")), [*scope, "_day"]).drop("_day").filter(pct > 5)
-        near = near.unionByName(far)
-    scored = near.withColumn("confidence", confidence)
+    scored = near.filter(pct <= 5).withColumn("confidence", confidence)
     kept = scored.filter((F.col("confidence") >= low) & (F.col("confidence") < F.col("_high")))
-    return kept.select(*scope, "b_idx", "e_idx", "confidence")
+    if not require_amount:
+        for level, steps in QUEUES:
+            kept = kept.filter(~((F.col("confidence") == level) & gap.isin([abs(s) for s in steps])))
+    return kept.select(*scope, "b_idx", "e_idx", "confidence", F.lit(0).alias("_up"))
 
 
 def settle_in_bands(left: DataFrame, right: DataFrame, scope: Sequence[str], require_amount: bool = False) -> DataFrame:
@@ -302,12 +375,16 @@ def settle_in_bands(left: DataFrame, right: DataFrame, scope: Sequence[str], req
     Candidates are generated band by band, best first, and only for rows that the bands
     so far left without a partner.  A row proposes in its order of preference either way,
     and the outcome does not depend on when it does, so the result is the same.
+
+    Beyond 5 % every payment of a day is as good as any other, so no pairs are written for them: the rows
+    that come to that wait in a queue for the first payment of their day, then of the days next to it.
     """
     scope = list(scope)
     row = [*scope, "b_idx"]
     levels = cut_lineage(left.withColumn("_high", F.lit(float("inf"))))
     right = cut_lineage(right)
-    pointers = live = None
+    slices = _slices(left, right, scope)
+    pointers = live = bound = None
     for low in BANDS:
         while True:
             free = levels.filter(F.col("_high") > low)
@@ -315,16 +392,33 @@ def settle_in_bands(left: DataFrame, right: DataFrame, scope: Sequence[str], req
                 free = free.join(pointers.select(*row), row, "left_anti")
             free = cut_lineage(free)
             if free.isEmpty():
+                discard(free)
                 break
             fresh = _band_pairs(free, right, scope, low, require_amount)
             if pointers is not None:
-                fresh = _still_open(fresh, pointers.withColumnRenamed("b_idx", "_holder"), scope).unionByName(live)
-            pointers, live = _rounds(fresh, scope)
+                fresh = _still_open(fresh, bound, scope).unionByName(live)
+            fresh = cut_lineage(fresh)
             asked = free.select(*row, F.lit(low).alias("_low"))
-            levels = cut_lineage(
-                levels.join(asked, row, "left").withColumn("_high", F.coalesce("_low", "_high")).drop("_low")
-            )
-    return pointers
+            moved = cut_lineage(levels.join(asked, row, "left").withColumn("_high", F.coalesce("_low", "_high")).drop("_low"))
+            queues = []
+            for level, steps in QUEUES if not require_amount else []:
+                if low <= level:
+                    tied = not fresh.filter(F.col("confidence") == level).isEmpty()
+                    queues.append(_Queue(moved.filter(F.col("_high") <= level).select(*row, "b_date"), level, steps, tied))
+            if pointers is not None:
+                discard(live, pointers)
+            discard(levels, free)
+            pointers, live, bound = _rounds(fresh, bound, queues, right, scope, slices)
+            levels = moved
+    discard(levels, right, live, bound)
+    return pointers.drop("_up")
+
+
+def _slices(left: DataFrame, right: DataFrame, scope: list[str]) -> dict:
+    """Whether any day of a scope is large enough to be cut, so that the rounds need not count it again."""
+    days = left.select(*scope, F.col("b_date").alias("_day")).unionByName(right.select(*scope, F.col("e_date").alias("_day")))
+    most = 3 * (days.groupBy(*scope, "_day").count().agg(F.max("count")).first()[0] or 0)
+    return {"rows": None if most > SLICE_ROWS else NO_SLICES, "places": None if most > FREE_ROWS else NO_SLICES}
 
 
 def _islands(left: DataFrame, right: DataFrame, scope: list[str]) -> DataFrame:
@@ -438,6 +532,40 @@ def best_candidate(candidates: DataFrame, keys: Sequence[str] = ("scope",)) -> D
     )
 
 
+def best_payment(b: DataFrame, e: DataFrame, scope: Sequence[str] = ("scope",), slice_rows: int | None = None) -> DataFrame:
+    """``best_candidate`` over all pairs, without pairs: an as-of search for the nearest amounts.
+
+    On one day the best payment is the one of the nearest amount below or above the invoice's, or, beyond 5 %, the day's
+    first.  Invoices stand on each day they can reach, between the amounts that were paid on it, and look back
+    and ahead: eleven rows an invoice, whatever the crowd.
+    """
+    scope = list(scope)
+    left, right = payment_sides(b, e, scope)
+    unit = [*scope, "_day"]
+    paid = right.groupBy(*scope, F.col("e_date").alias("_day"), F.col("e_amount").alias("_amount")).agg(F.min("e_idx").alias("_idx"))
+    what = F.struct(F.col("_idx").alias("idx"), F.col("_amount").alias("amount"))
+    first = paid.groupBy(*unit).agg(F.min(what).alias("_first"))
+    steps = F.explode(F.sequence(F.lit(-MAX_GAP_DAYS), F.lit(MAX_GAP_DAYS)))
+    asking = left.withColumn("_step", steps).select(
+        *scope, F.date_add("b_date", F.col("_step")).alias("_day"), F.col("b_amount").alias("_amount"), F.lit(1).alias("_kind"), "b_idx", "b_date"
+    )
+    rows = asking.unionByName(paid.select(*unit, "_amount", F.lit(0).alias("_kind"), what.alias("_paid")), allowMissingColumns=True)
+    # The day's first payment stands before all amounts.
+    rows = cut_lineage(rows.unionByName(first.select(*unit, F.lit(0).alias("_kind"), "_first"), allowMissingColumns=True))
+    order = ["_amount", "_kind"]
+    found = nearest_value(rows, unit, order, F.col("_paid"), "_below", slice_rows)
+    found = nearest_value(found, unit, order, F.col("_paid"), "_above", slice_rows, back=True)
+    found = nearest_value(found, unit, order, F.col("_first"), "_day_first", slice_rows).filter("_kind = 1")
+
+    def rated(one: Column) -> Column:
+        confidence = _payment_scores(F.col("b_date"), F.col("_amount"), F.col("_day"), one["amount"])[4]
+        return F.struct(confidence.alias("confidence"), (-one["idx"]).alias("order"))
+
+    best = F.array_max(F.transform(F.array_compact(F.array("_below", "_above", "_day_first")), rated))
+    chosen = found.withColumn("_best", best).groupBy(*scope, "b_idx").agg(F.max("_best").alias("_best")).filter("_best.confidence >= 0.5")
+    return chosen.select(*scope, "b_idx", (-F.col("_best.order")).alias("e_idx"), "_best.confidence")
+
+
 # --- three-source engine -----------------------------------------------------------------
 
 

@@ -401,7 +401,7 @@ def w8_match_numbers(v: Views):
        (PARTITION BY scope, b_idx ORDER BY confidence DESC, e_idx) AS rn FROM cand_be) WHERE rn = 1""",
 )
 def w9_best_candidate(v: Views):
-    return match.best_candidate(match.payment_candidates(purchases(v), statements(v)))
+    return match.best_payment(purchases(v), statements(v))
 
 
 @query(

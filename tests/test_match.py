@@ -4,6 +4,7 @@ import datetime
 import difflib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,62 @@ def test_payments_in_rounds(spark):
     assert result(got) == expected(left, right)
 
 
+def test_crowded_days(spark):
+    """Days on which most pairs are far apart in amount, with more invoices or more payments, and rows in any order."""
+    rnd = random.Random(11)
+    left, right = [], []
+    for s in range(200):
+        for side, n in ((left, rnd.randint(1, 30)), (right, rnd.randint(1, 30))):
+            for i in rnd.sample(range(100), n):
+                amount = float(rnd.choice([100, 101, 105, 250, 260, 900, 1000, 2800, 2910, 5000, rnd.randint(1, 9999)]))
+                side.append((f"s{s}", i, DAY + datetime.timedelta(days=rnd.choice([0, 0, 0, 1, 2] if s % 2 else [0])), amount))
+    got = match.match_payments(*frames(spark, left, right), fold_pairs=0)
+    assert result(got) == expected(left, right)
+
+
+def test_equal_confidence_of_a_queue_and_a_pair():
+    """Invoices of 140 and 280 score some payments of later days like any payment of their own day or the next."""
+    late = lambda n, b, e: confidence((0, DAY, b), (0, DAY + datetime.timedelta(days=n), e))[0]
+    assert late(2, 140.0, 136.0) == match.QUEUES[0][0] and late(4, 280.0, 275.0) == match.QUEUES[1][0]
+
+
+def walk_fast(bs, es):
+    """The plain walk with one vector per invoice."""
+    idx, days, amounts = (np.array(x) for x in zip(*sorted(es)))
+    free, out = np.ones(len(idx), bool), set()
+    for i, day, amount in sorted(bs):
+        pct = np.abs(amount - amounts) / abs(amount) * 100
+        gap = np.abs(day - days)
+        date_score = np.where(gap <= 7, 1.0 - gap / 7.0, 0.0)
+        conf = np.where(free, date_score * 0.6 + np.where(pct <= 5, 1.0 - pct / 5.0, 0.0) * 0.4, -1)
+        k = int(conf.argmax())
+        if conf[k] >= 0.5:
+            free[k] = False
+            out.add((i, int(idx[k]), float(conf[k])))
+    return out
+
+
+def test_a_crowded_day_takes_few_rounds(spark, monkeypatch):
+    n, spread = 400, 2
+    rnd = random.Random(n)
+    sides = [[(i, rnd.randrange(spread), float(rnd.randint(1, 10**6))) for i in range(m)] for m in (n, n + n // 10)]
+    calls = []
+    served = match._served
+    monkeypatch.setattr(match, "_served", lambda *a: calls.append(1) or served(*a))
+    left, right = ([("s", i, DAY + datetime.timedelta(days=d), x) for i, d, x in side] for side in sides)
+    got = match.match_payments(*frames(spark, left, right), fold_pairs=0)
+    assert {r[1:] for r in result(got)} == walk_fast(*sides)
+    assert 0 < len(calls) <= 40
+
+
+def test_best_payment_is_the_best_candidate(spark):
+    for seed, slice_rows in ((5, None), (6, 25)):
+        left, right = random_scopes(seed, 60, 14, 9)
+        sides = frames(spark, left, right)
+        want = match.best_candidate(match.payment_candidates(*sides))
+        assert result(match.best_payment(*sides, slice_rows=slice_rows)) == result(want)
+
+
 def test_payments_by_amount(spark):
     left, right = random_scopes(4, 80, 10, 12)
     got = match.match_payments(*frames(spark, left, right), require_amount=True)

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from neraca.operators.ordered import previous_value, rank_rows, running_sum
+from neraca.operators.ordered import _thresholds, first_free, nearest_value, previous_value, rank_rows, running_sum
 
 
 def rows(spark):
@@ -63,3 +63,48 @@ def test_outliers_and_ties_make_no_large_slice(spark):
         w = Window.partitionBy("k").orderBy("day", "i")
         got = rank_rows(df, ["k"], ["day", "i"], "n", slice_rows=200).select("i", "n")
         same(got, df.select("i", F.row_number().over(w).cast("long").alias("n")))
+
+
+def test_nearest_value_both_ways(spark):
+    df = rows(spark)
+    up = Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("k").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    for slice_rows in (20, None):
+        got = nearest_value(df, ["k"], ["i"], F.col("y"), "a", slice_rows)
+        got = nearest_value(got, ["k"], ["i"], F.col("y"), "b", slice_rows, back=True).select("k", "i", "a", "b")
+        same(got, df.select("k", "i", F.last("y", True).over(up).alias("a"), F.last("y", True).over(down).alias("b")))
+
+
+def test_no_slices_without_hot_keys(spark, capsys):
+    rank_rows(rows(spark), ["k"], ["i"], "n").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Scan") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_staircases_add_up():
+    rnd = random.Random(3)
+    for _ in range(500):
+        limits = [rnd.choice([0, 1, 2, 3, 5, 8, 1 << 62]) for _ in range(rnd.randrange(12))]
+        edges = _thresholds(limits)
+        assert edges == sorted(edges)
+        for start in range(12):
+            count = start
+            for x in limits:
+                count += count < x
+            assert count == start + sum(t > start for t in edges)
+
+
+def test_first_free_places(spark):
+    rnd = random.Random(8)
+    data = [(k, i, rnd.choice([None, rnd.randrange(n), 0])) for k, n in (("hot", 500), ("warm", 70), (None, 30), ("cold", 4)) for i in range(n)]
+    df = spark.createDataFrame(data, "k string, i bigint, x bigint").repartition(7)
+    want = []
+    for k in ("hot", "warm", None, "cold"):
+        taken = 0
+        for _, i, x in sorted((r for r in data if r[0] == k), key=lambda r: r[1]):
+            own = taken if x is None or taken < x else None
+            want.append((k, i, own))
+            taken += own is not None
+    for slice_rows in (20, None):
+        got = [(r.k, r.i, r.n) for r in first_free(df, ["k"], ["i"], "x", "n", slice_rows).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
