@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from neraca.llm import decontaminate, jaccard, languages, licenses, lines, manifest, mixing, preferences, prefixes, quality, rules, shards
+from neraca.llm import decontaminate, jaccard, languages, licenses, lines, manifest, mixing, neural, preferences, prefixes, quality, rules, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": shards.op9_sharding,
     "op10_quality_rules": rules.op10_quality_rules,
     "op11_prefix_trie": prefixes.op11_prefix_trie,
+    "op12_language_model": neural.op12_language_model,
     "op13_merkle_manifest": manifest.op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
