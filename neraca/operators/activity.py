@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from neraca.operators.ordered import rank_rows
+
 from neraca.operators.summary import percent
 
 
@@ -52,6 +54,26 @@ def newest(df: DataFrame, column: str, limit: int, offset: int = 0, tie: str = "
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
+def page_anchors(df: DataFrame, column: str, size: int, tie: str = "id", slice_rows: int | None = None) -> DataFrame:
+    """(page, time, id): the first row of every page, newest first; one scan, kept for all readers of a table."""
+    rows = df.select(F.lit(0).alias("_all"), F.col(column).alias("_time"), F.col(tie).alias("_id"))
+    # Ranks ascend, so the newest come first by their distance from the far end of time.
+    back = -F.unix_micros(F.col("_time").cast("timestamp"))
+    ranked = rank_rows(rows.withColumn("_back", back), ["_all"], ["_back", "_id"], "_n", slice_rows)
+    firsts = ranked.filter((F.col("_n") - 1) % size == 0)
+    return firsts.select(((F.col("_n") - 1) / size).cast("long").alias("page"), F.col("_time").alias("time"), F.col("_id").alias("id"))
+
+
+def page_from(df: DataFrame, column: str, size: int, first: tuple, tie: str = "id") -> DataFrame:
+    """The page that begins with ``first`` (time, id), newest first.
+
+    Rows before it are not sorted to be skipped: the bound on time reaches the scan and leaves out row groups.
+    """
+    time, key = F.lit(first[0]), F.lit(first[1])
+    behind = (F.col(column) < time) | ((F.col(column) == time) & (F.col(tie) >= key))
+    return df.filter((F.col(column) <= time) & behind).orderBy(F.desc(column), F.asc(tie)).limit(size)
+
+
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """At most ``n`` rows per key.  Spark limits each group before the shuffle, so a hot
     key ships ``n`` rows per task and not all of them."""

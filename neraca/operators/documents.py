@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from neraca.functions import dates
+from neraca.operators.ordered import running_sum
 
 
 def statement_year(docs: DataFrame, keys: Sequence[str], fallback: str, period: str = "periode") -> DataFrame:
@@ -496,6 +497,21 @@ def merge_texts(chunks: DataFrame, keys: Sequence[str], order: str = "chunk", te
     return chunks.groupBy(*keys).agg(F.array_join(kept, "\n").alias("raw_text"))
 
 
+def merge_text_parts(
+    chunks: DataFrame, keys: Sequence[str], order: str = "chunk", text: str = "text", part_bytes: int = 16 << 20, slice_rows: int | None = None
+) -> DataFrame:
+    """``merge_texts`` for documents of any size: (keys, part, raw_text), in parts of about ``part_bytes``.
+
+    A running sum of bytes says in which part a text begins, so no row holds more than a part and the
+    text that ends it.  The parts of a document, joined by line ends in their order, are its whole text.
+    """
+    filled = chunks.filter(F.coalesce(F.col(text), F.lit("")) != "").withColumn("_bytes", F.octet_length(text).cast("long") + 1)
+    summed = running_sum(filled, keys, [order, text], F.col("_bytes"), "_end", slice_rows)
+    placed = summed.withColumn("part", F.floor((F.col("_end") - F.col("_bytes")) / part_bytes))
+    texts = F.array_sort(F.collect_list(F.struct(F.col("_end").alias("at"), F.col(order), F.col(text).alias("text"))))
+    return placed.groupBy(*keys, "part").agg(F.array_join(F.transform(texts, lambda p: p["text"]), "\n").alias("raw_text"))
+
+
 # --- two extractors, corrections -----------------------------------------------------------------------------
 
 

@@ -110,8 +110,15 @@ def validate_chunks(chunked: DataFrame, keys: Sequence[str], tolerance: float =
     )
 
 
+def reported_chunks(chunked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Chunks as an extractor reports them that sees one at a time: each starts from the balance before its own first row."""
+    return chunked.groupBy(*keys, "chunk").agg(
+        F.min_by(F.col("saldo") - _moved(), "index").alias("saldo_start"), F.max_by("saldo", "index").alias("saldo_end")
+    )
+
+
 def inter_chunk_check(chunks: DataFrame, keys: Sequence[str], tolerance: float = TOLERANCE) -> DataFrame:
-    """Does each chunk start where the one before it ended (always, for ``chunk_rows``)."""
+    """Does each chunk start where the one before it ended: always for ``chunk_rows``, not for ``reported_chunks``."""
     keys = list(keys)
     before = chunks.select(*keys, (F.col("chunk") + 1).alias("chunk"), F.col("saldo_end").alias("previous_end"))
     gap = F.abs(F.col("saldo_start") - F.col("previous_end"))

@@ -583,6 +583,13 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.pandas_udf(ratios, DoubleType())(a, b)
 
 
+def similarity_bound(a: Column, b: Column) -> Column:
+    """No less than ``name_similarity``: the characters that two names share, in any order, against all of them."""
+    held = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    shared = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(held(a, c), held(b, c))))
+    return F.when((a == "") | (b == "") | a.isNull() | b.isNull(), 0.0).otherwise(F.lit(2.0) * shared / (F.length(a) + F.length(b)))
+
+
 def with_name_similarity(pairs: DataFrame, a: str, b: str, name: str = "vendor_similarity") -> DataFrame:
     """``pairs`` with the similarity of two name columns.
 
@@ -615,8 +622,10 @@ def engine_candidates(invoices: DataFrame, bank: DataFrame, keys: Sequence[str]
             >= threshold
         )
     )
+    # Names that share too few characters can't reach the threshold, so they are not compared.
+    within = score.engine_confidence(F.col("date_confidence"), F.col("amount_confidence"), similarity_bound(F.col("b_name"), F.col("e_name")))
     return (
-        with_name_similarity(gated, "b_name", "e_name")
+        with_name_similarity(gated.filter(within >= threshold), "b_name", "e_name")
         .withColumn(
             "confidence",
             score.engine_confidence(

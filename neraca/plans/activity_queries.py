@@ -94,6 +94,15 @@ def t2_page(v: Views):
     return activity.newest(v.batches, "created_at", 10, 20).select("id", "user_id", F.to_date("created_at").alias("day"))
 
 
+@query("t2_deep_page", "SELECT id, user_id, created_at::DATE AS day FROM fx_batches ORDER BY created_at DESC, id OFFSET 1000 LIMIT 10")
+def t2_deep_page(v: Views):
+    """Page 100 of ten, found from its anchor."""
+    anchors = activity.page_anchors(v.batches, "created_at", 10)
+    first = anchors.filter("page = 100").select("time", "id").first()
+    page = activity.page_from(v.batches, "created_at", 10, tuple(first)) if first else v.batches.limit(0)
+    return page.select("id", "user_id", F.to_date("created_at").alias("day"))
+
+
 @query("t3_five_recent", "SELECT id, status FROM fx_batches ORDER BY created_at DESC, id LIMIT 5")
 def t3_five_recent(v: Views):
     return activity.newest(v.batches, "created_at", 5).select("id", "status")

@@ -325,6 +325,17 @@ def a25_w13_merge_texts(v: Views):
     return docs_op.merge_texts(v.messages, ["session_id"], "turn", "content")
 
 
+@query(
+    "a25_w13_text_parts",
+    """SELECT session_id, floor((upto - n) / 4000)::BIGINT AS part, string_agg(content, chr(10) ORDER BY turn) AS raw_text
+       FROM (SELECT *, strlen(content) + 1 AS n, sum(strlen(content) + 1) OVER (PARTITION BY session_id ORDER BY turn, content ROWS UNBOUNDED PRECEDING) AS upto
+             FROM fx_messages WHERE content <> '') GROUP BY 1, 2""",
+)
+def a25_w13_text_parts(v: Views):
+    """The same texts in parts that bound the largest row."""
+    return docs_op.merge_text_parts(v.messages, ["session_id"], "turn", "content", part_bytes=4000)
+
+
 # --- two extractors, corrections --------------------------------------------------------------------------------------
 
 

@@ -111,10 +111,10 @@ def w4_chunks(v: Views):
 @query(
     "w5_inter_chunk",
     """SELECT account, chunk, coalesce(abs(saldo_start - lag(saldo_end) OVER (PARTITION BY account ORDER BY chunk)) <= 0.01, true) AS inter_chunk_valid
-       FROM lg_chunks""",
+       FROM (SELECT account, chunk, arg_min(saldo - (kredit - debet), idx) AS saldo_start, arg_max(saldo, idx) AS saldo_end FROM lg_rows GROUP BY 1, 2)""",
 )
 def w5_inter_chunk(v: Views):
-    return ledger.inter_chunk_check(chunks(v), KEYS).select("account", "chunk", "inter_chunk_valid")
+    return ledger.inter_chunk_check(ledger.reported_chunks(chunked(v), KEYS), KEYS).select("account", "chunk", "inter_chunk_valid")
 
 
 @query(

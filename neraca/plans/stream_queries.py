@@ -1,12 +1,13 @@
-"""Batch twins of the live views, over event and file tables."""
+"""The live views over event and file tables, as batches and as streams that run."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from neraca.plans.registry import query
+from neraca.session import cut_lineage, scratch
 from neraca.sources.views import Views
-from neraca.streaming import streams
+from neraca.streaming import streams, tables
 
 
 def _text(c: str):
@@ -29,14 +30,31 @@ def st1_live_progress(v: Views):
     return streams.batch_progress(streams.file_states(events))
 
 
+@query(
+    "st1_kept_states",
+    """SELECT batch_id, count(*) AS files, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed,
+              count(*) FILTER (status = 'processing') AS processing FROM fx_files GROUP BY 1""",
+)
+def st1_kept_states(v: Views):
+    """A running stream of file events and the table it keeps."""
+    events = v.files.select("batch_id", F.col("id").alias("file_id"), F.col("created_at").cast("timestamp").alias("ts"), "status")
+    early = events.withColumns({"status": F.lit("processing"), "ts": F.col("ts") - F.expr("INTERVAL 2 HOURS")})
+    folder = scratch(v.spark)
+    cut_lineage(events.unionByName(early), f"{folder}/in")
+    stream = v.spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+    states = streams.file_states(stream, "9000 days")
+    tables.keep_latest(states, f"{folder}/states", ["batch_id", "file_id"], ["ts", "status"]).awaitTermination()
+    return streams.batch_progress(tables.kept(v.spark, f"{folder}/states", states.schema, ["batch_id", "file_id"], ["ts", "status"]))
+
+
 @query(
     "st2_rate_breaches",
-    """SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS window_start, user_id AS actor, count(*) * 3 AS requests FROM events
-       GROUP BY 1, 2 HAVING count(*) * 3 > 2""",
+    """SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS window_start, user_id AS actor, sum(1 + event_id % 4)::BIGINT AS requests
+       FROM events GROUP BY 1, 2 HAVING sum(1 + event_id % 4) > 2""",
 )
 def st2_rate_breaches(v: Views):
-    # Each event stands for three requests within its minute.
-    burst = v.stream_events.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    # Each event stands for a burst of one to four requests within its minute.
+    burst = v.stream_events.withColumn("n", F.explode(F.sequence(F.lit(0), F.col("event_id") % 4)))
     return streams.rate_breaches(burst, 2).withColumn("window_start", _text("window_start"))
 
 
@@ -56,11 +74,51 @@ def st4_first_uploads(v: Views):
     return streams.first_uploads(v.files).select("file_hash", F.to_date("created_at").alias("first_day"))
 
 
+@query(
+    "st3_closed_sessions",
+    """SELECT actor, strftime(low, '%Y-%m-%d %H:%M:%S') AS session_start, strftime(high, '%Y-%m-%d %H:%M:%S') AS session_end, events
+       FROM (SELECT actor, min(ts) AS low, max(ts) + INTERVAL 30 MINUTES AS high, count(*) AS events
+             FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= INTERVAL 30 MINUTES THEN 1 ELSE 0 END) OVER (PARTITION BY actor ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s
+                   FROM (SELECT user_id AS actor, ts, event_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)) GROUP BY actor, s)
+       WHERE high <= (SELECT max(ts) - INTERVAL 30 MINUTES FROM events)""",
+)
+def st3_closed_sessions(v: Views):
+    """Sessions that a running stream has closed: those the watermark has passed."""
+    folder = scratch(v.spark)
+    rows = v.stream_events.withColumn("ts", F.col("ts").cast("timestamp"))
+    cut_lineage(rows, f"{folder}/in")
+    found = streams.sessions(v.spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+    tables.append_batches(found, f"{folder}/sessions").awaitTermination()
+    out = tables.appended(v.spark, f"{folder}/sessions", found.schema)
+    return out.withColumn("session_start", _text("session_start")).withColumn("session_end", _text("session_end"))
+
+
 @query(
     "st5_audit_counts",
     """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS status,
-              count(*) AS events FROM events GROUP BY 1, 2, 3""",
+              count(*) AS events, count(DISTINCT user_id) AS actors FROM events GROUP BY 1, 2, 3""",
 )
 def st5_audit_counts(v: Views):
     events = v.stream_events.withColumn("status", F.when(F.col("event_type") == "error", "failure").otherwise("success"))
-    return streams.audit_counts(events).drop("actors").withColumn("window_start", _text("window_start"))
+    return streams.audit_counts(events).withColumn("window_start", _text("window_start"))
+
+
+@query(
+    "s20_audit_log",
+    """SELECT CASE WHEN event_id % 7 = 3 THEN NULL ELSE strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') END AS at, CASE WHEN event_id % 7 <> 3 THEN event_type END AS event_type,
+              CASE WHEN event_id % 7 <> 3 THEN user_id::VARCHAR END AS actor, event_id % 7 = 3 AS corrupt, count(*) AS lines
+       FROM events GROUP BY ALL""",
+)
+def s20_audit_log(v: Views):
+    """Audit lines written as files, some cut short, and read by a running stream."""
+    folder = scratch(v.spark)
+    event = F.to_json(F.struct(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "event_type", F.col("actor").cast("string").alias("actor"),
+        F.col("event_id").cast("string").alias("target"), F.create_map(F.lit("value"), F.col("value").cast("string")).alias("details"),
+    ))
+    line = F.when(F.col("event_id") % 7 == 3, F.expr("substring(_line, 1, length(_line) - 5)")).otherwise(F.col("_line"))
+    v.stream_events.withColumn("_line", event).select(line.alias("value")).write.text(f"{folder}/in")
+    tables.run_audit(v.spark, f"{folder}/in", f"{folder}/audit").awaitTermination()
+    good = tables.audit_events(v.spark, f"{folder}/audit").select(_text("timestamp").alias("at"), "event_type", "actor", F.lit(False).alias("corrupt"))
+    bad = tables.corrupt_lines(v.spark, f"{folder}/audit").select(F.lit(None).cast("string").alias("at"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("string").alias("actor"), F.lit(True).alias("corrupt"))
+    return good.unionByName(bad).groupBy("at", "event_type", "actor", "corrupt").agg(F.count(F.lit(1)).alias("lines"))

@@ -41,15 +41,20 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back.
+def scratch(spark: SparkSession) -> str:
+    """A new folder name inside the shared checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/neraca-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, or ``path``, and read back.
 
     A lost executor costs one re-read and not a replay of every earlier round, and the
     plan of a loop starts afresh: a written table, unlike a checkpointed plan, does not
     carry the constraints of the rounds before it.  ``discard`` deletes it.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/neraca-{uuid.uuid4().hex}"
+    path = path or scratch(spark)
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written._neraca_path = path

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from neraca.plans.export import batch_exports
 
@@ -33,5 +34,26 @@ def write_reconciliation(job, folder: str, fmt: str = "parquet", session: str |
 
 
 def write_batch_exports(results: DataFrame, folder: str, fmt: str = "parquet") -> dict[str, str]:
-    """Every batch in the export of its own layout, one dataset per layout."""
-    return {name: write_table(df, f"{folder}/{name}", fmt) for name, df in batch_exports(results).items()}
+    """Every batch in the export of its own layout, one dataset per layout, partitioned by batch.
+
+    Batches that are written again replace their own partitions; those of others stay as they are.
+    """
+    paths = {}
+    for name, df in batch_exports(results).items():
+        writer = df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
+        writer = writer.option("header", "true") if fmt == "csv" else writer
+        writer.save(f"{folder}/{name}")
+        paths[name] = f"{folder}/{name}"
+    return paths
+
+
+def export_again(results: DataFrame, folder: str, batches: list[int], fmt: str = "parquet") -> dict[str, str]:
+    """New exports of a few batches; a batch whose layout has changed leaves none of the old one behind."""
+    context = results.sparkSession.sparkContext
+    root = context._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(context._jsc.hadoopConfiguration())
+    sheets = [s.getPath() for s in files.listStatus(root)] if files.exists(root) else []
+    for sheet in sheets:
+        for batch in batches:
+            files.delete(context._jvm.org.apache.hadoop.fs.Path(sheet, f"batch_id={batch}"), True)
+    return write_batch_exports(results.filter(F.col("batch_id").isin(batches)), folder, fmt)

@@ -35,7 +35,7 @@ def file_states(events: DataFrame, late: str = "1 day", time: str = "ts") -> Dat
 
 
 def batch_progress(states: DataFrame, time: str = "ts") -> DataFrame:
-    """Files of each batch by their latest state, from the table that ``file_states`` keeps."""
+    """Files of each batch by their latest state, from the table that ``tables.keep_latest`` keeps of ``file_states``."""
     files = states.groupBy("batch_id", "file_id").agg(F.max_by("status", F.struct(time, "status")).alias("status"))
     state = F.col("status")
     return files.groupBy("batch_id").agg(
@@ -75,10 +75,14 @@ def first_uploads(files: DataFrame, late: str = "1 day", time: str = "created_at
 
 
 def audit_counts(events: DataFrame, per: str = "1 hour", late: str = "1 hour", time: str = "ts") -> DataFrame:
-    """Audit events per window, type and status."""
+    """Audit events per window, type and status, and their actors, counted exactly.
+
+    A stream can't count distinct values: there each window keeps the set of its actors until the watermark passes it.
+    """
+    actors = F.size(F.collect_set("actor")).cast("long") if events.isStreaming else F.count_distinct("actor")
     return (
         events.withWatermark(time, late)
         .groupBy(F.window(time, per), "event_type", "status")
-        .agg(F.count(F.lit(1)).alias("events"), F.approx_count_distinct("actor").alias("actors"))
+        .agg(F.count(F.lit(1)).alias("events"), actors.alias("actors"))
         .select(F.col("window.start").alias("window_start"), "event_type", "status", "events", "actors")
     )
