@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from neraca.llm import tokens
 from neraca.llm.components import components
-from neraca.session import cut_lineage
+from neraca.session import cut_lineage, discard
 
 #: Parts beyond ``D + 1``, as shares of it: the smallest, which are left out, and those that may be left out
 #: as frequent; documents of a frequent part.
@@ -120,29 +120,38 @@ def sketches(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(rows, size), axis=1).view(np.int64)
 
 
+def present(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+    """Per row, ``SKETCH`` longs with the bits that its tokens fall on."""
+    size = 64 * SKETCH
+    on = np.zeros(rows * size, np.uint8)
+    on[row.astype(np.int64) * size + (value & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(on.reshape(rows, size), axis=1).view(np.int64)
+
+
 def apart(a: str, b: str) -> Column:
     """Bits in which two sketches differ: at most the tokens that only one of the sets has."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
 def _signed(docs: DataFrame, words: int) -> DataFrame:
-    """Per document: id, key, number of shingles, node and sketch."""
+    """Per document: id, key, number of shingles, node, sketch and bits of its tokens."""
 
     def run(batches):
         for batch in batches:
-            size, node, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            size, node, bits, on = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for found in tokens.words(batch.column("text"), most_rows=512):
                 row, value = tokens.word_sets(found, words)
                 n, name = nodes_of(row, value, found.rows)
                 size.append(n)
                 node.append(name)
                 bits.append(sketches(row, value, found.rows).ravel())
-            size, node, bits = np.concatenate(size), np.concatenate(node).view(np.int64), np.concatenate(bits)
-            sketch = tokens.lists(bits, np.arange(len(size) + 1) * SKETCH, pa.int64())
-            arrays = [batch.column("id"), batch.column("key"), pa.array(size.astype(np.int64)), pa.array(node, mask=size == 0), sketch]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "key", "n_shingles", "node", "bits"])
+                on.append(present(row, value, found.rows).ravel())
+            size, node = np.concatenate(size), np.concatenate(node).view(np.int64)
+            sketch = [tokens.lists(np.concatenate(x), np.arange(len(size) + 1) * SKETCH, pa.int64()) for x in (bits, on)]
+            arrays = [batch.column("id"), batch.column("key"), pa.array(size.astype(np.int64)), pa.array(node, mask=size == 0), *sketch]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "key", "n_shingles", "node", "bits", "on"])
 
-    return docs.mapInArrow(run, "id long, key long, n_shingles long, node long, bits array<long>")
+    return docs.mapInArrow(run, "id long, key long, n_shingles long, node long, bits array<long>, on array<long>")
 
 
 def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -163,10 +172,10 @@ class Sets:
     """Token sets of picked nodes, found again from the texts."""
 
     def __init__(self, docs: DataFrame, signed: DataFrame, candidates: DataFrame, words: int):
-        named = signed.filter("node is not null").select("node", "key", "n_shingles", "bits").join(candidates, "node", "left_semi")
-        first = F.min_by(F.struct(F.col("n_shingles").alias("n"), "bits"), "key")
-        kept = cut_lineage(named.groupBy("node").agg(F.min("key").alias("key"), first.alias("f")).select("node", "key", "f.n", "f.bits"))
-        self.keys, self.sketch = kept.select("node", "key"), kept.select("node", "n", "bits")
+        named = signed.filter("node is not null").select("node", "key", "n_shingles", "bits", "on").join(candidates, "node", "left_semi")
+        first = F.min_by(F.struct(F.col("n_shingles").alias("n"), "bits", "on"), "key")
+        kept = cut_lineage(named.groupBy("node").agg(F.min("key").alias("key"), first.alias("f")).select("node", "key", "f.n", "f.bits", "f.on"))
+        self.kept, self.keys, self.sketch = kept, kept.select("node", "key"), kept.select("node", "n", "bits", "on")
         self.count = kept.count()
         self.docs, self.words = docs, words
 
@@ -241,7 +250,7 @@ def _first_pairs(shared: DataFrame, sets: Sets, percent: int) -> DataFrame:
     best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "lead")), asc=False), 1, LEADS).alias("best"))
     pairs = best.select("node", F.explode("best.lead").alias("other"))
     other = sets.sketch.select(F.col("node").alias("other"), F.col("n").alias("m"), F.col("bits").alias("theirs"))
-    rated = pairs.join(sets.sketch, "node").join(other, "other")
+    rated = pairs.join(sets.sketch.drop("on"), "node").join(other, "other")
     return rated.filter(_may_link(percent)).select("node", "other")
 
 
@@ -281,20 +290,29 @@ def _open_groups(shared: DataFrame, groups: DataFrame, tested: DataFrame, sets:
     fits = (F.col("grp") != F.col("in_grp")) & (F.col("least") <= F.col("n")) & (F.col("most") * 100 >= F.col("n") * percent)
     # Tokens of its own can't be in any union.
     smallest = F.greatest(F.col("least") * 100, F.col("n") * percent)
-    fits = fits & ((F.col("n") - F.col("own")) * (100 + percent) * 100 >= (F.col("n") * 100 + smallest) * percent)
-    asked = cut_lineage(rare.join(matrix, "token").filter(fits).groupBy("node", "in_grp").agg(F.max("n").alias("n"), F.min("least").alias("least")))
+    reached = lambda over: over * (100 + percent) * 100 >= (F.col("n") * 100 + smallest) * percent
+    hits = cut_lineage(rare.join(matrix, "token").filter(fits & reached(F.col("n") - F.col("own"))).select("node", "token", "in_grp", "n", "least"))
+    asked = hits.groupBy("node", "in_grp").agg(F.max("n").alias("n"), F.min("least").alias("least"))
+    # Bits of a query that no member of the group has are tokens outside its union.
+    spread = hard.join(sets.sketch.select("node", "on"), "node").groupBy(F.col("grp").alias("in_grp"))
+    masks = spread.agg(F.array(*[F.bit_or(F.col("on")[k]) for k in range(SKETCH)]).alias("mask"))
+    outside = F.aggregate(F.zip_with("on", "mask", lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda a, x: a + x)
+    asked = asked.join(sets.sketch.select("node", "on"), "node").join(masks, "in_grp").filter(reached(F.col("n") - outside))
+    asked = cut_lineage(asked.select("node", "in_grp", "n", "least"))
     members = hard.join(asked.select(F.col("in_grp").alias("grp")).distinct(), "grp", "left_semi")
     union = sets.of(members).select(F.col("grp").alias("in_grp"), F.explode("tokens").alias("token")).distinct()
     query = sets.of(asked).select("node", "in_grp", "n", "least", F.explode("tokens").alias("token"))
     bound = query.join(union, ["in_grp", "token"]).groupBy("node", "in_grp", "n", "least").agg(F.count(F.lit(1)).alias("over"))
-    opened = bound.filter(F.col("over") * (100 + percent) * 100 >= (F.col("n") * 100 + smallest) * percent).select("node", "in_grp")
-    member = rare.filter("short").select("token", "node", F.col("grp").alias("in_grp")).join(sets.sketch, "node")
+    opened = bound.filter(reached(F.col("over"))).select("node", "in_grp")
+    member = rare.filter("short").select("token", "node", F.col("grp").alias("in_grp")).join(sets.sketch.drop("on"), "node")
     member = member.select("token", "in_grp", F.col("node").alias("other"), F.col("n").alias("m"), F.col("bits").alias("theirs"))
-    query = rare.select("token", "node").join(opened, "node").join(sets.sketch, "node")
+    query = hits.select("token", "node", "in_grp").join(opened, ["node", "in_grp"], "left_semi").join(sets.sketch.drop("on"), "node")
     met = (query["token"] == member["token"]) & (query["in_grp"] == member["in_grp"]) & (F.col("m") <= F.col("n")) & _may_link(percent)
     pairs = query.join(member, met).select("node", "other").distinct()
     pairs = pairs.join(tested, ["node", "other"], "left_anti")
-    return pairs.join(tested.select(F.col("other").alias("node"), F.col("node").alias("other")), ["node", "other"], "left_anti")
+    pairs = cut_lineage(pairs.join(tested.select(F.col("other").alias("node"), F.col("node").alias("other")), ["node", "other"], "left_anti"))
+    discard(hard, rare, hits, asked)
+    return pairs
 
 
 def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -311,9 +329,11 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     tested = cut_lineage(_first_pairs(shared, sets, percent))
     links = cut_lineage(_verified(tested, sets, percent))
     groups = components(links, "node", "other")
-    opened = cut_lineage(_open_groups(shared, groups, tested, sets, percent))
+    opened = _open_groups(shared, groups, tested, sets, percent)
+    discard(shared, tested)
     more = cut_lineage(_verified(opened, sets, percent))
     final = components(links.unionByName(more), "node", "other")
+    discard(opened, links, more, sets.kept)
     named = signed.select("id", "key", "n_shingles", "node").join(final, "node", "left").withColumn("top", F.coalesce("component", "node"))
     lowest = named.filter("top is not null").groupBy("top").agg(F.min("id").alias("component_id"))
     joined = named.join(lowest, "top", "left")
