@@ -2,10 +2,10 @@
 
 Stages, each over everything its predecessor kept: language identification (texts without a letter, or
 that no language claims, go), n-gram Jaccard join (one document of each group of near copies stays),
-benchmark decontamination, mixing to target weights, and sharding.  All but the last return the columns
-of ``documents``, which have no place for a weight: mixing leaves out what the targets exclude, and the last adds
-weight and copies, by which the mix meets its targets, to slot and shard.  A document of no copies stays, unused.  Nulls, empty texts, repeated rows and empty tables have
-the results that each operator's module states.
+benchmark decontamination, mixing to target weights, and sharding.  All but the last return the columns of
+``documents``: mixing returns each document as many times as it is drawn, whole copies of it by its raked
+weight and none where the draw leaves it out, so that its rows meet the targets; the last adds slot and shard.  Nulls, empty
+texts, repeated rows and empty tables have the results that each operator's module states.
 """
 
 from __future__ import annotations
@@ -38,11 +38,13 @@ def decontaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    return mixing.weighted(docs, added=("__weight", "__copies")).filter("__weight > 0").drop("__weight", "__copies")
+    found = mixing.weighted(docs, added=("__weight", "__copies"))
+    each = F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))
+    return found.withColumn("__each", each).drop("__weight", "__copies", "__each")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    return shards.placed(mixing.weighted(docs))
+    return shards.placed(docs)
 
 
 STAGES = [
