@@ -11,6 +11,7 @@ from neraca.operators import match, split
 from neraca.plans.oracle import VIEWS
 from neraca.plans.registry import query
 from neraca.plans.scalar_queries import _MONTHS, _id_amount
+from neraca.session import scratch
 from neraca.sources import readers, records, rendered
 from neraca.sources.views import Views
 
@@ -540,6 +541,31 @@ def p16_unmatched_display_e(v: Views):
     return unmatched_bank_rows(match.unmatched(statements(v), j2_match_payments(v), "e_idx")).drop("scope")
 
 
+@query(
+    "s1_load_table",
+    """SELECT row_idx, nomor_faktur::VARCHAR AS nomor_faktur, npwp_penjual, npwp_pembeli, strftime(tanggal, '%Y-%m-%d') AS tanggal, dpp::DOUBLE AS dpp, total::DOUBLE AS total FROM fx_invoice""",
+)
+def s1_load_table(v: Views):
+    """Invoices written as CSV with a header, and loaded as a reconciliation table."""
+    rows = v.invoice.select("row_idx", F.col("nomor_faktur").cast("string").alias("nomor_faktur"), "npwp_penjual", "npwp_pembeli", "tanggal", "dpp", "total")
+    folder = scratch(v.spark)
+    rows.write.option("header", "true").csv(folder)
+    schema = "row_idx long, nomor_faktur string, npwp_penjual string, npwp_pembeli string, tanggal date, dpp decimal(18,2), total decimal(18,2)"
+    return readers.load_table(v.spark, folder, schema, "csv").withColumn("tanggal", F.date_format("tanggal", "yyyy-MM-dd"))
+
+
+@query(
+    "s2_export_catalogue",
+    """SELECT substr(md5('/exports/' || name), 1, 16) AS id, name AS filename, '/exports/' || name AS filepath, 'rekening_koran' AS document_type, length(file_hash) AS file_size
+       FROM fx_files WHERE name NOT LIKE '~%' AND NOT (lower(name) LIKE '%batch%' OR lower(name) LIKE '%faktur%' OR lower(name) LIKE '%fp%')
+         AND regexp_matches(lower(name), 'rek|bank|estat|bni|bca|mandiri|permata|bri')""",
+)
+def s2_export_catalogue(v: Views):
+    """The exported statements among all files."""
+    files = v.files.select(F.concat(F.lit("/exports/"), "name").alias("path"), F.length("file_hash").cast("long").alias("length"), F.col("created_at").alias("modificationTime"))
+    return readers.catalogue_of(files, "rekening_koran").drop("created_at")
+
+
 @query("s3_file_ids", "SELECT id, substr(md5(name), 1, 16) AS file_id FROM fx_files")
 def s3_file_ids(v: Views):
     return v.files.select("id", readers.file_id(F.col("name")).alias("file_id"))

@@ -46,13 +46,13 @@ def reconcile(
     """Reconcile every company of ``companies`` (all of them when None) in one job.
 
     Slips belong to the company they were withheld from, bank rows to the account
-    holder.  ``period`` keeps rows dated inside it; off by default.  Both match lists are
-    written once, to the shared checkpoint folder, and every sheet reads them from there.
+    holder.  ``period`` keeps rows dated inside it; off by default.  The rows to match and both match lists
+    are written once, to the shared checkpoint folder, and every sheet reads them from there.
     """
     if period is not None:
         low, high = (F.to_date(F.lit(p)) for p in period)
         invoices, slips, bank = (df.filter(F.col("tanggal").between(low, high)) for df in (invoices, slips, bank))
-    invoices = split.keep_first(invoices, ["nomor_faktur"])
+    invoices = cut_lineage(split.keep_first(invoices, ["nomor_faktur"]))
     slips = slips.withColumn("scope", normalize_npwp(F.col("npwp_dipotong")))
     bank = bank.withColumn("scope", normalize_npwp(F.col("account_number")))
     if companies is None:
@@ -63,6 +63,7 @@ def reconcile(
         scopes = companies.select(normalize_npwp(F.col("company_npwp")).alias("scope")).distinct()
         slips = slips.join(scopes, "scope", "left_semi")
         bank = bank.join(scopes, "scope", "left_semi")
+    slips, bank = cut_lineage(slips), cut_lineage(bank)
     return Reconciliation(
         a,
         b,
