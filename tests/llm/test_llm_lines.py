@@ -6,38 +6,6 @@ from neraca.llm import lines
 from odd import documents
 
 
-def plain(docs, least):
-    """Places of deleted lines by the module's rule, comparing all suffixes."""
-    seq, where = [], []
-    for i, (_, text) in enumerate(docs):
-        own = [(k, x) for k, x in enumerate(y.strip(" \t\r") for y in (text or "").split("\n")) if x]
-        for n, (k, x) in enumerate(own):
-            seq.append(x)
-            where.append((i, k, len(own) - n))
-    best, k = {}, 0
-    while True:
-        seen, hit = {}, False
-        for p in range(len(seq)):
-            if where[p][2] >= 1 << k:
-                window = tuple(seq[p : p + (1 << k)])
-                if window in seen:
-                    best[p], hit = seen[window], True
-                else:
-                    seen[window] = p
-        if not hit:
-            break
-        k += 1
-    out = [set() for _ in docs]
-    for p, f in best.items():
-        n = 0
-        while n < min(where[p][2], where[f][2]) and seq[p + n] == seq[f + n]:
-            n += 1
-        if sum(len(seq[p + j]) for j in range(n)) >= least:
-            for j in range(n):
-                out[where[p + j][0]].add(where[p + j][1])
-    return {d[0]: sorted(o) for d, o in zip(docs, out)}
-
-
 @pytest.mark.parametrize("seed, least", [(1, 1), (2, 9), (3, 30)])
 def test_random_lines_against_all_suffixes(spark, seed, least):
     rng = random.Random(seed)
@@ -46,8 +14,7 @@ def test_random_lines_against_all_suffixes(spark, seed, least):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     keyed = df.selectExpr("doc_id", "xxhash64(doc_id, text) as key").join(lines.deletions(df, least), "key")
     got = {r.doc_id: sorted(r.deleted) for r in keyed.collect()}
-    want = plain(docs, least)
-    assert {d: got.get(d, []) for d, _ in docs} == want
+    assert {d: got.get(d, []) for d, _ in docs} == longest(docs, least)
 
 
 def test_texts_lose_later_copies_only(spark):
