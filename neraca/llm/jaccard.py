@@ -9,9 +9,9 @@
    a token is among the rarest of some member of a group.  A query looks up its own rarest tokens;
    rarest by the count among these nodes, and as many as a link can't do without, so a text that only shares a
    common passage, or differs from its like in tokens of its own, finds nothing.
-4. The tokens of each group found are united, and a query's overlap with the union bounds that with any
-   member.  Only groups that reach what a link needs are opened, and their members verified, but for those
-   whose sketch of 1024 bits differs in more bits than a link may differ in tokens.
+4. The tokens of each group found are united, as 1024 bits: tokens of a query on bits that the union lacks are in no
+   member, which bounds its overlap with any.  Only groups that reach what a link needs are opened, and their members
+   verified, but for those whose sketch differs in more bits than a link may differ in tokens.
 
 Of its parts beyond ``D + 1`` a node leaves out the smallest, by size and content, and of the others those that
 are frequent, if they are no more than the spare ones.  Both sides judge a part by its content alone, so
@@ -293,17 +293,12 @@ def _open_groups(shared: DataFrame, groups: DataFrame, tested: DataFrame, sets:
     reached = lambda over: over * (100 + percent) * 100 >= (F.col("n") * 100 + smallest) * percent
     hits = cut_lineage(rare.join(matrix, "token").filter(fits & reached(F.col("n") - F.col("own"))).select("node", "token", "in_grp", "n", "least"))
     asked = hits.groupBy("node", "in_grp").agg(F.max("n").alias("n"), F.min("least").alias("least"))
-    # Bits of a query that no member of the group has are tokens outside its union.
+    # Bits of a query that the union of the group lacks are tokens that no member has.
     spread = hard.join(sets.sketch.select("node", "on"), "node").groupBy(F.col("grp").alias("in_grp"))
     masks = spread.agg(F.array(*[F.bit_or(F.col("on")[k]) for k in range(SKETCH)]).alias("mask"))
     outside = F.aggregate(F.zip_with("on", "mask", lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda a, x: a + x)
     asked = asked.join(sets.sketch.select("node", "on"), "node").join(masks, "in_grp").filter(reached(F.col("n") - outside))
-    asked = cut_lineage(asked.select("node", "in_grp", "n", "least"))
-    members = hard.join(asked.select(F.col("in_grp").alias("grp")).distinct(), "grp", "left_semi")
-    union = sets.of(members).select(F.col("grp").alias("in_grp"), F.explode("tokens").alias("token")).distinct()
-    query = sets.of(asked).select("node", "in_grp", "n", "least", F.explode("tokens").alias("token"))
-    bound = query.join(union, ["in_grp", "token"]).groupBy("node", "in_grp", "n", "least").agg(F.count(F.lit(1)).alias("over"))
-    opened = bound.filter(reached(F.col("over"))).select("node", "in_grp")
+    opened = asked.select("node", "in_grp")
     member = rare.filter("short").select("token", "node", F.col("grp").alias("in_grp")).join(sets.sketch.drop("on"), "node")
     member = member.select("token", "in_grp", F.col("node").alias("other"), F.col("n").alias("m"), F.col("bits").alias("theirs"))
     query = hits.select("token", "node", "in_grp").join(opened, ["node", "in_grp"], "left_semi").join(sets.sketch.drop("on"), "node")
@@ -311,7 +306,7 @@ def _open_groups(shared: DataFrame, groups: DataFrame, tested: DataFrame, sets:
     pairs = query.join(member, met).select("node", "other").distinct()
     pairs = pairs.join(tested, ["node", "other"], "left_anti")
     pairs = cut_lineage(pairs.join(tested.select(F.col("other").alias("node"), F.col("node").alias("other")), ["node", "other"], "left_anti"))
-    discard(hard, rare, hits, asked)
+    discard(hard, rare, hits)
     return pairs
 
 
