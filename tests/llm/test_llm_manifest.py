@@ -44,7 +44,7 @@ def collected(df):
     return sorted(((r.id, r.key, r.leaf, r.subroot, r.root, tuple(tuple(s) for s in r.proof)) for r in df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("fanout,levels", [(2, 1), (2, 2), (3, 1), (5, 2), (2, 12)])
+@pytest.mark.parametrize("fanout,levels", [(2, 1), (3, 2), (2, 12)])
 def test_against_a_plain_tree(spark, fanout, levels):
     rng = random.Random(fanout * 10 + levels)
     sizes = {None: 1, "": 2, "a": 3, "b": 17, "é": 8, "z": 64, "\U0001f600": 33, "～": 70}
@@ -55,7 +55,7 @@ def test_against_a_plain_tree(spark, fanout, levels):
 
 
 def test_every_size(spark):
-    rows = [(i, f"k{n:02}", sha(f"{n}/{i}")) for n in range(1, 41) for i in range(n)]
+    rows = [(i, f"k{n:02}", sha(f"{n}/{i}")) for n in range(1, 18) for i in range(n)]
     leaves = spark.createDataFrame(rows, "id long, key string, leaf string")
     assert collected(manifest.proofs(leaves, fanout=2, levels=1)) == plain(rows, 2)
 
