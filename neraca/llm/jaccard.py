@@ -46,7 +46,7 @@ LEAD_PART = 4
 #: Bits of a set's sketch, in longs.
 SKETCH = 16
 #: Rows of a table of a few long columns that may be broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
