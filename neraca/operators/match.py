@@ -22,7 +22,7 @@ from neraca.operators.ordered import ANYONE, FREE_ROWS, NO_SLICES, SLICE_ROWS, f
 from neraca.session import cut_lineage, discard
 
 # Islands with at most this many invoice x payment pairs are settled in one group.
-FOLD_PAIRS = 40_000
+FOLD_PAIRS = 250_000
 # Beyond this gap no pair can reach the lowest accepted confidence.
 MAX_GAP_DAYS = 5
 
