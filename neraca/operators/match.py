@@ -83,40 +83,39 @@ def near_pairs(
     """Superset of the pairs at most ``days`` apart whose amounts differ by less than
     the factor ``1 + ratio``; the caller applies its own score to what is left.
 
-    An equi-join on (keys, day bucket, log-amount bucket).  The right side is repeated
-    into the neighbouring buckets, so every pair meets exactly once, in one hash join.
+    An equi-join on (keys, day bucket, log-amount bucket).  The left side, which should be the
+    smaller one, is repeated into the four buckets that it can reach, so every pair meets exactly once.  The
+    join sorts and spills: an estimate of the input's size says nothing of the repeated rows, which must
+    not be broadcast for it.
     """
-    width = math.log1p(ratio) * 1.01
-
-    def day_bucket(c: str) -> Column:
-        return F.floor(F.unix_date(F.col(c)) / (days + 1)).cast("int")
-
-    def amount_bucket(c: str) -> Column:
-        size = F.abs(F.col(c).cast("double"))
-        return F.floor(F.ln(size) / width).cast("int")
-
-    def usable(df: DataFrame, date: str, amount: str) -> DataFrame:
-        return (
-            df.filter(F.col(date).isNotNull() & (F.col(amount) != 0))
-            .withColumn("_sign", F.signum(F.col(amount).cast("double")).cast("int"))
-            .withColumn("_day", day_bucket(date))
-            .withColumn("_size", amount_bucket(amount))
+    reach = math.log1p(ratio) * 1.01
+    width, span = 2 * reach, max(1, 2 * days)
+
+    def day_bucket(c: Column) -> Column:
+        return F.floor(c / span).cast("int")
+
+    def amount_bucket(c: Column) -> Column:
+        return F.floor(c / width).cast("int")
+
+    def usable(df: DataFrame, date: str, amount: str, d: int, r: float) -> DataFrame:
+        """With the first and last bucket that lies ``d`` days and ``r`` in log amount around the row."""
+        day, size = F.unix_date(F.col(date)), F.ln(F.abs(F.col(amount).cast("double")))
+        return df.filter(F.col(date).isNotNull() & (F.col(amount) != 0)).withColumns(
+            {
+                "_sign": F.signum(F.col(amount).cast("double")).cast("int"),
+                "_day": F.explode(F.sequence(day_bucket(day - d), day_bucket(day + d))) if d else day_bucket(day),
+                "_low": amount_bucket(size - r),
+                "_up": amount_bucket(size + r),
+            }
         )
 
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    near = (
-        usable(right, right_date, right_amount)
-        .withColumn("_dd", F.explode(steps))
-        .withColumn("_ds", F.explode(steps))
-        .withColumn("_day", F.col("_day") + F.col("_dd"))
-        .withColumn("_size", F.col("_size") + F.col("_ds"))
-        .drop("_dd", "_ds")
-    )
-    on = [*keys, "_sign", "_day", "_size"]
+    near = usable(left, left_date, left_amount, days, reach).withColumn("_size", F.explode(F.sequence("_low", "_up")))
+    far = usable(right, right_date, right_amount, 0, 0.0).withColumn("_size", F.col("_low"))
     gap = score.day_gap(F.col(left_date), F.col(right_date))
     return (
-        usable(left, left_date, left_amount)
-        .join(near, on)
+        near.drop("_low", "_up")
+        .hint("merge")
+        .join(far.drop("_low", "_up"), [*keys, "_sign", "_day", "_size"])
         .filter(gap <= days)
         .drop("_sign", "_day", "_size")
     )
