@@ -8,6 +8,8 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from neraca.functions.money import bound
+
 # Month names and short forms, and their numbers.
 MONTHS = {
     "JAN": 1, "JANUARI": 1, "JANUARY": 1,
@@ -174,31 +176,32 @@ def is_unsortable(key: Column) -> Column:
 
 def long_date(c: Column) -> Column:
     """``DD Bulan YYYY``; two-digit years below 50 are 20xx.  Empty when unreadable."""
-    text = F.trim(F.regexp_replace(F.trim(c), r"^[,.;]+|[,.;]+$", ""))
-    # Shapes of a written date, tried in order.
+    return bound(F.trim(F.regexp_replace(F.trim(c), r"^[,.;]+|[,.;]+$", "")), _long_date)
+
+
+def _long_date(text: Column) -> Column:
+    # Shapes of a written date, tried in order, and where they hold year, month and day.
     named = r"(?i)(\d{1,2})\s+([A-Za-z]+)\s+(\d{2,4})"
     dmy = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})$"
     dotted = r"^(\d{1,2})\.(\d{1,2})\.(\d{2,4})$"
     ymd = r"^(\d{4})[/-](\d{1,2})[/-](\d{1,2})$"
 
-    def number(pattern: str, n: int) -> Column:
-        return F.regexp_extract(text, pattern, n).try_cast("int")
-
-    def shown(y: Column, m: Column, d: Column) -> Column:
+    def spelled(p: Column) -> Column:
+        y, m, d = p["y"], p["m"], p["d"]
         year = F.when(y < 50, y + 2000).when(y < 100, y + 1900).otherwise(y)
         valid = d.between(1, 31) & m.between(1, 12) & year.between(1900, 2100)
         return F.when(
             valid, F.concat_ws(" ", _pad(d.cast("string")), month_name(m), year.cast("string"))
         )
 
-    month = month_number(F.regexp_extract(text, named, 2)).cast("int")
-    return F.coalesce(
-        shown(number(named, 3), month, number(named, 1)),
-        shown(number(dmy, 3), number(dmy, 2), number(dmy, 1)),
-        shown(number(dotted, 3), number(dotted, 2), number(dotted, 1)),
-        shown(number(ymd, 1), number(ymd, 2), number(ymd, 3)),
-        F.lit(""),
-    )
+    def shown(pattern: str, *places: int) -> Column:
+        y, m, d = (F.regexp_extract(text, pattern, n) for n in places)
+        m = month_number(m).cast("int") if pattern == named else m.try_cast("int")
+        # Each shape is taken apart once, and only where it fits.
+        parts = F.struct(y.try_cast("int").alias("y"), m.alias("m"), d.try_cast("int").alias("d"))
+        return F.when(text.rlike(pattern), bound(parts, spelled))
+
+    return F.coalesce(shown(named, 3, 2, 1), shown(dmy, 3, 2, 1), shown(dotted, 3, 2, 1), shown(ymd, 1, 2, 3), F.lit(""))
 
 
 def invoice_date(value: Column, text: Column) -> Column:
@@ -210,13 +213,17 @@ def invoice_date(value: Column, text: Column) -> Column:
     named = r"(\b\d{1,2}\s+[A-Za-z]+\s+\d{2,4}\b)"
     found = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (label, numeric, named)]
     candidates = F.concat(F.array(F.coalesce(value, F.lit(""))), *found)
-    readable = F.filter(F.transform(candidates, long_date), lambda d: d != "")
-    return F.coalesce(F.get(readable, 0), F.lit(""))
+    first = lambda seen, c: F.when(seen != "", seen).otherwise(long_date(c))
+    return F.coalesce(F.aggregate(candidates, F.lit(""), first), F.lit(""))
 
 
 def slash_date(c: Column) -> Column:
     """``DD/MM/YYYY`` of an exporter date; ``N/A`` when blank, else the text itself."""
-    text = F.trim(c)
+    blank = F.coalesce(c, F.lit("")).isin("N/A", "", "None", "null")
+    return F.when(blank, F.lit("N/A")).otherwise(bound(F.trim(c), _slash_date))
+
+
+def _slash_date(text: Column) -> Column:
     # Formats and shapes of exported dates, tried in order.
     formats = ["d/M/yyyy", "d-M-yyyy", "yyyy-M-d", "d MMMM yyyy", "d MMM yyyy", "d-M-yy", "d/M/yy"]
     named = r"(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})"
@@ -224,17 +231,14 @@ def slash_date(c: Column) -> Column:
     day = F.regexp_extract(text, named, 1)
     month = month_number(F.regexp_extract(text, named, 2))
     named_date = F.when(
-        month.isNotNull() & day.try_cast("int").between(1, 31),
+        text.rlike(named) & month.isNotNull() & day.try_cast("int").between(1, 31),
         F.concat_ws("/", _pad(day), month, F.regexp_extract(text, named, 3)),
     )
     loose_date = F.when(
         text.rlike(loose),
         F.concat_ws("/", *[_pad(F.regexp_extract(text, loose, n)) if n < 3 else F.regexp_extract(text, loose, n) for n in (1, 2, 3)]),
     )
-    blank = F.coalesce(c, F.lit("")).isin("N/A", "", "None", "null")
-    return F.when(blank, F.lit("N/A")).otherwise(
-        F.coalesce(F.date_format(parse_date(text, formats), "dd/MM/yyyy"), named_date, loose_date, text)
-    )
+    return F.coalesce(F.date_format(parse_date(text, formats), "dd/MM/yyyy"), named_date, loose_date, text)
 
 
 # Date shapes of the row parser, tried in order.

@@ -36,6 +36,11 @@ def _mixed(c: Column) -> Column:
     return F.when(_last_separator(c) == ",", _comma_to_dot(_without(c, "."))).otherwise(_without(c, ","))
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
 def clean_amount(c: Column) -> Column:
     """Default parser: a single separator with at most two characters after it is the
     decimal point, otherwise it groups thousands.  Unreadable or blank is 0."""
@@ -51,11 +56,6 @@ def clean_amount(c: Column) -> Column:
     return F.coalesce(number.try_cast(MONEY), F.lit(0).cast(MONEY))
 
 
-def bound(c: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(c)`` with ``c`` evaluated once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(c), use), 0)
-
-
 def extract_amount(c: Column) -> Column:
     """Row-parser variant: exactly two decimals after a single separator, ``(x)`` is
     negative, and null when there is no amount."""
@@ -119,6 +119,11 @@ def parse_price(c: Column) -> Column:
     """Whole currency units of a price; 0 when unreadable.  A lone dot is a decimal
     point only with two digits after it; a comma always is."""
     bare = F.trim(_without(_without(F.trim(F.coalesce(c, F.lit(""))), "Rp"), "IDR"))
+    whole = lambda v: F.when(v >= 0, F.floor(v)).otherwise(F.ceil(v)).cast("long")
+    return F.coalesce(bound(bound(bare, _read_price), whole), F.lit(0).cast("long"))
+
+
+def _read_price(bare: Column) -> Column:
     has_comma, has_dot = bare.contains(","), bare.contains(".")
     number = (
         F.when(has_comma & has_dot, _comma_to_dot(_without(bare, ".")))
@@ -126,24 +131,31 @@ def parse_price(c: Column) -> Column:
         .when(has_dot & ~bare.rlike(r"^[^.]*\.[^.]{2}$"), _without(bare, "."))
         .otherwise(bare)
     )
-    value = number.try_cast("decimal(20,4)")
-    return F.coalesce(F.when(value >= 0, F.floor(value)).otherwise(F.ceil(value)).cast("long"), F.lit(0).cast("long"))
+    return number.try_cast("decimal(20,4)")
 
 
 def format_rupiah(value: Column) -> Column:
     """``Rp 1.234.567`` of a number, truncated; zero and null print as ``-``."""
-    number = value.cast("decimal(20,2)")
-    whole = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).cast("long")
-    shown = F.concat(F.lit("Rp "), F.translate(F.format_number(whole, 0), ",", "."))
-    return F.when(F.coalesce(whole, F.lit(0)) == 0, F.lit("-")).otherwise(shown)
+    return bound(value.cast("decimal(20,2)"), _format_rupiah)
+
+
+def _format_rupiah(number: Column) -> Column:
+    def shown(whole: Column) -> Column:
+        text = F.concat(F.lit("Rp "), F.translate(F.format_number(whole, 0), ",", "."))
+        return F.when(F.coalesce(whole, F.lit(0)) == 0, F.lit("-")).otherwise(text)
+
+    return bound(F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).cast("long"), shown)
 
 
 def format_rupiah_text(c: Column) -> Column:
     """As ``format_rupiah`` for text: separators dropped, the input kept if no number."""
-    bare = F.trim(_without(_without(_without(_without(c, "Rp"), "IDR"), "."), ","))
-    value = bare.try_cast("decimal(20,2)")
-    blank = F.coalesce(c, F.lit("")).isin("-", "N/A", "", "0", "None", "null") | bare.isin("", "-")
-    return F.when(blank, F.lit("-")).when(value.isNull(), c).otherwise(format_rupiah(value))
+    blank = F.coalesce(c, F.lit("")).isin("-", "N/A", "", "0", "None", "null")
+
+    def shown(bare: Column) -> Column:
+        number = lambda value: F.when(value.isNull(), c).otherwise(_format_rupiah(value))
+        return F.when(blank | bare.isin("", "-"), F.lit("-")).otherwise(bound(bare.try_cast("decimal(20,2)"), number))
+
+    return bound(F.trim(_without(_without(_without(_without(c, "Rp"), "IDR"), "."), ",")), shown)
 
 
 def digits_amount(c: Column) -> Column:
