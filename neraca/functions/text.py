@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from neraca.functions.money import misread_amount
+from neraca.functions.money import bound, misread_amount
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
@@ -223,27 +223,35 @@ def is_person_name(c: Column) -> Column:
     return (F.length(c) >= 3) & (alnum >= F.length(c) * 0.7)
 
 
+def _lines(c: Column) -> Column:
+    return F.filter(F.transform(F.split(c, r"[\r\n]+"), lambda t: _strip(t)), lambda t: t != "")
+
+
 def company_name(c: Column) -> Column:
     """Lines that are no labels, joined and squeezed."""
-    lines = F.filter(F.transform(F.split(c, r"[\r\n]+"), lambda t: _strip(t)), lambda t: t != "")
-    # Fixed value: labels that start a line which is no company.
-    kept = F.filter(lines, lambda t: ~t.rlike(r"(?i)^(alamat|npwp|nomor|kode|invoice)"))
-    chosen = F.when(F.size(kept) > 0, kept).otherwise(lines)
-    return _strip(squeeze(F.array_join(chosen, " ")))
+
+    def joined(lines: Column) -> Column:
+        # Fixed value: labels that start a line which is no company.
+        kept = F.filter(lines, lambda t: ~t.rlike(r"(?i)^(alamat|npwp|nomor|kode|invoice)"))
+        return F.array_join(bound(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(lines)), " ")
+
+    return _strip(squeeze(bound(_lines(c), joined)))
 
 
 def address(c: Column) -> Column:
     """Lines up to the first label, joined with commas."""
-    lines = F.filter(F.transform(F.split(c, r"[\r\n]+"), lambda t: _strip(t)), lambda t: t != "")
-    # Fixed value: labels that end an address.
-    flags = F.transform(lines, lambda t: t.rlike(r"(?i)^(npwp|nomor|no\.?|kode|invoice|nama)"))
-    stop = F.array_position(flags, True)
-    kept = F.when(stop > 0, F.slice(lines, F.lit(1), (stop - 1).cast("int"))).otherwise(lines)
-    return _strip(F.array_join(kept, ", "))
+
+    def joined(lines: Column) -> Column:
+        # Fixed value: labels that end an address.
+        flags = F.transform(lines, lambda t: t.rlike(r"(?i)^(npwp|nomor|no\.?|kode|invoice|nama)"))
+        upto = lambda stop: F.when(stop > 0, F.slice(lines, F.lit(1), (stop - 1).cast("int"))).otherwise(lines)
+        return F.array_join(bound(F.array_position(flags, True), upto), ", ")
+
+    return _strip(bound(_lines(c), joined))
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[\s,]+|[\s,]+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r,"))
 
 
 def blank_amount(c: Column) -> Column:

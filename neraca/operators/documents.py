@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from neraca.functions import dates
+from neraca.functions.money import bound
 from neraca.operators.ordered import running_sum
 
 
@@ -291,11 +292,15 @@ def item_totals(items: Column) -> dict[str, Column]:
     list has none and sums to 0."""
     from neraca.functions.money import parse_price, parse_quantity
 
+    def read(i: Column) -> Column:
+        return F.struct(F.coalesce(parse_quantity(i["quantity"]), F.lit(0)).cast("decimal(28,2)").alias("q"), parse_price(i["unit_price"]).alias("p"))
+
+    def counted(x: Column) -> Column:
+        floor = lambda product: F.when(product > 0, F.floor(product).cast("long")).otherwise(F.lit(0).cast("long"))
+        return F.struct(x["q"].alias("quantity"), bound(x["q"] * x["p"], floor).alias("amount"))
+
     def parsed(i: Column) -> Column:
-        quantity = F.coalesce(parse_quantity(i["quantity"]), F.lit(0)).cast("decimal(28,2)")
-        product = quantity * parse_price(i["unit_price"])
-        amount = F.when(product > 0, F.floor(product).cast("long")).otherwise(F.lit(0).cast("long"))
-        return F.struct(quantity.alias("quantity"), amount.alias("amount"))
+        return bound(read(i), counted)
 
     # Each item is parsed once; the totals fold over what came out.
     start = F.struct(F.array().cast("array<bigint>").alias("subtotals"), F.lit(0).cast("long").alias("total"), F.lit(0).cast("decimal(28,2)").alias("quantity"))
@@ -461,24 +466,24 @@ def text_items(docs: DataFrame, keys: Sequence[str], text: str = "text", shown:
 def item_block(text: Column) -> Column:
     """Names of goods after the ``Nama Barang`` label, up to a blank line or the next label
     once something was collected."""
-    lines = F.transform(F.split(text, "\n"), lambda s: F.trim(s))
-    starts = F.transform(lines, lambda s: F.lower(s).contains("nama barang"))
-    start = F.array_position(starts, True)
-    after = F.slice(lines, (start + 1).cast("int"), F.size(lines))
-
-    def is_name(s: Column) -> Column:
-        lower = F.lower(s)
-        bare = F.regexp_replace(s, r"^[\s,;]+|[\s,;]+$", "")
-        return (bare != "") & ~lower.rlike(ITEM_BLOCK_END) & ~s.rlike(r"^\d+$") & ~lower.startswith("rp")
-
-    names = F.transform(after, is_name)
-    first = F.array_position(names, True)
-    stops = F.transform(after, lambda s, i: ((s == "") | F.lower(s).rlike(ITEM_BLOCK_END)) & (i >= first))
-    stop = F.array_position(stops, True)
-    block = F.when(stop > 0, F.slice(after, 1, (stop - 1).cast("int"))).otherwise(after)
-    kept = F.transform(F.filter(block, is_name), lambda s: F.regexp_replace(s, r"^[\s,;]+|[\s,;]+$", ""))
-    found = F.array_join(F.array_distinct(kept), ", ")
-    return F.when((start > 0) & (first > 0), found).otherwise("N/A")
+    return bound(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), _item_block)
+
+
+def _item_block(lines: Column) -> Column:
+    start = F.array_position(F.transform(lines, lambda s: F.lower(s).contains("nama barang")), True)
+
+    def step(seen: Column, s: Column) -> Column:
+        lower, bare, names = F.lower(s), F.btrim(s, F.lit(" \t\n\x0b\f\r,;")), seen["names"]
+        name = ~lower.startswith("rp") & ~s.rlike(r"^\d+$") & (bare != "")
+        state = lambda found, done: F.struct(found.alias("names"), done.alias("done"))
+        ended = (s == "") | lower.rlike(ITEM_BLOCK_END)
+        return F.when(seen["done"], seen).when(ended, state(names, F.size(names) > 0)).when(name, state(F.concat(names, F.array(bare)), F.lit(False))).otherwise(seen)
+
+    # One pass over the lines: what ends the block is looked for once, and nothing behind it.
+    none = F.struct(F.array().cast("array<string>").alias("names"), F.lit(False).alias("done"))
+    after = lambda n: F.slice(lines, (n + 1).cast("int"), F.size(lines))
+    names = bound(start, lambda n: F.when(n > 0, F.aggregate(after(n), none, step)["names"]))
+    return bound(names, lambda k: F.when(F.size(k) > 0, F.array_join(F.array_distinct(k), ", ")).otherwise("N/A"))
 
 
 def coverage(text: Column, expected: Sequence[str], confidence: Column) -> tuple[Column, Column]:
