@@ -43,7 +43,9 @@ def st1_kept_states(v: Views):
     cut_lineage(events.unionByName(early), f"{folder}/in")
     stream = v.spark.readStream.schema(events.schema).parquet(f"{folder}/in")
     states = streams.file_states(stream, "9000 days")
-    tables.keep_latest(states, f"{folder}/states", ["batch_id", "file_id"], ["ts", "status"]).awaitTermination()
+    # No day's state is dropped here, so it grows with the files: on disk, not in the heap.
+    with tables.state_on_disk(v.spark):
+        tables.keep_latest(states, f"{folder}/states", ["batch_id", "file_id"], ["ts", "status"]).awaitTermination()
     return streams.batch_progress(tables.kept(v.spark, f"{folder}/states", states.schema, ["batch_id", "file_id"], ["ts", "status"]))
 
 

@@ -7,7 +7,8 @@ take whole folders only.  The checkpoint of each stream lies next to its table.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,19 @@ def on_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB; the session's own settings come back after."""
+    names = [f"spark.sql.streaming.stateStore.{n}" for n in ("providerClass", "rocksdb.changelogCheckpointing.enabled")]
+    before = {n: spark.conf.get(n, None) for n in names}
+    on_rocksdb(spark)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def _folders(spark: SparkSession, table: str, prefix: str) -> dict[int, str]:
     """Number and path of each whole folder of a table."""
     context = spark.sparkContext
