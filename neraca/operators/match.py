@@ -53,8 +53,10 @@ def pair_by_key(
             F.col("row_idx").cast("long").alias("row_idx"),
         ).filter(F.col("npwp") != "")
 
-    both = side(a, a_key, "a").unionByName(side(c, c_key, "c"))
-    ranked = rank_rows(both, [*scope, "npwp", "_side"], ["row_idx"], "_rank", slice_rows=slice_rows)
+    # Written once: the ranks count the keys first, which would derive both sides again.
+    both = cut_lineage(side(a, a_key, "a").unionByName(side(c, c_key, "c")))
+    # Both sides of a key lie together, so ranks and pairs take one shuffle.
+    ranked = rank_rows(both.repartition(*scope, "npwp"), [*scope, "npwp", "_side"], ["row_idx"], "_rank", slice_rows=slice_rows)
     return (
         ranked.groupBy(*scope, "npwp", "_rank")
         .agg(
@@ -667,5 +669,5 @@ def write_back(rows: DataFrame, matches: DataFrame, idx: str, partner: str, scop
 
 def number_matches(matches: DataFrame, order: str, label: str, scope: Sequence[str] = ("scope",)) -> DataFrame:
     """Match ids ``<label>_<n>`` in file order, counted per scope."""
-    ranked = rank_rows(matches, list(scope), [order], "_n")
+    ranked = rank_rows(cut_lineage(matches), list(scope), [order], "_n")
     return ranked.withColumn("match_id", F.concat(F.lit(label + "_"), F.col("_n").cast("string"))).drop("_n")

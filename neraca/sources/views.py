@@ -68,7 +68,8 @@ class Views:
     def withholding(self) -> DataFrame:
         """One slip per order and supplier.  Every fourth order's slips name no payer; those of the
         next are dated and priced near the order's invoice."""
-        lines = self.table("lineitem").groupBy("l_orderkey", "l_suppkey").agg(
+        # Dealt out by order once: the slips are grouped and joined with their orders where they lie.
+        lines = self.table("lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_suppkey").agg(
             F.min("l_shipdate").alias("shipped"), F.sum(F.col("l_extendedprice").cast(MONEY)).cast(MONEY).alias("gross")
         )
         orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate", F.col("o_totalprice").cast(MONEY).alias("price"))
