@@ -537,8 +537,8 @@ def best_payment(b: DataFrame, e: DataFrame, scope: Sequence[str] = ("scope",),
     """``best_candidate`` over all pairs, without pairs: an as-of search for the nearest amounts.
 
     On one day the best payment is the one of the nearest amount below or above the invoice's, or, beyond 5 %, the day's
-    first.  Invoices stand on each day they can reach, between the amounts that were paid on it, and look back
-    and ahead: eleven rows an invoice, whatever the crowd.
+    first.  Invoices stand on each day they can reach that has payments, between the amounts that were paid on it, and look
+    back and ahead: eleven rows an invoice at most, whatever the crowd.
     """
     scope = list(scope)
     left, right = payment_sides(b, e, scope)
@@ -546,17 +546,27 @@ def best_payment(b: DataFrame, e: DataFrame, scope: Sequence[str] = ("scope",),
     paid = right.groupBy(*scope, F.col("e_date").alias("_day"), F.col("e_amount").alias("_amount")).agg(F.min("e_idx").alias("_idx"))
     what = F.struct(F.col("_idx").alias("idx"), F.col("_amount").alias("amount"))
     first = paid.groupBy(*unit).agg(F.min(what).alias("_first"))
-    steps = F.explode(F.sequence(F.lit(-MAX_GAP_DAYS), F.lit(MAX_GAP_DAYS)))
-    asking = left.withColumn("_step", steps).select(
-        *scope, F.date_add("b_date", F.col("_step")).alias("_day"), F.col("b_amount").alias("_amount"), F.lit(1).alias("_kind"), "b_idx", "b_date"
+    # Days with payments are listed by bucket; an invoice reaches two buckets at most.
+    bucket = lambda c: F.floor(F.unix_date(c) / (2 * MAX_GAP_DAYS + 1))
+    listed = first.groupBy(*[F.col(k).alias(f"_l_{k}") for k in scope], bucket(F.col("_day")).alias("_l_bucket")).agg(F.collect_list("_day").alias("_days"))
+    reached = F.sequence(bucket(F.date_add("b_date", -MAX_GAP_DAYS)), bucket(F.date_add("b_date", MAX_GAP_DAYS)))
+    near = F.filter("_days", lambda d: F.abs(F.datediff(d, F.col("b_date"))) <= MAX_GAP_DAYS)
+    same = [F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in scope]
+    asking = left.withColumn("_bucket", F.explode(reached)).join(listed, [*same, F.col("_bucket") == F.col("_l_bucket")]).select(
+        *scope, F.explode(near).alias("_day"), F.col("b_amount").alias("_amount"), F.lit(1).alias("_kind"), "b_idx", "b_date"
     )
     rows = asking.unionByName(paid.select(*unit, "_amount", F.lit(0).alias("_kind"), what.alias("_paid")), allowMissingColumns=True)
     # The day's first payment stands before all amounts.
     rows = cut_lineage(rows.unionByName(first.select(*unit, F.lit(0).alias("_kind"), "_first"), allowMissingColumns=True))
     order = ["_amount", "_kind"]
+    if slice_rows is None:
+        # Counted once for the three searches.
+        most = rows.groupBy(*unit).count().agg(F.max("count")).first()[0] or 0
+        slice_rows = None if most > SLICE_ROWS else NO_SLICES
+    # Both that look back come first: they share one sort.
     found = nearest_value(rows, unit, order, F.col("_paid"), "_below", slice_rows)
-    found = nearest_value(found, unit, order, F.col("_paid"), "_above", slice_rows, back=True)
-    found = nearest_value(found, unit, order, F.col("_first"), "_day_first", slice_rows).filter("_kind = 1")
+    found = nearest_value(found, unit, order, F.col("_first"), "_day_first", slice_rows)
+    found = nearest_value(found, unit, order, F.col("_paid"), "_above", slice_rows, back=True).filter("_kind = 1")
 
     def rated(one: Column) -> Column:
         confidence = _payment_scores(F.col("b_date"), F.col("_amount"), F.col("_day"), one["amount"])[4]

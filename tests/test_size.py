@@ -26,6 +26,33 @@ def _payments(spark, rows):
     return spark.createDataFrame([(*r[:3], Decimal(r[3])) for r in rows], "scope string, row_idx long, tanggal date, debet decimal(18,2)")
 
 
+def test_invoices_ask_on_paid_days_only(spark, monkeypatch):
+    kept = []
+
+    def counting(df, *more):
+        kept.append(original(df, *more))
+        return kept[-1]
+
+    original = match.cut_lineage
+    monkeypatch.setattr(match, "cut_lineage", counting)
+    b = _invoices(spark, [("x", n, _day(n % 40), 100 + n) for n in range(80)] + [(None, 500, _day(3), 100)])
+    e = _payments(spark, [("x", 1, _day(10), 101), ("x", 2, _day(200), 5), (None, 3, _day(4), 100), ("y", 4, _day(10), 100)])
+    found = {tuple(r) for r in match.best_payment(b, e).collect()}
+    # 22 invoices lie within five days of a payment of x, one of nobody's; four payments and four days' firsts.
+    assert kept[0].count() == 23 + 4 + 4
+    plain = {tuple(r) for r in match.best_candidate(match.payment_candidates(b, e)).collect()}
+    assert plain and {r for r in found if r[0] is not None} == plain
+    assert {r[:3] for r in found if r[0] is None} == {(None, 500, 3)}
+
+
+def test_best_payment_far_and_near_days(spark):
+    b = _invoices(spark, [("x", 1, _day(0), 100), ("x", 2, _day(16), 100), ("x", 3, _day(11), 100), ("x", 4, _day(30), 100)])
+    e = _payments(spark, [("x", 7, _day(5), 100), ("x", 8, _day(6), 100), ("x", 9, _day(12), 400)])
+    rows = {r.b_idx: r.e_idx for r in match.best_payment(b, e).collect()}
+    plain = {r.b_idx: r.e_idx for r in match.best_candidate(match.payment_candidates(b, e)).collect()}
+    assert rows == plain and rows[1] == 7 and rows[3] in (8, 9) and 4 not in rows
+
+
 def test_pairs_by_key_read_what_was_written(spark):
     a = spark.range(20).select(F.lit("x").alias("scope"), F.col("id").alias("row_idx"), (F.col("id") % 3).cast("string").alias("p"))
     c = spark.range(9).select(F.lit("x").alias("scope"), F.col("id").alias("row_idx"), (F.col("id") % 3).cast("string").alias("q"))
