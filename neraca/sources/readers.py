@@ -100,9 +100,14 @@ def header_rows(rows: DataFrame, key: str = "file") -> DataFrame:
 
 
 def body_rows(rows: DataFrame, key: str = "file") -> DataFrame:
-    """Rows below the header that are not empty.  Sheets without a header give none."""
+    """Rows below the header that are not empty.  Sheets without a header give none.
+
+    The header rows, a key and a number per sheet, are broadcast: the rows are not shuffled for them."""
     not_empty = F.exists("cells", lambda c: F.coalesce(F.trim(c), F.lit("")) != "")
-    return rows.join(header_rows(rows, key), key).filter((F.col("row_idx") > F.col("header_row")) & not_empty).drop("header_row")
+    below = rows.join(F.broadcast(header_rows(rows, key)), key).filter(F.col("row_idx") > F.col("header_row")).drop("header_row")
+    # Empty rows leave through inline(): a filter on cells would be pushed below whatever writes them, and write them
+    # again for each cell that it or a later filter names.
+    return below.select(F.inline(F.when(not_empty, F.array(F.struct(*below.columns)))))
 
 
 # --- rows ---------------------------------------------------------------------------------------------------

@@ -62,3 +62,13 @@ def test_pairs_by_key_read_what_was_written(spark):
     numbered = match.number_matches(a, "row_idx", "m")
     assert "Range" not in _optimized(numbered)
     assert {r.match_id for r in numbered.collect()} == {f"m_{n}" for n in range(1, 21)}
+
+
+def test_sheet_cells_are_written_once(spark):
+    cells = F.array(*[F.format_number(F.col("id") * (n + 2), 2) for n in range(7)])
+    rows = spark.range(10, 30).select(F.lit(1).alias("file"), F.col("id").alias("row_idx"), F.when(F.col("id") == 12, F.array(F.lit(" "), F.lit(None).cast("string"))).otherwise(cells).alias("cells"))
+    head = spark.range(1).select(F.lit(1).alias("file"), F.lit(2).cast("long").alias("row_idx"), F.array(*[F.lit(x) for x in "ABCDE"]).alias("cells"))
+    body = readers.bank_rows(readers.body_rows(rows.unionByName(head)))
+    # Once for the rows, once where headers are looked for.
+    assert _optimized(body).count("format_number") <= 14
+    assert {r.row_number for r in body.collect()} == set(range(10, 30)) - {12}
