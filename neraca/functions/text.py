@@ -137,7 +137,8 @@ EXPORT_TYPES = [
 
 
 def export_type(c: Column) -> Column:
-    return first_rule(F.lower(c), EXPORT_TYPES, F.lit("unknown"))
+    # Bound: a filter on the type is pushed below the name, which every word would write out again.
+    return bound(F.lower(c), lambda name: first_rule(name, EXPORT_TYPES, F.lit("unknown")))
 
 
 def article(c: Column) -> Column:

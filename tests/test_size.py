@@ -64,6 +64,15 @@ def test_pairs_by_key_read_what_was_written(spark):
     assert {r.match_id for r in numbered.collect()} == {f"m_{n}" for n in range(1, 21)}
 
 
+def test_export_type_writes_its_name_once(spark):
+    files = spark.range(6).select(F.concat(F.lit("/e/"), F.when(F.col("id") < 5, F.concat(F.lit("Rek_"), F.col("id").cast("string"))).otherwise("~Rek")).alias("path"), F.lit(1).alias("length"), F.lit(1).alias("modificationTime"))
+    listed = readers.catalogue_of(files, "rekening_koran")
+    assert _optimized(listed).count("lower(") <= 2
+    assert listed.count() == 5
+    kinds = spark.createDataFrame([("BATCH x",), (None,), ("",)], "n string").select(export_type(F.col("n")).alias("k")).collect()
+    assert [r.k for r in kinds] == ["batch", "unknown", "unknown"]
+
+
 def test_sheet_cells_are_written_once(spark):
     cells = F.array(*[F.format_number(F.col("id") * (n + 2), 2) for n in range(7)])
     rows = spark.range(10, 30).select(F.lit(1).alias("file"), F.col("id").alias("row_idx"), F.when(F.col("id") == 12, F.array(F.lit(" "), F.lit(None).cast("string"))).otherwise(cells).alias("cells"))
