@@ -479,9 +479,12 @@ def bank_scores(docs: DataFrame, column: str = "text") -> DataFrame:
     shuffled; ``place`` counts from 1, earlier banks first on ties.
     """
     upper = docs.select("doc_id", F.upper(F.coalesce(column, F.lit(""))).alias("_text"))
+    # Each word is looked for once: the scores below name the counted hits, not the searches.
+    counts = [sum((F.col("_text").contains(w).cast("int") for w in words), F.lit(0)) for words in BANK_WORDS.values()]
+    counted = upper.select("doc_id", *[hits.alias(f"_hits_{i}") for i, hits in enumerate(counts)])
 
     def score(code: str, priority: int, words: list[str]) -> Column:
-        hits = sum((F.col("_text").contains(w).cast("int") for w in words), F.lit(0))
+        hits = F.col(f"_hits_{priority}")
         return F.struct(
             (-(hits.cast("double") / len(words) * 100)).alias("minus"),
             F.lit(priority).alias("priority"),
@@ -491,7 +494,7 @@ def bank_scores(docs: DataFrame, column: str = "text") -> DataFrame:
         )
 
     board = F.array(*[score(code, i, words) for i, (code, words) in enumerate(BANK_WORDS.items())])
-    rows = upper.select("doc_id", F.posexplode(F.sort_array(board)).alias("_at", "_s"))
+    rows = counted.select("doc_id", F.posexplode(F.sort_array(board)).alias("_at", "_s"))
     return rows.select(
         "doc_id",
         (F.col("_at") + 1).alias("place"),

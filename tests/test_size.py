@@ -64,6 +64,14 @@ def test_pairs_by_key_read_what_was_written(spark):
     assert {r.match_id for r in numbered.collect()} == {f"m_{n}" for n in range(1, 21)}
 
 
+def test_bank_words_are_looked_for_once(spark):
+    docs = spark.createDataFrame([(1, "pt bank mandiri\nPOSTING DATE"), (2, None)], "doc_id long, text string")
+    scores = statement.bank_scores(docs)
+    assert _optimized(scores).count("Contains(") == sum(map(len, statement.BANK_WORDS.values()))
+    first = scores.filter("place = 1").orderBy("doc_id").collect()
+    assert [(r.bank_code, r.keyword_matches, r.is_detected) for r in first] == [("MANDIRI_V1", 2, True), ("BSI_SYARIAH", 0, False)]
+
+
 def test_export_type_writes_its_name_once(spark):
     files = spark.range(6).select(F.concat(F.lit("/e/"), F.when(F.col("id") < 5, F.concat(F.lit("Rek_"), F.col("id").cast("string"))).otherwise("~Rek")).alias("path"), F.lit(1).alias("length"), F.lit(1).alias("modificationTime"))
     listed = readers.catalogue_of(files, "rekening_koran")
