@@ -327,7 +327,8 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     opened = _open_groups(shared, groups, tested, sets, percent)
     discard(shared, tested)
     more = cut_lineage(_verified(opened, sets, percent))
-    final = components(links.unionByName(more), "node", "other")
+    # The groups' stars stand for all links found before.
+    final = components(groups.select("node", F.col("component").alias("other")).unionByName(more), "node", "other")
     discard(opened, links, more, sets.kept)
     named = signed.select("id", "key", "n_shingles", "node").join(final, "node", "left").withColumn("top", F.coalesce("component", "node"))
     lowest = named.filter("top is not null").groupBy("top").agg(F.min("id").alias("component_id"))

@@ -21,6 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,12 +147,17 @@ def fit(
             rows = np.vstack([x[:, :-1] for _, x in shares(batch.column("text"))]) if batch.num_rows else np.zeros((0, SIZE), np.float32)
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([r.tobytes() for r in rows], pa.binary())], ["lang", "x"])
 
-    rows = sorted((r["lang"], bytes(r["x"])) for r in drawn.mapInArrow(run, "lang string, x binary").collect())
-    if not rows:
+    # Arrow batches stream to the driver; the sample is held there once, as the matrix.
+    rows = drawn.mapInArrow(run, "lang string, x binary").toArrow()
+    if not rows.num_rows:
         return None
-    x = np.vstack([np.frombuffer(v, np.float32) for _, v in rows])
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    return Hierarchy(x, np.array([k for k, _ in rows], object), FAMILIES if families is None else families)
+    order = pc.sort_indices(rows, [("lang", "ascending"), ("x", "ascending")])
+    names = np.array(rows["lang"].take(order).to_pylist(), object)
+    x = np.ones((len(names), SIZE + 1), np.float32)
+    for k, n in enumerate(order.to_pylist()):
+        x[k, :-1] = np.frombuffer(rows["x"][n].as_buffer(), np.float32)
+    del rows
+    return Hierarchy(x, names, FAMILIES if families is None else families)
 
 
 def predict(docs: DataFrame, model: Hierarchy | None, text: str = "text", name: str = "lang_pred", score: str = "score", affinity: str | None = None) -> DataFrame:

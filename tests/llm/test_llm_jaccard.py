@@ -6,6 +6,7 @@ import pytest
 
 from neraca.llm import jaccard
 from neraca.llm.components import components
+from neraca.session import cut_lineage
 from odd import documents, rows
 
 
@@ -85,6 +86,22 @@ def test_one_of_each_keeps_the_smallest_id_and_all_columns(spark):
     assert ids == want  # of the null ids only the one without a text stays
 
 
+def test_components_stop_when_links_are_stars(spark, monkeypatch):
+    from neraca.llm import components as module
+
+    written = []
+    monkeypatch.setattr(module, "cut_lineage", lambda df: written.append(1) or cut_lineage(df))
+    stars = [(10 * c, 10 * c + k) for c in range(5) for k in range(1, 8)]
+    got = {(r.node, r.component) for r in components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {(b, a) for a, b in stars}
+    assert len(written) == 1  # the links as given, and no round
+    written.clear()
+    got = {(r.node, r.component) for r in components(spark.createDataFrame([(2, 1), (3, 2), (3, 1)], "a long, b long")).collect()}
+    assert got == {(2, 1), (3, 1)}
+    assert len(written) == 2  # one round
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(k, k + 1) for k in range(100, 160)]
     star = [(5, k) for k in range(6, 40)]

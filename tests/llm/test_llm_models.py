@@ -2,6 +2,7 @@
 
 import collections
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,19 @@ def test_language_answers_do_not_depend_on_other_columns(spark):
     assert languages.predict(documents(spark, []), model).count() == 0
 
 
+def test_the_language_sample_is_held_once(spark):
+    texts = [f"plain words number {k} of a text" for k in range(300)]
+    docs = spark.createDataFrame([(k, "en", text) for k, text in enumerate(texts)], "doc_id long, lang string, text string")
+    tracemalloc.start()
+    try:
+        model = languages.fit(docs, F.lit(True))
+        held = tracemalloc.get_traced_memory()[1] / (300 * 4 * languages.SIZE)
+    finally:
+        tracemalloc.stop()
+    # The matrix, and its squares as doubles; no rows beside them.
+    assert model.top.names == ["germanic"] and held < 4.5
+
+
 def test_one_language_needs_no_duel(spark):
     docs = spark.createDataFrame([(1, "some words", "xx"), (2, "more words", "xx"), (3, None, "xx"), (4, "null", None)], "doc_id long, text string, lang string")
     found = languages.predict(docs, languages.fit(docs, F.lit(True)))
