@@ -240,11 +240,12 @@ def _first_pairs(shared: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """(node, other): each node with the leads it shares most signatures with, at most ``LEADS``.
 
     A signature's lead is its most central node, the one whose own signatures have most documents: in
-    a family of copies, the one nearest to all.  A part of the signatures, by hash, shows that as well as all
-    do; which leads are found decides how much is left to the matrix, never what links.
+    a family of copies, the one nearest to all.  That takes all signatures: by a part of them, a far member whose
+    changes miss the part passes for the centre.  A part of them, by hash, then finds the leads; which
+    leads are found decides how much is left to the matrix, never what links.
     """
-    shared = shared.filter(F.pmod("sig", F.lit(LEAD_PART)) == 0)
     central = shared.groupBy("node").agg(F.sum("rows").alias("weight"))
+    shared = shared.filter(F.pmod("sig", F.lit(LEAD_PART)) == 0)
     leads = shared.join(central, "node").groupBy("sig").agg(F.max_by("node", F.struct("weight", "node")).alias("lead"))
     met = shared.select("sig", "node").join(leads, "sig").filter("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("n"))
     best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "lead")), asc=False), 1, LEADS).alias("best"))

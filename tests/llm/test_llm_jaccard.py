@@ -76,6 +76,34 @@ def test_families_of_near_copies(spark, words, percent, seed):
     assert found(df, words, percent) == plain(docs, words, percent)
 
 
+def test_a_crowd_gathers_around_its_centre(spark, monkeypatch):
+    """Copies that link with the text they come from are one group before the matrix, whatever the others of the crowd are like."""
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base, docs = [word() for _ in range(150)], []
+    for k in range(240):
+        copy = list(base)
+        for _ in range(min(k, rng.choice([1, 1, 2, 2, 3, 4, 6, 8]))):
+            copy[rng.randrange(len(copy))] = word()
+        docs.append((k, " ".join(copy)))
+    grouped, met = [], []
+    real = jaccard._open_groups
+
+    def opened(shared, groups, tested, sets, percent):
+        grouped.append(groups.groupBy("component").count().agg({"count": "max"}).first()[0])
+        pairs = real(shared, groups, tested, sets, percent)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard, "_open_groups", opened)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = plain(docs, 3, 90)
+    assert found(df, 3, 90) == want
+    linked = max(sum(r[2] == top for r in want) for top in {r[2] for r in want})
+    assert grouped[0] + 1 >= 0.9 * linked
+    assert met[0] <= len(docs)
+
+
 def test_one_of_each_keeps_the_smallest_id_and_all_columns(spark):
     docs = documents(spark)
     kept = jaccard.one_of_each(docs, 3, 90)
