@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from neraca.plans.registry import query
-from neraca.session import cut_lineage, scratch
+from neraca.session import cut_lineage, discard, scratch
 from neraca.sources.views import Views
 from neraca.streaming import streams, tables
 
@@ -37,15 +37,18 @@ def st1_live_progress(v: Views):
 )
 def st1_kept_states(v: Views):
     """A running stream of file events and the table it keeps."""
-    events = v.files.select("batch_id", F.col("id").alias("file_id"), F.col("created_at").cast("timestamp").alias("ts"), "status")
-    early = events.withColumns({"status": F.lit("processing"), "ts": F.col("ts") - F.expr("INTERVAL 2 HOURS")})
+    ts = F.col("created_at").cast("timestamp")
+    # Every file is seen twice, two hours before its state as well; the files are derived once for both.
+    seen = F.explode(F.array(F.struct(ts.alias("ts"), "status"), F.struct((ts - F.expr("INTERVAL 2 HOURS")).alias("ts"), F.lit("processing").alias("status"))))
+    events = v.files.select("batch_id", F.col("id").alias("file_id"), seen.alias("e")).select("batch_id", "file_id", "e.*")
     folder = scratch(v.spark)
-    cut_lineage(events.unionByName(early), f"{folder}/in")
-    stream = v.spark.readStream.schema(events.schema).parquet(f"{folder}/in")
-    states = streams.file_states(stream, "9000 days")
-    # No day's state is dropped here, so it grows with the files: on disk, not in the heap.
+    # No day's state is dropped here, so it grows with the files: on disk, not in the heap, and only while the stream runs.
     with tables.state_on_disk(v.spark):
+        landed = cut_lineage(events, f"{folder}/in", **{"compression": "zstd", "parquet.block.size": str(tables.SPLIT)})
+        states = streams.file_states(v.spark.readStream.schema(events.schema).parquet(f"{folder}/in"), "9000 days")
         tables.keep_latest(states, f"{folder}/states", ["batch_id", "file_id"], ["ts", "status"]).awaitTermination()
+    discard(landed)
+    tables.forget(v.spark, f"{folder}/states")
     return streams.batch_progress(tables.kept(v.spark, f"{folder}/states", states.schema, ["batch_id", "file_id"], ["ts", "status"]))
 
 

@@ -29,9 +29,11 @@ def file_states(events: DataFrame, late: str = "1 day", time: str = "ts") -> Dat
 
     The watermark drops the state of days gone by, so it follows the files under way.
     """
-    latest = F.max_by("status", F.struct(time, "status"))
-    grouped = events.withWatermark(time, late).groupBy("batch_id", "file_id", F.window(time, "1 day").alias("day"))
-    return grouped.agg(latest.alias("status"), F.max(time).alias(time)).drop("day")
+    # The state of a stream has a row per file and day: the day is its window's last moment, time and state are held once, as one value.
+    days = events.withWatermark(time, late).select("batch_id", "file_id", time, "status", F.window(time, "1 day").alias("day"))
+    days = days.withColumn("day", F.window_time("day"))
+    latest = days.groupBy("batch_id", "file_id", "day").agg(F.max(F.struct(time, "status")).alias("_latest"))
+    return latest.select("batch_id", "file_id", "_latest.status", F.col(f"_latest.{time}").alias(time, metadata={}))
 
 
 def batch_progress(states: DataFrame, time: str = "ts") -> DataFrame:

@@ -7,17 +7,20 @@ take whole folders only.  The checkpoint of each stream lies next to its table.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Callable, Sequence
+from contextlib import AbstractContextManager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from neraca.session import delete, settings
 from neraca.streaming.streams import AUDIT_SCHEMA
 
 #: Batches after which a kept table is written whole again.
 COMPACT = 20
+#: Bytes of landed files that one task of a stream with much state reads.
+SPLIT = 8 << 20
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -27,17 +30,30 @@ def on_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-@contextmanager
-def state_on_disk(spark: SparkSession) -> Iterator[None]:
-    """Streams started inside keep their state in RocksDB; the session's own settings come back after."""
-    names = [f"spark.sql.streaming.stateStore.{n}" for n in ("providerClass", "rocksdb.changelogCheckpointing.enabled")]
-    before = {n: spark.conf.get(n, None) for n in names}
-    on_rocksdb(spark)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+def state_on_disk(spark: SparkSession) -> AbstractContextManager[None]:
+    """Update-mode streams started inside, to run once over much state, keep it in RocksDB and hold little of the disk.
+
+    A partition's local state goes as soon as its task has written the changelog (a later batch loads it from there), and
+    the shuffle files of a step as soon as it ends. Small splits are sorted in memory, without spill. No batch is run
+    after the last input only to drop closed state: it would load all state again, and in update mode changes no row.
+    """
+    store = "spark.sql.streaming.stateStore"
+    return settings(spark, {
+        f"{store}.providerClass": ROCKSDB,
+        f"{store}.rocksdb.changelogCheckpointing.enabled": "true",
+        f"{store}.rocksdb.trackTotalNumberOfRows": "false",
+        f"{store}.rocksdb.compression": "zstd",
+        f"{store}.compression.codec": "zstd",
+        f"{store}.unloadOnCommit": "true",
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(SPLIT),
+    })
+
+
+def forget(spark: SparkSession, table: str) -> None:
+    """Delete the checkpoint of a stream that has ended and is not started again; its table stays."""
+    delete(spark, f"{table}/_checkpoint")
 
 
 def _folders(spark: SparkSession, table: str, prefix: str) -> dict[int, str]:
@@ -118,9 +134,11 @@ def corrupt_lines(spark: SparkSession, table: str) -> DataFrame:
 # --- the latest row of each key ------------------------------------------------------------------
 
 
-def _latest(rows: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
-    others = F.struct(*[F.col(c) for c in rows.columns if c not in keys])
-    return rows.groupBy(*keys).agg(F.max_by(others, order).alias("_row")).select(*keys, "_row.*")
+def _latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    others = [c for c in rows.columns if c not in keys]
+    # An order over all other columns is the row itself, so it is not shuffled beside it.
+    row = F.max(F.struct(*order)) if {*others} <= {*order} else F.max_by(F.struct(*others), F.struct(*order))
+    return rows.groupBy(*keys).agg(row.alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in others])
 
 
 def keep_latest(stream: DataFrame, table: str, keys: Sequence[str], order: Sequence[str], compact: int = COMPACT, once: bool = True) -> StreamingQuery:
@@ -132,9 +150,9 @@ def keep_latest(stream: DataFrame, table: str, keys: Sequence[str], order: Seque
     spark, schema = stream.sparkSession, stream.schema
 
     def write(rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        rows.write.mode("overwrite").parquet(f"{table}/batch={number}", compression="zstd")
         if number % compact == compact - 1:
-            kept(spark, table, schema, keys, order, number).write.mode("overwrite").parquet(f"{table}/whole={number}")
+            kept(spark, table, schema, keys, order, number).write.mode("overwrite").parquet(f"{table}/whole={number}", compression="zstd")
 
     return start(stream, table, write, "update", once)
 
@@ -148,4 +166,4 @@ def kept(spark: SparkSession, table: str, schema, keys: Sequence[str], order: Se
     paths = [p for n, p in batches.items() if n > base] + [wholes[n] for n in [base] if n >= 0]
     if not paths:
         return spark.createDataFrame([], schema)
-    return _latest(spark.read.schema(schema).parquet(*paths), keys, F.struct(*order))
+    return _latest(spark.read.schema(schema).parquet(*paths), keys, order)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from neraca.operators import activity, documents, match
+from neraca.plans import stream_queries
 from neraca.plans.activity_queries import results
 from neraca.sources import sinks
 from neraca.sources.views import Views
@@ -67,6 +68,56 @@ def test_kept_table_follows_every_batch(spark, tmp_path):
     assert len(tables._folders(spark, table, "whole")) >= 2
 
 
+def test_latest_state_is_held_once(spark):
+    """Equal times, null states and null times: as when time and state were two values; an order need not cover the row."""
+    schema = "batch_id long, file_id long, ts timestamp, status string"
+    day = datetime.timedelta(days=1)
+    rows = [
+        (1, 1, NOON, "processing"), (1, 1, NOON, "failed"), (1, 1, NOON + day, "completed"), (1, 2, NOON, None), (1, 2, NOON, "failed"), (1, 3, NOON, None),
+        (1, 4, None, "failed"), (None, 5, NOON, "completed"), (1, 6, NOON, "failed"), (1, 6, NOON + datetime.timedelta(hours=1), None),
+    ]
+    events = spark.createDataFrame(rows, schema)
+    got = streams.file_states(events, "1 day")
+    assert got.schema.simpleString() == "struct<batch_id:bigint,file_id:bigint,status:string,ts:timestamp>"
+    assert not any(f.metadata for f in got.schema.fields)
+    latest = {(1, 1, "processing", NOON), (1, 1, "completed", NOON + day), (1, 2, "failed", NOON), (1, 3, None, NOON), (None, 5, "completed", NOON), (1, 6, None, NOON + datetime.timedelta(hours=1))}
+    assert {tuple(r) for r in got.collect()} == latest
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by(" not in plan(got)
+    by_all = tables._latest(got, ["batch_id", "file_id"], ["ts", "status"])
+    by_time = tables._latest(got.withColumn("more", F.create_map(F.lit("at"), "ts")), ["batch_id", "file_id"], ["ts"])
+    want = {r for r in latest if r[:3] != (1, 1, "processing")}
+    assert {tuple(r) for r in by_all.collect()} == want and by_all.columns == got.columns
+    assert "max_by(" not in plan(by_all) and "max_by(" in plan(by_time) and "more" in by_time.columns
+    assert {tuple(r) for r in by_time.drop("more").collect()} == want
+
+
+def test_kept_states_leave_the_table_only(spark, tmp_path, monkeypatch):
+    """The files are derived once, and neither what landed, the checkpoint nor local state outlasts the stream."""
+    shipped = lambda n: datetime.datetime(2000, 1, 1) + datetime.timedelta(days=n)
+    lines = [(o, 7 * o, o % 4 + s, "RN"[o % 2], "FO"[s % 2], shipped(o + s)) for o in range(40) for s in range(3)] + [(1, 2, 2, "R", "O", shipped(9)), (None, 1, 5, "N", "F", shipped(3)), (3, 1, 99, "N", "F", None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
+    plans, kept_at, settings = [], str(tmp_path / "kept"), ["spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.unloadOnCommit", "spark.sql.files.maxPartitionBytes"]
+    original = stream_queries.cut_lineage
+
+    def landing(df, *more, **options):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return original(df, *more, **options)
+
+    monkeypatch.setattr(stream_queries, "cut_lineage", landing)
+    monkeypatch.setattr(stream_queries, "scratch", lambda _: kept_at)
+    before = [spark.conf.get(s, None) for s in settings]
+    v = Views(spark, str(tmp_path))
+    got = {tuple(r) for r in stream_queries.st1_kept_states(v).collect()}
+    files = v.files.filter("created_at is not null").collect()
+    of = lambda b, s: sum(f.batch_id == b and s in (None, f.status) for f in files)
+    assert got == {(b, of(b, None), of(b, "completed"), of(b, "failed"), of(b, "processing")) for b in {f.batch_id for f in files}}
+    assert [spark.conf.get(s, None) for s in settings] == before
+    assert len(plans) == 1 and plans[0].count("Relation [") == 1
+    assert [p.name for p in (tmp_path / "kept").iterdir()] == ["states"]
+    assert all(p.name.split("=")[0] in ("batch", "whole") for p in (tmp_path / "kept" / "states").iterdir())
+
+
 @pytest.fixture
 def rocksdb(spark):
     key = "spark.sql.streaming.stateStore.providerClass"
@@ -97,6 +148,26 @@ def test_closed_state_is_evicted(spark, tmp_path, rocksdb):
     assert feed((1200, 4))[0] == [(1, 2), (2, 1), (3, 2)]
 
 
+def test_states_of_closed_days_are_evicted(spark, tmp_path, rocksdb):
+    """A day closes once the watermark reaches its end: its state goes, its late rows drop, the next day's rows count."""
+    inbox, table, schema = str(tmp_path / "in"), str(tmp_path / "out"), "batch_id long, file_id long, ts timestamp, status string"
+
+    def feed(*rows):
+        spark.createDataFrame([(1, f, NOON + datetime.timedelta(hours=h), s) for h, f, s in rows], schema).coalesce(1).write.mode("append").parquet(inbox)
+        states = streams.file_states(spark.readStream.schema(schema).parquet(inbox), "1 hour")
+        run = tables.keep_latest(states, table, ["batch_id", "file_id"], ["ts", "status"])
+        run.awaitTermination()
+        state = [p["stateOperators"][0] for p in run.recentProgress if p["stateOperators"]]
+        got = {(r.file_id, r.status) for r in tables.kept(spark, table, states.schema, ["batch_id", "file_id"], ["ts", "status"]).collect()}
+        return got, state[-1]["numRowsTotal"], sum(s["numRowsDroppedByWatermark"] for s in state)
+
+    assert feed((0, 1, "processing"), (12.9, 2, "processing")) == ({(1, "processing"), (2, "processing")}, 2, 0)
+    # The watermark is at 11.9 hours after noon, before the day's end: its rows still count.
+    assert feed((11.8, 1, "failed"), (13, 2, "completed")) == ({(1, "failed"), (2, "completed")}, 1, 0)
+    # Now it is at the day's end exactly, and the day is closed.
+    assert feed((11.9, 1, "completed"), (12, 3, "failed")) == ({(1, "failed"), (2, "completed"), (3, "failed")}, 2, 1)
+
+
 def test_first_uploads_are_forgotten_behind_the_watermark(spark, tmp_path, rocksdb):
     inbox, table, schema = str(tmp_path / "in"), str(tmp_path / "out"), "created_at timestamp, file_hash string"
 
